@@ -223,14 +223,3 @@ def split_bundle(stacked: DataFrame, dimensions: Sequence[str] = DIMENSION_ORDER
                   .select(F.col("label").alias(label), *METRIC_COLS)
                   .orderBy(F.col(label).asc_nulls_last()))
     return out
-
-
-def get_dashboard_data(cat: Catalog, filters: Filters | dict | None = None,
-                       as_of: dt.date | str | None = None) -> dict[str, DataFrame]:
-    """The dashboard's four reports (``payment_terms, item_category, customer, buyer``).
-
-    The clock is resolved once so the four reports agree on it.
-    """
-    if not isinstance(filters, Filters):
-        filters = Filters.from_mapping(filters)
-    return split_bundle(bundle(cat, filters, as_date(as_of)))
