@@ -1,4 +1,11 @@
-"""Column expressions shared by the reports (all built-in, JVM-side)."""
+"""Column expressions shared by the reports (all built-in, JVM-side).
+
+The larger fixed expressions are written as Spark SQL expression text
+(``*_sql`` helpers) and turned into Columns with ``F.expr``: one parse on
+the JVM instead of dozens of Python-to-JVM calls per builder chain, which
+keeps plan construction cheap. User-supplied values never go into SQL
+text; they are bound with ``F.lit``.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +19,11 @@ from pyspark.sql.types import DataType
 from ..schema import BUCKET_NAME_PREFIXES, BUCKETS, UNKNOWN_NAME
 
 
+def ident(name: str) -> str:
+    """Quoted identifier for SQL expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def as_date(as_of: dt.date | str | None) -> dt.date:
     """Resolve the clock once; ``None`` means today (the reference's CURRENT_DATE)."""
     if as_of is None:
@@ -23,14 +35,30 @@ def as_date(as_of: dt.date | str | None) -> dt.date:
     return dt.date.fromisoformat(str(as_of))
 
 
-def age_days(as_of: dt.date, action_date: str | Column = "action_date") -> Column:
+def age_sql(as_of: dt.date, action_date: str = "action_date") -> str:
     """Whole days from the action date (time of day dropped) to ``as_of``."""
-    col = F.col(action_date) if isinstance(action_date, str) else action_date
-    return F.datediff(F.lit(as_of), F.to_date(col))
+    return f"datediff(DATE'{as_of.isoformat()}', to_date({ident(action_date)}))"
+
+
+def age_days(as_of: dt.date, action_date: str | Column = "action_date") -> Column:
+    if isinstance(action_date, str):
+        return F.expr(age_sql(as_of, action_date))
+    return F.datediff(F.lit(as_of), F.to_date(action_date))
 
 
-def bucket_of(age: Column) -> Column:
-    """Bucket name of an age, NULL for negative or unknown ages."""
+def bucket_sql(age: str) -> str:
+    """CASE text giving the bucket name of an age; NULL for negative or unknown ages."""
+    whens = []
+    for name, lo, hi in BUCKETS:
+        cond = f"{age} BETWEEN {lo} AND {hi}" if hi is not None else f"{age} >= {lo}"
+        whens.append(f"WHEN {cond} THEN '{name}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def bucket_of(age: str | Column) -> Column:
+    """Bucket name of an age (SQL text or Column), NULL for negative or unknown ages."""
+    if isinstance(age, str):
+        return F.expr(bucket_sql(age))
     expr = None
     for name, lo, hi in BUCKETS:
         cond = age.between(lo, hi) if hi is not None else age >= lo
@@ -40,17 +68,29 @@ def bucket_of(age: Column) -> Column:
 
 def line_value(balance: str = "fg_balance", price: str = "price_unit") -> Column:
     """Exact decimal product; NULL price gives NULL."""
-    return F.col(balance) * F.col(price)
+    return F.expr(f"{ident(balance)} * {ident(price)}")
+
+
+def translated_label_sql(json_col: str) -> str:
+    c = ident(json_col)
+    return f"coalesce(get_json_object({c}, '$.en_US'), {c})"
 
 
 def translated_label(json_text: str | Column) -> Column:
     """``name.en_US`` of a translated JSON name, else the whole stored text."""
-    col = F.col(json_text) if isinstance(json_text, str) else json_text
-    return F.coalesce(F.get_json_object(col, "$.en_US"), col)
+    if isinstance(json_text, str):
+        return F.expr(translated_label_sql(json_text))
+    return F.coalesce(F.get_json_object(json_text, "$.en_US"), json_text)
+
+
+def round0_sql(col: str) -> str:
+    return f"CAST(round({ident(col)}, 0) AS BIGINT)"
 
 
-def round0(col: Column) -> Column:
+def round0(col: str | Column) -> Column:
     """Decimal round to an integer, half away from zero, as bigint."""
+    if isinstance(col, str):
+        return F.expr(round0_sql(col))
     return F.round(col, 0).cast("bigint")
 
 
@@ -93,13 +133,13 @@ def action_date_range(as_of: dt.date, bounds: tuple[int, int | None], dtype: Dat
     Literals take the column's own type, which keeps the comparison pushable.
     """
     lo, hi = bounds
-    col = F.col(action_date)
+    c, t = ident(action_date), dtype.simpleString()
     upper = as_of - dt.timedelta(days=lo - 1)
-    cond = col < F.lit(upper.isoformat()).cast(dtype)
+    cond = f"{c} < CAST('{upper.isoformat()}' AS {t})"
     if hi is not None:
         lower = as_of - dt.timedelta(days=hi)
-        cond = (col >= F.lit(lower.isoformat()).cast(dtype)) & cond
-    return cond
+        cond = f"{c} >= CAST('{lower.isoformat()}' AS {t}) AND {cond}"
+    return F.expr(cond)
 
 
 def escape_like(term: str) -> str:

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import age_days, as_date, bucket_of, line_value, round0, translated_label
+from ..functions.expressions import age_sql, as_date, bucket_sql, ident, round0_sql, translated_label_sql
 from ..schema import BUCKET_NAMES, DIMENSION_ORDER, DIMENSIONS, METRIC_COLS
 from ..sources.catalog import Catalog
 from .filters import Filters, fact_predicate
@@ -46,7 +46,7 @@ def _check_dims(dims: Sequence[str]) -> list[str]:
 
 def _order_filter(cat: Catalog, filters: Filters) -> DataFrame:
     so = cat.table("sale_order", ["id", *filters.order_columns()])
-    return so.where(filters.order_predicate()).select(F.col("id").alias("_so_id"))
+    return so.where(filters.order_predicate()).selectExpr("id AS _so_id")
 
 
 def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[str] = (),
@@ -56,22 +56,22 @@ def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[
     cols = ["oa_id", "next_operation", "state", "fg_balance", "price_unit", "action_date", "company_id", *extra]
     od = cat.table("operation_details", list(dict.fromkeys(cols)))
     od = od.where(fact_predicate(filters.company if company_scope else None))
-    lines = od.select(
-        "oa_id", *[c for c in extra if c != "oa_id"],
-        bucket_of(age_days(as_of)).alias("bucket"),
-        F.col("fg_balance").alias("balance"),
-        line_value().alias("value"),
+    lines = od.selectExpr(
+        "oa_id", *[ident(c) for c in extra if c != "oa_id"],
+        f"{bucket_sql(age_sql(as_of))} AS bucket",
+        "fg_balance AS balance",
+        "fg_balance * price_unit AS value",
     )
     if filters.needs_orders:
         # semi join: a selective salesperson/team becomes a runtime filter on
         # the fact scan, and AQE broadcasts the order side once it is small
         so = _order_filter(cat, filters)
-        lines = lines.join(so, lines["oa_id"] == so["_so_id"], "left_semi")
+        lines = lines.join(so, F.expr("oa_id = _so_id"), "left_semi")
     return lines
 
 
 def _sums() -> list:
-    return [F.sum("balance").alias("balance"), F.sum("value").alias("value")]
+    return [F.expr("sum(balance) AS balance"), F.expr("sum(value) AS value")]
 
 
 def _grouping_id_of(keys: list[str], group: list[str]) -> int:
@@ -88,9 +88,9 @@ def _grouped(df: DataFrame, sets: list[list[str]]) -> tuple[DataFrame, dict[int,
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
     if len(sets) == 1:
-        return df.groupBy(*sets[0]).agg(*_sums(), F.lit(0).alias("_gid")), {0: 0}
+        return df.groupBy(*sets[0]).agg(*_sums(), F.expr("0 AS _gid")), {0: 0}
     g = df.groupingSets([[F.col(k) for k in s] for s in sets], *keys) \
-        .agg(*_sums(), F.grouping_id(*keys).alias("_gid"))
+        .agg(*_sums(), F.expr(f"grouping_id({', '.join(ident(k) for k in keys)}) AS _gid"))
     return g, {i: _grouping_id_of(keys, s) for i, s in enumerate(sets)}
 
 
@@ -126,12 +126,11 @@ def labelled_partials(cat: Catalog, filters: Filters | None = None, as_of: dt.da
     for i, d in enumerate(fact_dims):
         tagged.append((gids[i + offset], [(d, FACT_COLUMN[d])]))
 
-    entries = None
+    whens = []
     for gid, pairs in tagged:
-        arr = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("label"))
-                        for d, c in pairs])
-        entries = F.when(F.col("_gid") == gid, arr) if entries is None else entries.when(F.col("_gid") == gid, arr)
-    return g.select(F.inline(entries), "bucket", "balance", "value")
+        arr = ", ".join(f"named_struct('dimension', '{d}', 'label', CAST({ident(c)} AS STRING))" for d, c in pairs)
+        whens.append(f"WHEN _gid = {gid} THEN array({arr})")
+    return g.selectExpr(f"inline(CASE {' '.join(whens)} END)", "bucket", "balance", "value")
 
 
 def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -139,17 +138,16 @@ def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str]) -> t
     so_cols = ["id"] + (["payment_term_id"] if "payment_terms" in order_dims else []) + \
         (["partner_id"] if "customer" in order_dims else [])
     so = cat.table("sale_order", so_cols).withColumnRenamed("id", "_so_id")
-    j = g.join(so, g["oa_id"] == so["_so_id"], "left")
+    j = g.join(so, F.expr("oa_id = _so_id"), "left")
     label_cols = {}
     if "payment_terms" in order_dims:
         apt = cat.table("account_payment_term", ["id", "name"]) \
-            .select(F.col("id").alias("_apt_id"), translated_label("name").alias("_pt_label"))
-        j = j.join(apt, j["payment_term_id"] == apt["_apt_id"], "left")
+            .selectExpr("id AS _apt_id", f"{translated_label_sql('name')} AS _pt_label")
+        j = j.join(apt, F.expr("payment_term_id = _apt_id"), "left")
         label_cols["payment_terms"] = "_pt_label"
     if "customer" in order_dims:
-        rp = cat.table("res_partner", ["id", "name"]) \
-            .select(F.col("id").alias("_rp_id"), F.col("name").alias("_cust_label"))
-        j = j.join(rp, j["partner_id"] == rp["_rp_id"], "left")
+        rp = cat.table("res_partner", ["id", "name"]).selectExpr("id AS _rp_id", "name AS _cust_label")
+        j = j.join(rp, F.expr("partner_id = _rp_id"), "left")
         label_cols["customer"] = "_cust_label"
     return j, label_cols
 
@@ -173,20 +171,20 @@ def widen(long: DataFrame) -> DataFrame:
     in a group that has no other line, gives NULL (the SQL CASE ... ELSE 0
     semantics), and so does Total_Value when every price is missing.
     """
-    aggs = [F.sum(F.when(F.col("bucket") == b, F.col("balance")).otherwise(F.lit(0))).alias(f"Balance_{b}")
+    aggs = [F.expr(f"sum(CASE WHEN bucket = '{b}' THEN balance ELSE 0 END) AS {ident('Balance_' + b)}")
             for b in BUCKET_NAMES]
-    aggs += [F.sum(F.when(F.col("bucket") == b, F.col("value")).otherwise(F.lit(0))).alias(f"Value_{b}")
+    aggs += [F.expr(f"sum(CASE WHEN bucket = '{b}' THEN value ELSE 0 END) AS {ident('Value_' + b)}")
              for b in BUCKET_NAMES]
-    aggs += [F.sum("balance").alias("Total_Balance"), F.sum("value").alias("Total_Value")]
+    aggs += [F.expr("sum(balance) AS Total_Balance"), F.expr("sum(value) AS Total_Value")]
     return long.groupBy("dimension", "label").agg(*aggs)
 
 
 def finish(wide: DataFrame, dimension: str, rounded: bool = True) -> DataFrame:
     """Select one dimension's rows with the reference's column names and order."""
     label = DIMENSIONS[dimension].label
-    metrics = [round0(F.col(c)).alias(c) if rounded else F.col(c) for c in METRIC_COLS]
-    return (wide.where(F.col("dimension") == dimension)
-            .select(F.col("label").alias(label), *metrics)
+    metrics = [f"{round0_sql(c)} AS {ident(c)}" if rounded else ident(c) for c in METRIC_COLS]
+    return (wide.where(F.expr(f"dimension = '{dimension}'"))
+            .selectExpr(f"label AS {ident(label)}", *metrics)
             .orderBy(F.col(label).asc_nulls_last()))
 
 
@@ -211,7 +209,7 @@ def bundle(cat: Catalog, filters: Filters | None = None, as_of: dt.date | str |
     :func:`split_bundle`; each split is then a cheap filter.
     """
     wide = widen(labelled_partials(cat, filters, as_of, dimensions))
-    return wide.select("dimension", "label", *[round0(F.col(c)).alias(c) for c in METRIC_COLS])
+    return wide.selectExpr("dimension", "label", *[f"{round0_sql(c)} AS {ident(c)}" for c in METRIC_COLS])
 
 
 def split_bundle(stacked: DataFrame, dimensions: Sequence[str] = DIMENSION_ORDER) -> dict[str, DataFrame]:
@@ -219,7 +217,7 @@ def split_bundle(stacked: DataFrame, dimensions: Sequence[str] = DIMENSION_ORDER
     out = {}
     for d in dimensions:
         label = DIMENSIONS[d].label
-        out[d] = (stacked.where(F.col("dimension") == d)
-                  .select(F.col("label").alias(label), *METRIC_COLS)
+        out[d] = (stacked.where(F.expr(f"dimension = '{d}'"))
+                  .selectExpr(f"label AS {ident(label)}", *[ident(c) for c in METRIC_COLS])
                   .orderBy(F.col(label).asc_nulls_last()))
     return out

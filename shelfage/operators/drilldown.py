@@ -24,7 +24,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import action_date_range, as_date, bucket_bounds, round0, translated_label
+from ..functions.expressions import action_date_range, as_date, bucket_bounds, round0_sql, translated_label_sql
 from ..schema import DIMENSIONS, TOTAL_WORD
 from ..sources.catalog import Catalog
 from .aging import FACT_COLUMN
@@ -72,8 +72,8 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
 
     # Map-side-combinable partial sums per (order, category, product).
     part = lines.groupBy("oa_id", "fg_categ_type", "product_id").agg(
-        F.sum("fg_balance").alias("_qty"),
-        F.sum(F.round(F.col("fg_balance") * F.col("price_unit"), 0)).alias("_value"),
+        F.expr("sum(fg_balance) AS _qty"),
+        F.expr("sum(round(fg_balance * price_unit, 0)) AS _value"),
     )
 
     order_side = group_type in ("payment_terms", "customer") and (select_group or by_null)
@@ -82,38 +82,36 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
         so_cols.append("payment_term_id")
     if order_side and group_type == "customer":
         so_cols.append("partner_id")
-    so = cat.table("sale_order", so_cols).withColumnRenamed("id", "_so_id").withColumnRenamed("name", "_oa")
+    so = cat.table("sale_order", so_cols).withColumnsRenamed({"id": "_so_id", "name": "_oa"})
     order_pred = filters.order_predicate()
     if order_pred is not None:
         # A salesperson / team filter rejects lines without an order (S15):
         # an inner join with the already filtered orders.
-        j = part.join(so.where(order_pred), part["oa_id"] == so["_so_id"], "inner")
+        j = part.join(so.where(order_pred), F.expr("oa_id = _so_id"), "inner")
     else:
-        j = part.join(so, part["oa_id"] == so["_so_id"], "left")
+        j = part.join(so, F.expr("oa_id = _so_id"), "left")
 
     if order_side:
         if group_type == "payment_terms":
-            apt = cat.table("account_payment_term", ["id", "name"]).select(
-                F.col("id").alias("_apt_id"), translated_label("name").alias("_grp"))
-            j = j.join(apt, j["payment_term_id"] == apt["_apt_id"], "left")
+            apt = cat.table("account_payment_term", ["id", "name"]).selectExpr(
+                "id AS _apt_id", f"{translated_label_sql('name')} AS _grp")
+            j = j.join(apt, F.expr("payment_term_id = _apt_id"), "left")
         else:
-            rp = cat.table("res_partner", ["id", "name"]).select(
-                F.col("id").alias("_rp_id"), F.col("name").alias("_grp"))
-            j = j.join(rp, j["partner_id"] == rp["_rp_id"], "left")
+            rp = cat.table("res_partner", ["id", "name"]).selectExpr("id AS _rp_id", "name AS _grp")
+            j = j.join(rp, F.expr("partner_id = _rp_id"), "left")
         j = j.where(F.col("_grp").isNull() if by_null else F.col("_grp") == F.lit(group_value))
 
-    pp = cat.table("product_product", ["id", "product_tmpl_id"]).withColumnRenamed("id", "_pp_id")
-    pt = cat.table("product_template", ["id", "name"]).select(
-        F.col("id").alias("_pt_id"), F.col("name").alias("_pt_name"))
-    j = j.join(pp, j["product_id"] == pp["_pp_id"], "left")
-    j = j.join(pt, j["product_tmpl_id"] == pt["_pt_id"], "left")
+    pp = cat.table("product_product", ["id", "product_tmpl_id"]).selectExpr("id AS _pp_id", "product_tmpl_id")
+    pt = cat.table("product_template", ["id", "name"]).selectExpr("id AS _pt_id", "name AS _pt_name")
+    j = j.join(pp, F.expr("product_id = _pp_id"), "left")
+    j = j.join(pt, F.expr("product_tmpl_id = _pt_id"), "left")
 
     out = j.groupBy("_oa", "fg_categ_type", "_pt_name").agg(
-        F.sum("_qty").alias("Qty"), F.sum("_value").alias("Value"))
+        F.expr("sum(_qty) AS Qty"), F.expr("sum(_value) AS Value"))
     return (out.orderBy(F.col("_oa").asc_nulls_last(), F.col("_pt_name").asc_nulls_last())
-            .select(F.col("_oa").alias("OA"), F.col("fg_categ_type").alias("Category"),
-                    translated_label("_pt_name").alias("Product"), "Qty",
-                    round0(F.col("Value")).alias("Value")))
+            .selectExpr("_oa AS OA", "fg_categ_type AS Category",
+                        f"{translated_label_sql('_pt_name')} AS Product", "Qty",
+                        f"{round0_sql('Value')} AS Value"))
 
 
 def drilldown_with_total(detail: DataFrame) -> DataFrame:

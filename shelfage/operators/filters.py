@@ -48,24 +48,26 @@ class Filters:
 
     def order_predicate(self) -> Column | None:
         """Predicate on ``sale_order``; rows without an order can never pass it."""
-        pred = None
+        parts = []
         if self.salesperson_id:
-            pred = F.col("user_id") == F.lit(self.salesperson_id)
+            parts.append(f"user_id = {int(self.salesperson_id)}")
         if self.team_id:
-            p = F.col("team_id") == F.lit(self.team_id)
-            pred = p if pred is None else pred & p
-        return pred
+            parts.append(f"team_id = {int(self.team_id)}")
+        return F.expr(" AND ".join(parts)) if parts else None
 
 
-def open_stock_predicate() -> Column:
+def open_stock_sql() -> str:
     """Lines waiting for FG packing, not done/closed (NULL state excluded), positive balance."""
-    return ((F.col("next_operation") == F.lit(FG_STAGE))
-            & ~F.col("state").isin(*CLOSED_STATES)
-            & (F.col("fg_balance") > 0))
+    states = ", ".join(f"'{x}'" for x in CLOSED_STATES)
+    return f"next_operation = '{FG_STAGE}' AND state NOT IN ({states}) AND fg_balance > 0"
+
+
+def open_stock_predicate() -> Column:
+    return F.expr(open_stock_sql())
 
 
 def fact_predicate(company: int | None) -> Column:
-    pred = open_stock_predicate()
+    sql = open_stock_sql()
     if company is not None:
-        pred = pred & (F.col("company_id") == F.lit(company))
-    return pred
+        sql += f" AND company_id = {int(company)}"
+    return F.expr(sql)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
@@ -26,8 +26,64 @@ FALLBACK_PRIORITY = "5-LOW"
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-def _en_us_json(text: Column) -> Column:
-    return F.concat(F.lit('{"en_US": "'), text, F.lit('"}'))
+def _en_us_json(text: str) -> str:
+    return f"""concat('{{"en_US": "', {text}, '"}}')"""
+
+
+def _fr_fr_json(text: str) -> str:
+    return f"""concat('{{"fr_FR": "', {text}, '"}}')"""
+
+
+_STATE = (f"CASE WHEN l_returnflag = 'R' THEN '{RETURNFLAG_STATE['R']}' "
+          f"WHEN l_returnflag = 'A' THEN '{RETURNFLAG_STATE['A']}' ELSE '{OTHER_STATE}' END")
+
+# canonical column -> Spark SQL expression over the driver's columns
+_EXPRS: dict[str, dict[str, str]] = {
+    "operation_details": {
+        "oa_id": "l_orderkey",
+        "product_id": "l_partkey",
+        "next_operation": f"CASE WHEN l_linestatus = '{OPEN_LINE_STATUS}' THEN '{STAGE_OPEN}' ELSE '{STAGE_OTHER}' END",
+        "state": _STATE,
+        "fg_balance": "CAST(l_quantity - 1 AS DECIMAL(14,2))",
+        "price_unit": "CAST(l_extendedprice AS DECIMAL(14,2))",
+        "action_date": "l_shipdate",
+        "company_id": "CAST(l_suppkey % 3 + 1 AS INT)",
+        "fg_categ_type": f"nullif(p_type, '{NO_CATEGORY_TYPE}')",
+        "buyer_name": "p_brand",
+    },
+    "sale_order": {
+        "id": "o_orderkey",
+        "name": "concat('OA-', CAST(o_orderkey AS STRING))",
+        "partner_id": "o_custkey",
+        "payment_term_id": f"CASE WHEN o_orderpriority = '{UNSET_PRIORITY}' THEN CAST(NULL AS INT) "
+                           "ELSE CAST(substring(o_orderpriority, 1, 1) AS INT) END",
+        "user_id": "o_custkey % 10",
+        "team_id": "c_nationkey",
+    },
+    "account_payment_term": {
+        "id": "CAST(substring(p, 1, 1) AS INT)",
+        "name": f"CASE WHEN p = '{FALLBACK_PRIORITY}' THEN {_fr_fr_json('p')} ELSE {_en_us_json('p')} END",
+    },
+    "res_partner": {"id": "c_custkey", "name": "c_name"},
+    "product_product": {"id": "p_partkey", "product_tmpl_id": "p_partkey"},
+    "product_template": {"id": "p_partkey", "name": _en_us_json("p_name")},
+    "res_company": {"id": "CAST(r_regionkey + 1 AS INT)", "name": "r_name"},
+    "res_users": {
+        "id": "s_suppkey",
+        "partner_id": "s_suppkey * 20",
+        "sale_team_id": "CASE WHEN s_nationkey % 4 = 0 THEN CAST(NULL AS INT) ELSE s_nationkey END",
+    },
+    "crm_team": {
+        "id": "n_nationkey",
+        "name": "n_name",
+        "company_id": "CASE WHEN n_regionkey = 0 THEN CAST(NULL AS INT) ELSE n_regionkey END",
+        "is_sales": "n_nationkey % 2 = 0",
+    },
+}
+
+# Parsed parquet relations, reused per session: the file listing and schema
+# read happen once, each action still reads the files.
+_RAW: dict[tuple[int, str], DataFrame] = {}
 
 
 class DriverCatalog(Catalog):
@@ -35,98 +91,37 @@ class DriverCatalog(Catalog):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-    # -- fact -------------------------------------------------------------
-    def _operation_details(self, cols: list[str]) -> DataFrame:
-        li = self.raw("lineitem")
-        state = F.when(F.col("l_returnflag") == "R", F.lit(RETURNFLAG_STATE["R"])) \
-            .when(F.col("l_returnflag") == "A", F.lit(RETURNFLAG_STATE["A"])) \
-            .otherwise(F.lit(OTHER_STATE))
-        exprs = {
-            "oa_id": F.col("l_orderkey"),
-            "product_id": F.col("l_partkey"),
-            "next_operation": F.when(F.col("l_linestatus") == OPEN_LINE_STATUS, F.lit(STAGE_OPEN))
-                               .otherwise(F.lit(STAGE_OTHER)),
-            "state": state,
-            "fg_balance": (F.col("l_quantity") - 1).cast("decimal(14,2)"),
-            "price_unit": F.col("l_extendedprice").cast("decimal(14,2)"),
-            "action_date": F.col("l_shipdate"),
-            "company_id": (F.col("l_suppkey") % 3 + 1).cast("int"),
-            "fg_categ_type": F.nullif(F.col("p_type"), F.lit(NO_CATEGORY_TYPE)),
-            "buyer_name": F.col("p_brand"),
-        }
-        if {"fg_categ_type", "buyer_name"} & set(cols):
-            part = self.raw("part").select("p_partkey", "p_type", "p_brand")
-            li = li.join(part, li["l_partkey"] == part["p_partkey"], "left")
-        return li.select(*[exprs[c].alias(c) for c in cols])
-
-    # -- dimensions -------------------------------------------------------
-    def _sale_order(self, cols: list[str]) -> DataFrame:
-        o = self.raw("orders")
-        prio = F.col("o_orderpriority")
-        exprs = {
-            "id": F.col("o_orderkey"),
-            "name": F.concat(F.lit("OA-"), F.col("o_orderkey").cast("string")),
-            "partner_id": F.col("o_custkey"),
-            "payment_term_id": F.when(prio == UNSET_PRIORITY, F.lit(None).cast("int"))
-                                .otherwise(F.substring(prio, 1, 1).cast("int")),
-            "user_id": F.col("o_custkey") % 10,
-            "team_id": F.col("c_nationkey"),
-        }
-        if "team_id" in cols:
-            cust = self.raw("customer").select("c_custkey", "c_nationkey")
-            o = o.join(cust, o["o_custkey"] == cust["c_custkey"], "left")
-        return o.select(*[exprs[c].alias(c) for c in cols])
-
-    def _account_payment_term(self, cols: list[str]) -> DataFrame:
-        prios = self.raw("orders").select(F.col("o_orderpriority").alias("p")) \
-            .where(F.col("p") != UNSET_PRIORITY).distinct()
-        exprs = {
-            "id": F.substring("p", 1, 1).cast("int"),
-            "name": F.when(F.col("p") == FALLBACK_PRIORITY, F.concat(F.lit('{"fr_FR": "'), F.col("p"), F.lit('"}')))
-                     .otherwise(_en_us_json(F.col("p"))),
-        }
-        return prios.select(*[exprs[c].alias(c) for c in cols])
-
-    def _res_partner(self, cols):
-        exprs = {"id": F.col("c_custkey"), "name": F.col("c_name")}
-        return self.raw("customer").select(*[exprs[c].alias(c) for c in cols])
-
-    def _product_product(self, cols):
-        exprs = {"id": F.col("p_partkey"), "product_tmpl_id": F.col("p_partkey")}
-        return self.raw("part").select(*[exprs[c].alias(c) for c in cols])
-
-    def _product_template(self, cols):
-        exprs = {"id": F.col("p_partkey"), "name": _en_us_json(F.col("p_name"))}
-        return self.raw("part").select(*[exprs[c].alias(c) for c in cols])
-
-    def _res_company(self, cols):
-        exprs = {"id": (F.col("r_regionkey") + 1).cast("int"), "name": F.col("r_name")}
-        return self.raw("region").select(*[exprs[c].alias(c) for c in cols])
-
-    def _res_users(self, cols):
-        exprs = {
-            "id": F.col("s_suppkey"),
-            "partner_id": F.col("s_suppkey") * 20,
-            "sale_team_id": F.when(F.col("s_nationkey") % 4 == 0, F.lit(None).cast("int"))
-                             .otherwise(F.col("s_nationkey")),
-        }
-        return self.raw("supplier").select(*[exprs[c].alias(c) for c in cols])
-
-    def _crm_team(self, cols):
-        exprs = {
-            "id": F.col("n_nationkey"),
-            "name": F.col("n_name"),
-            "company_id": F.when(F.col("n_regionkey") == 0, F.lit(None).cast("int"))
-                           .otherwise(F.col("n_regionkey")),
-            "is_sales": F.col("n_nationkey") % 2 == 0,
-        }
-        return self.raw("nation").select(*[exprs[c].alias(c) for c in cols])
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark), path)
+        df = _RAW.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = _RAW[key] = self.spark.read.parquet(path)
+        return df
+
+    def _project(self, name: str, src: DataFrame, cols: list[str]) -> DataFrame:
+        exprs = _EXPRS[name]
+        return src.selectExpr(*[f"{exprs[c]} AS {c}" for c in cols])
 
     def table(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
         cols = self._columns(name, columns)
-        return getattr(self, f"_{name}")(cols)
+        if name == "operation_details":
+            src = self.raw("lineitem")
+            if {"fg_categ_type", "buyer_name"} & set(cols):
+                # part attributes are needed only for these two columns
+                part = self.raw("part").select("p_partkey", "p_type", "p_brand")
+                src = src.join(part, F.expr("l_partkey = p_partkey"), "left")
+        elif name == "sale_order":
+            src = self.raw("orders")
+            if "team_id" in cols:
+                cust = self.raw("customer").select("c_custkey", "c_nationkey")
+                src = src.join(cust, F.expr("o_custkey = c_custkey"), "left")
+        elif name == "account_payment_term":
+            src = (self.raw("orders").selectExpr("o_orderpriority AS p")
+                   .where(F.expr(f"p <> '{UNSET_PRIORITY}'")).distinct())
+        else:
+            src = self.raw({"res_partner": "customer", "product_product": "part", "product_template": "part",
+                            "res_company": "region", "res_users": "supplier", "crm_team": "nation"}[name])
+        return self._project(name, src, cols)
 
 
 # DuckDB text of the same mapping, as CTEs over the driver's views. Used by
