@@ -90,8 +90,9 @@ def _kpis(spark, d):
 
 
 def _drill_with_total(spark, d):
-    detail = dd.drilldown(_cat(spark, d), Filters(COMPANY), "buyer", BUYER_VALUE, "Value_30+", AS_OF)
-    return dd.drilldown_with_total(detail).withColumn("Qty", F.col("Qty").cast("double"))
+    detail = dd.drilldown(_cat(spark, d), Filters(COMPANY), "buyer", BUYER_VALUE, "Value_30+", AS_OF,
+                          with_total=True)
+    return detail.withColumn("Qty", F.col("Qty").cast("double"))
 
 
 def _export_roundtrip(spark, d):

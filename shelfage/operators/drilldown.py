@@ -40,13 +40,16 @@ def group_selected(group_type: str | None, group_value: str | None) -> bool:
 
 def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: str | None = None,
               group_value: str | None = None, bucket: str | None = None,
-              as_of: dt.date | str | None = None, null_group: bool = False) -> DataFrame:
+              as_of: dt.date | str | None = None, null_group: bool = False,
+              with_total: bool = False) -> DataFrame:
     """Detail rows ``OA, Category, Product, Qty, Value`` of one report cell (REP-8).
 
     ``bucket`` is the clicked metric column (``Balance_6-10``, ``Value_30+``,
     ``Total_Balance`` ...); a name that is not a bucket means every age,
     including future and undated lines. ``null_group=True`` selects the
     NULL group of ``group_type`` instead of the reference's "all groups".
+    ``with_total=True`` adds the ``Total`` row (REP-11) from the same
+    aggregate, with ``row_type`` / ``row_order`` columns.
     """
     if not isinstance(filters, Filters):
         filters = Filters.from_mapping(filters)
@@ -106,16 +109,34 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
     j = j.join(pp, F.expr("product_id = _pp_id"), "left")
     j = j.join(pt, F.expr("product_tmpl_id = _pt_id"), "left")
 
-    out = j.groupBy("_oa", "fg_categ_type", "_pt_name").agg(
-        F.expr("sum(_qty) AS Qty"), F.expr("sum(_value) AS Value"))
-    return (out.orderBy(F.col("_oa").asc_nulls_last(), F.col("_pt_name").asc_nulls_last())
-            .selectExpr("_oa AS OA", "fg_categ_type AS Category",
-                        f"{translated_label_sql('_pt_name')} AS Product", "Qty",
-                        f"{round0_sql('Value')} AS Value"))
+    keys = ["_oa", "fg_categ_type", "_pt_name"]
+    if not with_total:
+        out = j.groupBy(*keys).agg(F.expr("sum(_qty) AS Qty"), F.expr("sum(_value) AS Value"))
+        return (out.orderBy(F.col("_oa").asc_nulls_last(), F.col("_pt_name").asc_nulls_last())
+                .selectExpr("_oa AS OA", "fg_categ_type AS Category",
+                            f"{translated_label_sql('_pt_name')} AS Product", "Qty",
+                            f"{round0_sql('Value')} AS Value"))
+    # Detail groups and the grand total from one aggregate (GROUPING SETS
+    # (keys, ())); told apart by grouping id, as NULL keys are real groups.
+    out = j.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
+        F.expr("sum(_qty) AS Qty"), F.expr("sum(_value) AS Value"),
+        F.expr("grouping_id(_oa, fg_categ_type, _pt_name) AS _gid"))
+    return out.selectExpr(
+        f"CASE WHEN _gid = 0 THEN _oa ELSE '{TOTAL_WORD}' END AS OA",
+        "CASE WHEN _gid = 0 THEN fg_categ_type END AS Category",
+        f"CASE WHEN _gid = 0 THEN {translated_label_sql('_pt_name')} END AS Product",
+        "CASE WHEN _gid = 0 THEN Qty ELSE coalesce(Qty, 0) END AS Qty",
+        f"CASE WHEN _gid = 0 THEN {round0_sql('Value')} ELSE coalesce({round0_sql('Value')}, 0) END AS Value",
+        "CASE WHEN _gid = 0 THEN 'detail' ELSE 'total' END AS row_type",
+        "CASE WHEN _gid = 0 THEN 0 ELSE 1 END AS row_order")
 
 
 def drilldown_with_total(detail: DataFrame) -> DataFrame:
-    """Detail rows followed by one ``Total`` row (REP-11, SET-2).
+    """Detail rows followed by one ``Total`` row (REP-11, SET-2), for any detail frame.
+
+    This evaluates ``detail`` twice (rows and total); for a drill-down
+    built here, ``drilldown(..., with_total=True)`` gives the same rows
+    from one aggregate.
 
     ``row_type`` (``detail`` / ``total``) and ``row_order`` carry the
     position, so the result can be written and re-read without losing it.

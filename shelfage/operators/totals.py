@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import thousands_label
+from ..functions.expressions import ident, thousands_label
 from ..schema import (
     DIMENSIONS, EXPORT_METRIC_COLS, KPI_ROWS, KPI_SOURCES, METRIC_COLS, SCREEN_METRIC_COLS, TOTAL_WORD,
 )
@@ -27,6 +27,34 @@ def totals_row(report: DataFrame, metrics: Sequence[str] = METRIC_COLS) -> DataF
     return report.agg(*[F.sum(_zero(c)).alias(c) for c in metrics])
 
 
+def _with_total_sets(df: DataFrame, keys: list[str], label: str, totals_first: bool) -> DataFrame:
+    """Rows of ``df`` (unique per ``keys + [label]``) plus one ``Total`` row per ``keys`` group.
+
+    One aggregate over ``GROUPING SETS ((keys, label), (keys))``: the
+    detail sets are the rows themselves (label is unique), the other set
+    is the totals row. Rows are told apart by ``grouping_id``, never by a
+    NULL label, because NULL is a real group. The report is read once, so
+    a totals row never costs a second scan of the fact table.
+    """
+    sets = [[*keys, label], list(keys)]
+    aggs = []
+    for c in METRIC_COLS:
+        aggs.append(F.expr(f"sum({ident(c)}) AS {ident('_r_' + c)}"))
+        aggs.append(F.expr(f"sum(coalesce({ident(c)}, 0)) AS {ident('_t_' + c)}"))
+    all_keys = [*keys, label]
+    gid = f"grouping_id({', '.join(ident(k) for k in all_keys)})"
+    g = df.groupingSets([[F.col(k) for k in s] for s in sets], *all_keys).agg(*aggs, F.expr(f"{gid} AS _gid"))
+    pos_total = 0 if totals_first else 2
+    return g.selectExpr(
+        *[ident(k) for k in keys],
+        f"CASE WHEN _gid = 0 THEN {ident(label)} ELSE '{TOTAL_WORD}' END AS {ident(label)}",
+        *[f"CASE WHEN _gid = 0 THEN {ident('_r_' + c)} ELSE {ident('_t_' + c)} END AS {ident(c)}"
+          for c in METRIC_COLS],
+        "CASE WHEN _gid = 0 THEN 'row' ELSE 'total' END AS row_type",
+        f"CASE WHEN _gid = 0 THEN 1 ELSE {pos_total} END AS row_order",
+    )
+
+
 def report_with_totals(report: DataFrame, dimension: str, totals_first: bool = True) -> DataFrame:
     """``Total`` row stacked on a report (REP-10, SET-1).
 
@@ -34,12 +62,12 @@ def report_with_totals(report: DataFrame, dimension: str, totals_first: bool = T
     ``row_order`` (0 for the total when it comes first, 2 when last), not
     by physical order, so it survives a shuffle or a write.
     """
-    label = DIMENSIONS[dimension].label
-    pos_total, pos_rows = (0, 1) if totals_first else (2, 1)
-    total = totals_row(report).select(F.lit(TOTAL_WORD).alias(label), *METRIC_COLS,
-                                      F.lit("total").alias("row_type"), F.lit(pos_total).alias("row_order"))
-    rows = report.select(label, *METRIC_COLS, F.lit("row").alias("row_type"), F.lit(pos_rows).alias("row_order"))
-    return total.unionByName(rows) if totals_first else rows.unionByName(total)
+    return _with_total_sets(report, [], DIMENSIONS[dimension].label, totals_first)
+
+
+def bundle_with_totals(stacked: DataFrame, totals_first: bool = True) -> DataFrame:
+    """Every report of a stacked bundle with its own ``Total`` row, in one pass."""
+    return _with_total_sets(stacked, ["dimension"], "label", totals_first)
 
 
 def bundle_totals(stacked: DataFrame) -> DataFrame:

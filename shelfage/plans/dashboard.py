@@ -73,7 +73,7 @@ def download_excel(cat: Catalog, filters=None, as_of: dt.date | str | None = Non
 def download_drilldown(cat: Catalog, filters, group_type, group_value, bucket,
                        as_of: dt.date | str | None = None, path: str | None = None,
                        fmt: str = "parquet") -> str:
-    detail = drilldown(cat, _filters(filters), group_type, group_value, bucket, as_of)
+    detail = drilldown(cat, _filters(filters), group_type, group_value, bucket, as_of, with_total=True)
     target = path or scratch_path(cat_spark(cat), "drilldown")
     return write_drilldown(detail, target, group_value, bucket, fmt)
 

@@ -1,10 +1,9 @@
 """Sinks: canonical table layout, report exports and their names (SNK-1..4).
 
 Exports are directories of parquet (or CSV) written by the executors; the
-driver only plans them. A report bundle is written once, partitioned by
-dimension, and the totals / KPI tables are then derived from that written
-table, so the fact table is scanned once per export however many tables
-it produces.
+driver only plans them. A report bundle and its totals rows are written by
+one job (one fact scan), partitioned by dimension; the KPI table is then
+derived from that written table, never from the fact again.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions.expressions import as_date
 from .operators.drilldown import drilldown_with_total
-from .operators.totals import bundle_totals, kpi_summary, kpi_table
-from .schema import DIMENSIONS, EXPORT_FILE_PREFIX, EXPORT_METRIC_COLS, TABLE_COLUMNS, TOTAL_WORD
+from .operators.totals import bundle_with_totals, kpi_summary, kpi_table
+from .schema import DIMENSIONS, EXPORT_FILE_PREFIX, EXPORT_METRIC_COLS, TABLE_COLUMNS
 from .sources.catalog import Catalog
 
 
@@ -55,23 +54,19 @@ def write_reports(stacked: DataFrame, path: str, as_of: dt.date | str | None = N
     Layout below ``<path>/FG_Stock_Aging_<yyyymmdd>``:
     ``reports/dimension=<d>/`` -- each report with its ``Total`` row, export
     column order (interleaved, totals last), ``row_type`` / ``row_order``;
-    ``summary/`` -- the KPI table. Returns the export directory.
+    ``summary/`` -- the KPI table (read back from the written payment-terms
+    rows). Returns the export directory.
     """
     out = f"{path.rstrip('/')}/{export_name(as_of)}"
     spark = stacked.sparkSession
-    # 1) the bundle itself: one job, one fact scan
-    rows = stacked.select("dimension", "label", *EXPORT_METRIC_COLS,
-                          F.lit("row").alias("row_type"), F.lit(1).alias("row_order"))
-    rows.write.mode(mode).format(fmt).options(**_fmt_opts(fmt)).partitionBy("dimension").save(f"{out}/rows")
-    # 2) totals and KPIs from the written rows (small), not from the fact
-    written = read_rows(spark, f"{out}/rows", fmt)
-    totals = bundle_totals(written).select(
-        "dimension", F.lit(TOTAL_WORD).alias("label"), *EXPORT_METRIC_COLS,
-        F.lit("total").alias("row_type"), F.lit(0).alias("row_order"))
-    reports = totals.unionByName(written.select(*totals.columns))
-    reports.write.mode(mode).format(fmt).options(**_fmt_opts(fmt)).partitionBy("dimension").save(f"{out}/reports")
-    pt = written.where(F.col("dimension") == "payment_terms")
-    kpi_table(kpi_summary(pt)).coalesce(1).write.mode(mode).format(fmt).options(**_fmt_opts(fmt)).save(f"{out}/summary")
+    opts = _fmt_opts(fmt)
+    # 1) reports with their totals rows: one job, one fact scan
+    reports = bundle_with_totals(stacked).select("dimension", "label", *EXPORT_METRIC_COLS, "row_type", "row_order")
+    reports.write.mode(mode).format(fmt).options(**opts).partitionBy("dimension").save(f"{out}/reports")
+    # 2) KPI summary from the written payment-terms rows (small), not from the fact
+    pt = (read_rows(spark, f"{out}/reports", fmt)
+          .where((F.col("dimension") == "payment_terms") & (F.col("row_type") == "row")))
+    kpi_table(kpi_summary(pt)).coalesce(1).write.mode(mode).format(fmt).options(**opts).save(f"{out}/summary")
     return out
 
 
@@ -95,7 +90,12 @@ def read_report(spark: SparkSession, export_dir: str, dimension: str, fmt: str =
 
 def write_drilldown(detail: DataFrame, path: str, group_value: str | None, bucket: str | None,
                     fmt: str = "parquet", mode: str = "errorifexists") -> str:
-    """Detail rows plus their total row below ``<path>/<group_value>_<bucket>`` (SNK-3, SNK-4)."""
+    """Detail rows plus their total row below ``<path>/<group_value>_<bucket>`` (SNK-3, SNK-4).
+
+    ``detail`` may already carry its total (``drilldown(..., with_total=True)``).
+    """
     out = f"{path.rstrip('/')}/{drilldown_export_name(group_value, bucket)}"
-    drilldown_with_total(detail).write.mode(mode).format(fmt).options(**_fmt_opts(fmt)).save(out)
+    if "row_type" not in detail.columns:
+        detail = drilldown_with_total(detail)
+    detail.write.mode(mode).format(fmt).options(**_fmt_opts(fmt)).save(out)
     return out
