@@ -134,11 +134,20 @@ def labelled_partials(cat: Catalog, filters: Filters | None = None, as_of: dt.da
 
 
 def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """Left-join order-side labels to the per-order partial sums."""
-    so_cols = ["id"] + (["payment_term_id"] if "payment_terms" in order_dims else []) + \
+    """Left-join order-side labels to the per-order partial sums.
+
+    The join to ``sale_order`` is on its unique id, so it cannot skew. Its
+    result is folded again by ``(payment term id, partner id, bucket)``
+    before the partner join: a customer holding a third of all orders
+    becomes a few partial rows per task (map-side combine) instead of a
+    third of the join input landing in one partition, and the partner join
+    reads one row per partner, term and bucket instead of one per order.
+    """
+    label_keys = (["payment_term_id"] if "payment_terms" in order_dims else []) + \
         (["partner_id"] if "customer" in order_dims else [])
-    so = cat.table("sale_order", so_cols).withColumnRenamed("id", "_so_id")
-    j = g.join(so, F.expr("oa_id = _so_id"), "left")
+    so = cat.table("sale_order", ["id", *label_keys]).withColumnRenamed("id", "_so_id")
+    keep = [c for c in g.columns if c not in ("oa_id", "balance", "value")]  # _gid, bucket, fact keys
+    j = g.join(so, F.expr("oa_id = _so_id"), "left").groupBy(*keep, *label_keys).agg(*_sums())
     label_cols = {}
     if "payment_terms" in order_dims:
         apt = cat.table("account_payment_term", ["id", "name"]) \
