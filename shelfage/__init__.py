@@ -1,0 +1,3 @@
+"""shelfage: stock-ageing analytics as Spark DataFrame plans."""
+
+__version__ = "0.1.0"

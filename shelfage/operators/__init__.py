@@ -1,0 +1 @@
+"""Operators: filters, ageing aggregates, drill-down, totals / KPIs and lookups."""

@@ -1,0 +1,9 @@
+"""User-level calls (dashboard load, drill-down, exports) composed from the operators."""
+
+from .dashboard import (
+    dashboard_summary, download_drilldown, download_excel, get_dashboard_data, get_drilldown_data,
+    materialized_bundle,
+)
+
+__all__ = ["dashboard_summary", "download_drilldown", "download_excel", "get_dashboard_data",
+           "get_drilldown_data", "materialized_bundle"]

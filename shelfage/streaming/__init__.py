@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analytics this package rebuilds are recomputed per request over the
+stored tables; they have no stream source, watermark, window or state, so
+there is no Structured Streaming operator here (see README, "Not built").
+"""
