@@ -11,8 +11,9 @@ Plan shape:
    additive and can be folded before any join; a hot order or the NULL
    order becomes a few partial rows per task instead of millions of lines.
 3. Left joins to orders (name, and the filter / label columns the cell
-   needs), then to product variant and template for the product name.
-   Only the joins that the selection needs are added.
+   needs), then to the product name (variant joined to template first, so
+   the large side is joined once). Only the joins that the selection
+   needs are added.
 4. Final aggregate by ``(order name, category, raw product JSON)``: rows
    are keyed by the product's whole JSON, but show its translated label.
 """
@@ -104,10 +105,13 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
             j = j.join(rp, F.expr("partner_id = _rp_id"), "left")
         j = j.where(F.col("_grp").isNull() if by_null else F.col("_grp") == F.lit(group_value))
 
+    # Variant -> template first (two dimension tables), then one join of the
+    # fact side: the same rows as chaining both left joins on the fact, with
+    # one shuffle of the large side instead of two when nothing is broadcast.
     pp = cat.table("product_product", ["id", "product_tmpl_id"]).selectExpr("id AS _pp_id", "product_tmpl_id")
     pt = cat.table("product_template", ["id", "name"]).selectExpr("id AS _pt_id", "name AS _pt_name")
-    j = j.join(pp, F.expr("product_id = _pp_id"), "left")
-    j = j.join(pt, F.expr("product_tmpl_id = _pt_id"), "left")
+    product = pp.join(pt, F.expr("product_tmpl_id = _pt_id"), "left").select("_pp_id", "_pt_name")
+    j = j.join(product, F.expr("product_id = _pp_id"), "left")
 
     keys = ["_oa", "fg_categ_type", "_pt_name"]
     if not with_total:

@@ -30,21 +30,42 @@ def drilldown_export_name(group_value: str | None, bucket: str | None) -> str:
     return f"{group_value}_{bucket}".replace(" ", "_")
 
 
-def write_canonical(cat: Catalog, root: str, mode: str = "errorifexists") -> None:
+def write_canonical(cat: Catalog, root: str, mode: str = "errorifexists", buckets: int | None = None,
+                    table_prefix: str = "") -> None:
     """Store the canonical tables as parquet below ``root``.
 
     The fact is partitioned by ``company_id`` so the dashboard's company
-    filter prunes whole directories, and sorted within partitions by
-    ``action_date`` so age-range filters skip row groups.
+    filter prunes whole directories.
+
+    Without ``buckets`` (read back with ``ParquetCatalog``) each fact file
+    is sorted by ``action_date``, so age-range filters skip row groups.
+
+    With ``buckets`` the tables are also registered in the session catalog
+    as ``<table_prefix><name>`` (read back with ``TableCatalog``): the fact
+    is bucketed and sorted by ``oa_id`` and ``sale_order`` by ``id`` with
+    the same bucket count, so the per-order aggregate and the order join of
+    the order-side reports and drill-downs run without any shuffle of the
+    two largest tables. Each writer task holds exactly one bucket
+    (``repartition`` on the bucket key), so every company directory gets
+    ``buckets`` files.
     """
     root = root.rstrip("/")
+    keys = {"operation_details": "oa_id", "sale_order": "id"}
     for name in TABLE_COLUMNS:
         df = cat.table(name)
-        if name == "operation_details":
+        path = f"{root}/{name}"
+        if buckets:
+            w = (df.repartition(buckets, keys[name]) if name in keys else df).write.mode(mode)
+            if name == "operation_details":
+                w = w.partitionBy("company_id")
+            if name in keys:
+                w = w.bucketBy(buckets, keys[name]).sortBy(keys[name])
+            w.option("path", path).saveAsTable(f"{table_prefix}{name}")
+        elif name == "operation_details":
             (df.repartition("company_id").sortWithinPartitions("action_date")
-             .write.mode(mode).partitionBy("company_id").parquet(f"{root}/{name}"))
+             .write.mode(mode).partitionBy("company_id").parquet(path))
         else:
-            df.write.mode(mode).parquet(f"{root}/{name}")
+            df.write.mode(mode).parquet(path)
 
 
 def write_reports(stacked: DataFrame, path: str, as_of: dt.date | str | None = None,

@@ -57,3 +57,18 @@ class ParquetCatalog(Catalog):
     def table(self, name, columns=None):
         df = self.spark.read.parquet(f"{self.root}/{name}")
         return df.select(*self._columns(name, columns))
+
+
+class TableCatalog(Catalog):
+    """Canonical tables registered in the session catalog as ``<prefix><table>``.
+
+    Used for the bucketed layout of ``sinks.write_canonical(..., buckets=n)``:
+    bucket specs live in the catalog, so only tables (not bare paths) let
+    Spark plan bucketed, shuffle-free aggregates and joins on the order key.
+    """
+
+    def __init__(self, spark: SparkSession, prefix: str = ""):
+        self.spark, self.prefix = spark, prefix
+
+    def table(self, name, columns=None):
+        return self.spark.table(f"{self.prefix}{name}").select(*self._columns(name, columns))

@@ -117,3 +117,43 @@ def test_totals_do_not_rescan(spark):
     assert scans(report_with_totals(rep, "customer"), "lineitem.parquet") == 1
     d = dd.drilldown(cat, Filters(1), "buyer", "Brand#1", "Total_Value", AS_OF, with_total=True)
     assert scans(d, "lineitem.parquet") == 1
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark):
+    from shelfage.sources import TableCatalog
+    root = scratch_path(spark, "bucketed")
+    write_canonical(DriverCatalog(spark, SF0001), root, buckets=4, table_prefix="bk_")
+    return TableCatalog(spark, "bk_")
+
+
+def _exchanges_below_first_join(df) -> list[str]:
+    """Exchange nodes feeding the order join (broadcasts turned off)."""
+    p = df._jdf.queryExecution().executedPlan().toString()
+    lines = p.splitlines()
+    j = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line and "_so_id" in line)
+    depth = len(lines[j]) - len(lines[j].lstrip(" :+-"))
+    below = []
+    for line in lines[j + 1:]:
+        d = len(line) - len(line.lstrip(" :+-"))
+        if d <= depth:
+            break
+        if "Exchange" in line:
+            below.append(line.strip())
+    return below
+
+
+def test_bucketed_layout_order_join_without_shuffle(spark, bucketed):
+    drv = DriverCatalog(spark, SF0001)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rep = aging.aging_report(bucketed, "customer", Filters(1), AS_OF)
+        assert _exchanges_below_first_join(rep) == []
+        det = dd.drilldown(bucketed, Filters(1), "customer", "Total", "Total_Balance", AS_OF)
+        assert _exchanges_below_first_join(det) == []
+        assert rep.collect() == aging.aging_report(drv, "customer", Filters(1), AS_OF).collect()
+        assert sorted(map(tuple, det.collect()), key=str) == sorted(
+            map(tuple, dd.drilldown(drv, Filters(1), "customer", "Total", "Total_Balance", AS_OF).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
