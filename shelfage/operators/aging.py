@@ -51,7 +51,14 @@ def _order_filter(cat: Catalog, filters: Filters) -> DataFrame:
 
 def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[str] = (),
                 company_scope: bool = True) -> DataFrame:
-    """Filtered fact lines: ``oa_id``, extra fact columns, ``bucket``, ``balance``, ``value``."""
+    """Filtered fact lines: ``oa_id``, extra fact columns, ``bucket``, ``balance``, ``value``.
+
+    With a salesperson / team filter the lines are first folded per
+    ``(oa_id, extra columns, bucket)`` and only then semi-joined with the
+    matching orders: map-side combine turns an order holding a third of all
+    lines into a few rows per task, so the join never shuffles raw lines
+    by a hot order key. Sums are additive, so callers see the same totals.
+    """
     extra = list(dict.fromkeys(extra))
     cols = ["oa_id", "next_operation", "state", "fg_balance", "price_unit", "action_date", "company_id", *extra]
     od = cat.table("operation_details", list(dict.fromkeys(cols)))
@@ -63,10 +70,13 @@ def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[
         "fg_balance * price_unit AS value",
     )
     if filters.needs_orders:
-        # semi join: a selective salesperson/team becomes a runtime filter on
-        # the fact scan, and AQE broadcasts the order side once it is small
-        so = _order_filter(cat, filters)
-        lines = lines.join(so, F.expr("oa_id = _so_id"), "left_semi")
+        keys = ["oa_id", *[c for c in extra if c != "oa_id"], "bucket"]
+        lines = lines.groupBy(*keys).agg(*_sums())
+        # S15: the reference's LEFT JOIN plus a filter on the order is an
+        # inner join. Written as one (not as a semi join, which Catalyst
+        # would push back below the fold onto the raw lines); AQE
+        # broadcasts the filtered orders when they turn out small.
+        lines = lines.join(_order_filter(cat, filters), F.expr("oa_id = _so_id"), "inner").drop("_so_id")
     return lines
 
 
