@@ -78,6 +78,10 @@ def _bundle(spark, d):
     return aging.bundle(_cat(spark, d), Filters(COMPANY), AS_OF)
 
 
+def _bundle_filtered(spark, d):
+    return aging.bundle(_cat(spark, d), Filters(COMPANY, SALESPERSON, TEAM), AS_OF)
+
+
 def _with_totals(dim: str, totals_first: bool = True, order: str = "query"):
     def q(spark, d):
         rep = aging.aging_report(_cat(spark, d), dim, Filters(COMPANY), AS_OF)
@@ -123,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # AGG-8, RSH-1
         "aging_long_cube": _long_cube,
         "aging_bundle_one_pass": _bundle,
+        "aging_bundle_salesperson_team": _bundle_filtered,
         # REP-8: bucket selectors (group 'Total' = all groups)
         "drill_total": _drill("payment_terms", "Total", "Total_Balance"),
     }
@@ -140,6 +145,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # FLT-14, S17, S18
         "drill_group_total_bypass": _drill("customer", None, "Balance_6-10"),
         "drill_unknown_group_type": _drill("warehouse", "X", "Value_11-15"),
+        "drill_default_company": _drill("item_category", ITEM_VALUE, "Balance_30+",
+                                        Filters.from_mapping({"company_id": None}, default_company=3)),
         "drill_null_group": _drill("payment_terms", None, "Total_Balance", null_group=True),
         # REP-11
         "drill_with_total": _drill_with_total,
@@ -240,8 +247,8 @@ def _long_cube_sql() -> str:
     return _with("\nUNION ALL\n".join(parts))
 
 
-def _bundle_body() -> str:
-    parts = [f"SELECT '{dim}' AS dimension, * FROM ({_report_body(dim, _filter_sql(COMPANY), True, 'label')})"
+def _bundle_body(user=None, team=None) -> str:
+    parts = [f"SELECT '{dim}' AS dimension, * FROM ({_report_body(dim, _filter_sql(COMPANY, user, team), True, 'label')})"
              for dim in DIMENSIONS]
     return "\nUNION ALL\n".join(parts)
 
@@ -345,6 +352,7 @@ def oracle_sql() -> dict[str, str]:
         "aging_default_company": _report_sql("customer", 3),
         "aging_long_cube": _long_cube_sql(),
         "aging_bundle_one_pass": _with(_bundle_body()),
+        "aging_bundle_salesperson_team": _with(_bundle_body(SALESPERSON, TEAM)),
         "drill_total": _drill_sql("payment_terms", "Total", "Total_Balance"),
     }
     for i, (name, _, _) in enumerate(BUCKETS):
@@ -359,6 +367,7 @@ def oracle_sql() -> dict[str, str]:
         "drill_salesperson_team": _drill_sql("customer", "Total", "Value_30+", user=SALESPERSON, team=TEAM),
         "drill_group_total_bypass": _drill_sql("customer", None, "Balance_6-10"),
         "drill_unknown_group_type": _drill_sql("warehouse", "X", "Value_11-15"),
+        "drill_default_company": _drill_sql("item_category", ITEM_VALUE, "Balance_30+", company=3),
         "drill_null_group": _drill_sql("payment_terms", None, "Total_Balance", null_group=True),
         "drill_with_total": _drill_with_total_sql(),
         **{f"report_with_totals_{d}": _with_totals_sql(d) for d in DIMENSIONS},
