@@ -160,3 +160,41 @@ def test_bucketed_layout_order_join_without_shuffle(spark, bucketed):
             map(tuple, dd.drilldown(drv, Filters(1), "customer", "Total", "Total_Balance", AS_OF).collect()), key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hot_order_join_is_split(spark):
+    """One order holds a third of all lines, over many products: after the
+    per-(order, category, product) fold it still has thousands of rows, and
+    AQE's skew join must split its partition of the order join."""
+    from shelfage.sources import DataFrameCatalog
+    n = 30000
+    od = spark.range(n).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS oa_id", "id % 5000 AS product_id",
+        "'FG Packing' AS next_operation", "'open' AS state", "CAST(1.5 AS DECIMAL(14,2)) AS fg_balance",
+        "CAST(2 AS DECIMAL(14,2)) AS price_unit", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS action_date",
+        "1 AS company_id", "'Zip' AS fg_categ_type", "'B' AS buyer_name")
+    so = spark.range(n).selectExpr("id", "concat('OA-', id) AS name", "CAST(1 AS INT) AS payment_term_id",
+                                   "id % 100 AS partner_id", "id % 7 AS user_id", "CAST(1 AS INT) AS team_id")
+    pp = spark.range(5000).selectExpr("id", "id AS product_tmpl_id")
+    pt = spark.range(5000).selectExpr("id", "concat('{\"en_US\": \"P', id, '\"}') AS name")
+    cat = DataFrameCatalog({"operation_details": od, "sale_order": so, "product_product": pp,
+                            "product_template": pt})
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = dd.drilldown(cat, Filters(1), "payment_terms", "Total", "Total_Balance", dt.date(2024, 3, 1))
+        rows = df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString()
+        assert any("SortMergeJoin(skew=true)" in line and "_so_id" in line for line in final.splitlines())
+        hot = [r for r in rows if r.OA == "OA-1"]
+        # multiples of 3 hit every product residue mod 5000 (3 and 5000 are coprime)
+        assert len(hot) == 5000 and sum(float(r.Qty) for r in hot) == 1.5 * (n // 3)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
