@@ -2,17 +2,20 @@
 
 Plan shape (all declarative; Catalyst/AQE choose the physical operators):
 
-1. One scan of the fact with the stock, company and optional order filters
-   pushed to the reader, producing ``(bucket, balance, value)`` per line.
-2. One map-side-combined aggregate over that scan. Fact-side dimensions
-   (item category, buyer) are finished right there; for order-side
-   dimensions (payment term, customer) the lines are first collapsed per
-   order and bucket, so the joins to ``sale_order`` and ``res_partner``
-   see at most eight rows per order instead of every line, and a hot key
-   (one huge order, one huge customer, the NULL order) is already folded
-   into a handful of partial sums before any shuffle.
-3. A second, small aggregate by label and bucket, and a widening step that
-   pivots the (at most eight) bucket rows per label into fixed columns.
+1. One scan of the fact with the stock and company predicates pushed to
+   the reader, producing ``(bucket, balance, value)`` per line.
+2. Order-side dimensions (payment term, customer): one map-side-combined
+   aggregate folds the lines per ``(order, bucket)`` -- in the bundle the
+   same aggregate also folds per ``(category, bucket)`` and ``(buyer,
+   bucket)`` through grouping sets -- so the join to ``sale_order`` sees
+   at most eight rows per order, and a hot order or the NULL order is a
+   handful of partial sums before any shuffle. After that join the rows
+   are folded again per ``(payment term, partner, bucket)`` so that the
+   partner join cannot be skewed by a hot customer.
+   Fact-side dimensions alone (item category, buyer) need no join: lines
+   are tagged with their labels and aggregated once.
+3. The widening aggregate by ``(dimension, label)`` pivots the (at most
+   eight) bucket rows per label into fixed columns.
 
 Sums stay exact decimals until the very end; rounding happens after the
 sum (and only in the dashboard variants).
@@ -54,7 +57,7 @@ def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[
     """Filtered fact lines: ``oa_id``, extra fact columns, ``bucket``, ``balance``, ``value``.
 
     With a salesperson / team filter the lines are first folded per
-    ``(oa_id, extra columns, bucket)`` and only then semi-joined with the
+    ``(oa_id, extra columns, bucket)`` and only then joined with the
     matching orders: map-side combine turns an order holding a third of all
     lines into a few rows per task, so the join never shuffles raw lines
     by a hot order key. Sums are additive, so callers see the same totals.
