@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from shelfage.operators import aging, drilldown as dd, lookups, totals
 from shelfage.operators.filters import Filters
-from shelfage.schema import BUCKETS, DIMENSIONS, EXPORT_METRIC_COLS, KPI_ROWS, KPI_SOURCES, METRIC_COLS
+from shelfage.functions.expressions import clean_bucket_name
+from shelfage.operators.filters import open_stock_sql
+from shelfage.schema import BUCKETS, DIMENSIONS, EXPORT_METRIC_COLS, KPI_ROWS, KPI_SOURCES, METRIC_COLS, TOTAL_WORD
 from shelfage.session import scratch_path
 from shelfage.sinks import read_report, write_reports
 from shelfage.sources.driver_tables import DUCKDB_CANONICAL_CTES, DriverCatalog
@@ -175,8 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _AGE = f"(DATE '{AS_OF.isoformat()}' - CAST(od.action_date AS DATE))"
 _PT_LABEL = "COALESCE(apt.name ->> 'en_US', CAST(apt.name AS VARCHAR))"
 _PROD_LABEL = "COALESCE(pt.name ->> 'en_US', CAST(pt.name AS VARCHAR))"
-_BASE_WHERE = ("od.next_operation = 'FG Packing' AND od.state NOT IN ('done', 'closed') "
-               "AND od.fg_balance > 0")
+_BASE_WHERE = open_stock_sql("od.")  # same predicate text as the Spark filter
 
 # label expression and joins of each dimension (reference query text)
 _DIM_SQL = {
@@ -255,7 +256,7 @@ def _bundle_body(user=None, team=None) -> str:
 
 def _drill_body(group_type, group_value, bucket, company=COMPANY, user=None, team=None, null_group=False) -> str:
     where = _filter_sql(company, user, team)
-    clean = (bucket or "").replace("Balance_", "").replace("Value_", "").replace("Total_", "")
+    clean = clean_bucket_name(bucket)
     for n, lo, hi in BUCKETS:
         if n == clean:
             where += f" AND {_cond(lo, hi)}"
@@ -263,7 +264,7 @@ def _drill_body(group_type, group_value, bucket, company=COMPANY, user=None, tea
            "customer": "rp.name", "buyer": "od.buyer_name"}.get(group_type)
     if col is not None and null_group:
         where += f" AND {col} IS NULL"
-    elif col is not None and group_value and group_value != "Total":
+    elif col is not None and group_value and group_value != TOTAL_WORD:
         lit = group_value.replace("'", "''")
         where += f" AND {col} = '{lit}'"
     return f"""SELECT so.name AS "OA", od.fg_categ_type AS "Category", {_PROD_LABEL} AS "Product",

@@ -36,7 +36,6 @@ from .filters import Filters, fact_predicate
 
 # fact column behind each fact-side dimension
 FACT_COLUMN = {"item_category": "fg_categ_type", "buyer": "buyer_name"}
-LONG_COLUMNS = ("dimension", "label", "bucket", "balance", "value")
 
 
 def _check_dims(dims: Sequence[str]) -> list[str]:

@@ -56,10 +56,14 @@ class Filters:
         return F.expr(" AND ".join(parts)) if parts else None
 
 
-def open_stock_sql() -> str:
-    """Lines waiting for FG packing, not done/closed (NULL state excluded), positive balance."""
+def open_stock_sql(alias: str = "") -> str:
+    """Lines waiting for FG packing, not done/closed (NULL state excluded), positive balance.
+
+    ``alias`` qualifies the columns (``"od."``) for use in a SQL statement.
+    """
     states = ", ".join(f"'{x}'" for x in CLOSED_STATES)
-    return f"next_operation = '{FG_STAGE}' AND state NOT IN ({states}) AND fg_balance > 0"
+    a = alias
+    return f"{a}next_operation = '{FG_STAGE}' AND {a}state NOT IN ({states}) AND {a}fg_balance > 0"
 
 
 def open_stock_predicate() -> Column:
