@@ -15,7 +15,7 @@ from ..operators.aging import bundle, split_bundle
 from ..operators.drilldown import drilldown
 from ..operators.filters import Filters
 from ..operators.totals import kpi_labels, kpi_summary, kpi_table, report_with_totals
-from ..session import scratch_path, shared_dir
+from ..session import scratch_path
 from ..sinks import write_drilldown, write_reports
 from ..sources.catalog import Catalog
 
@@ -24,15 +24,21 @@ def _filters(filters) -> Filters:
     return filters if isinstance(filters, Filters) else Filters.from_mapping(filters)
 
 
-def materialized_bundle(cat: Catalog, filters=None, as_of: dt.date | str | None = None) -> DataFrame:
-    """The stacked four-report bundle, computed once and checkpointed.
+def materialized_bundle(cat: Catalog, filters=None, as_of: dt.date | str | None = None,
+                        path: str | None = None) -> DataFrame:
+    """The stacked four-report bundle, computed once and stored in the shared folder.
 
-    ``checkpoint`` writes it to the session's shared checkpoint directory
-    (so a lost executor does not recompute the fact scan) and cuts the
-    lineage; the four reports, totals and KPIs are then cheap reads of it.
+    Written as a parquet table below the session's shared checkpoint
+    directory (or ``path``) and read back: one job, one fact scan, and the
+    lineage is cut, so a lost executor never recomputes the fact scan and
+    the four reports, totals and KPIs are cheap reads of it. (A reliable
+    ``Dataset.checkpoint`` would compute the plan twice -- once for the
+    eager count and once more to write the checkpoint files.)
     """
-    shared_dir(cat_spark(cat))
-    return bundle(cat, _filters(filters), as_date(as_of)).checkpoint(eager=True)
+    spark = cat_spark(cat)
+    target = path or scratch_path(spark, "bundle")
+    bundle(cat, _filters(filters), as_date(as_of)).write.parquet(target)
+    return spark.read.parquet(target)
 
 
 def get_dashboard_data(cat: Catalog, filters=None, as_of: dt.date | str | None = None,
