@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import age_sql, as_date, bucket_sql, ident, round0_sql, translated_label_sql
 from ..schema import BUCKET_NAMES, DIMENSION_ORDER, DIMENSIONS, METRIC_COLS
+from ..session import scratch_path
 from ..sources.catalog import Catalog
 from .filters import Filters, fact_predicate
 
@@ -51,15 +52,42 @@ def _order_filter(cat: Catalog, filters: Filters) -> DataFrame:
     return so.where(filters.order_predicate()).selectExpr("id AS _so_id")
 
 
+def order_filter_ids(cat: Catalog, filters: Filters) -> tuple[DataFrame, bool]:
+    """Ids (``_so_id``) of the orders passing the salesperson / team filter, and
+    whether they may be broadcast.
+
+    Without column statistics Catalyst estimates a filtered order table at
+    its full size, so it would always plan a shuffle join and shuffle the
+    fact before the filter applies. The ids are therefore written once to
+    the shared folder (one small job over ``sale_order``) and read back: the
+    written files give a proven size, checked against the session's
+    broadcast threshold. Small -> broadcast semi join on the raw lines (no
+    shuffle, unmatched lines dropped at the source); large -> fold first,
+    then a shuffle join (see ``stock_lines``).
+    """
+    ids = _order_filter(cat, filters)
+    spark = ids.sparkSession
+    path = scratch_path(spark, "order-filter")
+    ids.write.parquet(path)
+    ids = spark.read.parquet(path)
+    size = int(ids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return ids, 0 <= size <= limit
+
+
 def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[str] = (),
                 company_scope: bool = True) -> DataFrame:
     """Filtered fact lines: ``oa_id``, extra fact columns, ``bucket``, ``balance``, ``value``.
 
-    With a salesperson / team filter the lines are first folded per
-    ``(oa_id, extra columns, bucket)`` and only then joined with the
-    matching orders: map-side combine turns an order holding a third of all
-    lines into a few rows per task, so the join never shuffles raw lines
-    by a hot order key. Sums are additive, so callers see the same totals.
+    With a salesperson / team filter (S15: lines without a matching order
+    drop out) the matching order ids are materialized first
+    (``order_filter_ids``). If their proven size allows a broadcast, the raw
+    lines are semi-joined with them in place -- no shuffle, and a selective
+    filter prunes the fact before anything else. Otherwise the lines are
+    first folded per ``(oa_id, extra columns, bucket)`` and only then joined:
+    map-side combine turns an order holding a third of all lines into a few
+    rows per task, so the shuffle join never moves raw lines by a hot order
+    key. Sums are additive, so callers see the same totals either way.
     """
     extra = list(dict.fromkeys(extra))
     cols = ["oa_id", "next_operation", "state", "fg_balance", "price_unit", "action_date", "company_id", *extra]
@@ -72,13 +100,15 @@ def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[
         "fg_balance * price_unit AS value",
     )
     if filters.needs_orders:
+        ids, small = order_filter_ids(cat, filters)
+        if small:
+            return lines.join(F.broadcast(ids), F.expr("oa_id = _so_id"), "left_semi")
         keys = ["oa_id", *[c for c in extra if c != "oa_id"], "bucket"]
         lines = lines.groupBy(*keys).agg(*_sums())
-        # S15: the reference's LEFT JOIN plus a filter on the order is an
-        # inner join. Written as one (not as a semi join, which Catalyst
-        # would push back below the fold onto the raw lines); AQE
-        # broadcasts the filtered orders when they turn out small.
-        lines = lines.join(_order_filter(cat, filters), F.expr("oa_id = _so_id"), "inner").drop("_so_id")
+        # The reference's LEFT JOIN plus a filter on the order is an inner
+        # join; written as one because Catalyst would push a semi join back
+        # below the fold onto the raw lines. Order ids are unique.
+        lines = lines.join(ids, F.expr("oa_id = _so_id"), "inner").drop("_so_id")
     return lines
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import action_date_range, as_date, bucket_bounds, round0_sql, translated_label_sql
 from ..schema import DIMENSIONS, TOTAL_WORD
 from ..sources.catalog import Catalog
-from .aging import FACT_COLUMN
+from .aging import FACT_COLUMN, order_filter_ids
 from .filters import Filters, fact_predicate
 
 DETAIL_COLUMNS = ("OA", "Category", "Product", "Qty", "Value")
@@ -73,6 +73,12 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
         col = F.col(FACT_COLUMN[group_type])
         pred = pred & (col.isNull() if by_null else col == F.lit(group_value))
     lines = od.where(pred)
+    if filters.needs_orders:
+        # a selective salesperson / team filter prunes the lines before the
+        # fold when its order ids have a proven broadcastable size
+        ids, small = order_filter_ids(cat, filters)
+        if small:
+            lines = lines.join(F.broadcast(ids), F.expr("oa_id = _so_id"), "left_semi")
 
     # Map-side-combinable partial sums per (order, category, product).
     part = lines.groupBy("oa_id", "fg_categ_type", "product_id").agg(

@@ -83,12 +83,22 @@ def test_item_report_needs_no_order_join(spark):
     cat = DriverCatalog(spark, SF0001)
     df = aging.aging_report(cat, "item_category", Filters(1), AS_OF)
     assert scans(df, "orders.parquet") == 0
+    # S15: a filter on orders rejects order-less lines. The filtered order ids
+    # are written once; their proven size decides the join.
     with_team = aging.aging_report(cat, "item_category", Filters(1, team_id=7), AS_OF)
-    assert scans(with_team, "orders.parquet") == 1
-    # S15: a filter on orders rejects order-less lines (inner join), and the
-    # lines are folded per order below it (no raw-line shuffle by a hot order key)
-    opt = with_team._jdf.queryExecution().optimizedPlan().toString()
-    assert "Aggregate [oa_id" in opt[opt.index("Join Inner, (oa_id"):]
+    assert scans(with_team, "orders.parquet") == 0  # read back from the written ids
+    p = plan(with_team)
+    assert "BroadcastHashJoin" in p and "LeftSemi" in p  # small: semi join on the raw lines, no shuffle
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = aging.aging_report(cat, "item_category", Filters(1, team_id=7), AS_OF)
+        opt = big._jdf.queryExecution().optimizedPlan().toString()
+        # too big to broadcast: lines folded per order below the (shuffle) join
+        assert "Aggregate [oa_id" in opt[opt.index("Join Inner, (oa_id"):]
+        assert sorted(map(tuple, big.collect()), key=str) == sorted(map(tuple, with_team.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_payment_term_report_does_not_read_part(spark):
