@@ -47,14 +47,36 @@ def _check_dims(dims: Sequence[str]) -> list[str]:
     return dims
 
 
-def _order_filter(cat: Catalog, filters: Filters) -> DataFrame:
-    so = cat.table("sale_order", ["id", *filters.order_columns()])
-    return so.where(filters.order_predicate()).selectExpr("id AS _so_id")
-
-
-def order_filter_ids(cat: Catalog, filters: Filters) -> tuple[DataFrame, bool]:
-    """Ids (``_so_id``) of the orders passing the salesperson / team filter, and
-    whether they may be broadcast.
+def _matching_orders(cat: Catalog, filters: Filters, group_type: str | None = None,
+                     group_value: str | None = None) -> DataFrame:
+    """Ids (``_so_id``) of orders passing the salesperson / team filter and, for an
+    order-side drill-down group, whose payment-term label / customer name is
+    ``group_value`` (semi joins with the few matching dimension rows)."""
+    cols = ["id", *filters.order_columns()]
+    if group_type == "payment_terms":
+        cols.append("payment_term_id")
+    elif group_type == "customer":
+        cols.append("partner_id")
+    so = cat.table("sale_order", cols)
+    pred = filters.order_predicate()
+    if pred is not None:
+        so = so.where(pred)
+    if group_type == "payment_terms":
+        apt = (cat.table("account_payment_term", ["id", "name"])
+               .selectExpr("id AS _apt_id", f"{translated_label_sql('name')} AS _grp")
+               .where(F.col("_grp") == F.lit(group_value)))
+        so = so.join(apt, F.expr("payment_term_id = _apt_id"), "left_semi")
+    elif group_type == "customer":
+        rp = cat.table("res_partner", ["id", "name"]).where(F.col("name") == F.lit(group_value))
+        so = so.join(rp.selectExpr("id AS _rp_id"), F.expr("partner_id = _rp_id"), "left_semi")
+    return so.selectExpr("id AS _so_id")
+
+
+def order_filter_ids(cat: Catalog, filters: Filters, group_type: str | None = None,
+                     group_value: str | None = None) -> tuple[DataFrame, bool]:
+    """Ids (``_so_id``) of the orders that pass the salesperson / team filter (and,
+    for a drill-down, the selected order-side group), and whether they may be
+    broadcast.
 
     Without column statistics Catalyst estimates a filtered order table at
     its full size, so it would always plan a shuffle join and shuffle the
@@ -65,7 +87,7 @@ def order_filter_ids(cat: Catalog, filters: Filters) -> tuple[DataFrame, bool]:
     shuffle, unmatched lines dropped at the source); large -> fold first,
     then a shuffle join (see ``stock_lines``).
     """
-    ids = _order_filter(cat, filters)
+    ids = _matching_orders(cat, filters, group_type, group_value)
     spark = ids.sparkSession
     path = scratch_path(spark, "order-filter")
     ids.write.parquet(path)

@@ -10,10 +10,12 @@ Plan shape:
    plain sum and Value is a sum of per-line rounded values, so both are
    additive and can be folded before any join; a hot order or the NULL
    order becomes a few partial rows per task instead of millions of lines.
-3. Left joins to orders (name, and the filter / label columns the cell
-   needs), then to the product name (variant joined to template first, so
-   the large side is joined once). Only the joins that the selection
-   needs are added.
+3. A salesperson / team filter or a selected payment term / customer
+   restricts the cell to a set of orders. Their ids are materialized with
+   a proven size: if broadcastable they prune the raw lines before step 2
+   (no shuffle), otherwise the folded rows are inner-joined with them.
+   Then left joins to the order name and the product name (variant joined
+   to template first, so the large side is joined once).
 4. Final aggregate by ``(order name, category, raw product JSON)``: rows
    are keyed by the product's whole JSON, but show its translated label.
 """
@@ -73,10 +75,16 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
         col = F.col(FACT_COLUMN[group_type])
         pred = pred & (col.isNull() if by_null else col == F.lit(group_value))
     lines = od.where(pred)
-    if filters.needs_orders:
-        # a selective salesperson / team filter prunes the lines before the
-        # fold when its order ids have a proven broadcastable size
-        ids, small = order_filter_ids(cat, filters)
+
+    # Orders the cell is restricted to: salesperson / team (S15) and, for a
+    # selected payment term or customer, the orders carrying that label.
+    # Their ids are materialized with a proven size: small -> the raw lines
+    # are pruned by a broadcast semi join before anything is shuffled;
+    # large -> the folded lines are inner-joined with them.
+    order_group = group_type if group_type in ("payment_terms", "customer") and select_group else None
+    ids, small = None, False
+    if filters.needs_orders or order_group:
+        ids, small = order_filter_ids(cat, filters, order_group, group_value)
         if small:
             lines = lines.join(F.broadcast(ids), F.expr("oa_id = _so_id"), "left_semi")
 
@@ -85,23 +93,18 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
         F.expr("sum(fg_balance) AS _qty"),
         F.expr("sum(round(fg_balance * price_unit, 0)) AS _value"),
     )
-
-    order_side = group_type in ("payment_terms", "customer") and (select_group or by_null)
-    so_cols = ["id", "name", *filters.order_columns()]
-    if order_side and group_type == "payment_terms":
-        so_cols.append("payment_term_id")
-    if order_side and group_type == "customer":
-        so_cols.append("partner_id")
+    if ids is not None and not small:
+        part = part.join(ids, F.expr("oa_id = _so_id"), "inner").drop("_so_id")
+
+    # Order name (and, for the NULL-group option, the order's label keys).
+    null_order_group = group_type in ("payment_terms", "customer") and by_null
+    so_cols = ["id", "name"]
+    if null_order_group:
+        so_cols.append("payment_term_id" if group_type == "payment_terms" else "partner_id")
     so = cat.table("sale_order", so_cols).withColumnsRenamed({"id": "_so_id", "name": "_oa"})
-    order_pred = filters.order_predicate()
-    if order_pred is not None:
-        # A salesperson / team filter rejects lines without an order (S15):
-        # an inner join with the already filtered orders.
-        j = part.join(so.where(order_pred), F.expr("oa_id = _so_id"), "inner")
-    else:
-        j = part.join(so, F.expr("oa_id = _so_id"), "left")
-
-    if order_side:
+    j = part.join(so, F.expr("oa_id = _so_id"), "left")
+
+    if null_order_group:
         if group_type == "payment_terms":
             apt = cat.table("account_payment_term", ["id", "name"]).selectExpr(
                 "id AS _apt_id", f"{translated_label_sql('name')} AS _grp")
@@ -109,7 +112,7 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
         else:
             rp = cat.table("res_partner", ["id", "name"]).selectExpr("id AS _rp_id", "name AS _grp")
             j = j.join(rp, F.expr("partner_id = _rp_id"), "left")
-        j = j.where(F.col("_grp").isNull() if by_null else F.col("_grp") == F.lit(group_value))
+        j = j.where(F.col("_grp").isNull())
 
     # Variant -> template first (two dimension tables), then one join of the
     # fact side: the same rows as chaining both left joins on the fact, with

@@ -142,3 +142,25 @@ def test_drilldown_with_total(fixture_cat):
     generic = dd.drilldown_with_total(dd.drilldown(fixture_cat, Filters(1), "buyer", "BuyerN", "Total_Value",
                                                    FIX_AS_OF))
     assert sorted(map(tuple, generic.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("filters,group_type,group_value,null_group,expected", [
+    (Filters(1, salesperson_id=7), "customer", "Acme", False, [ALL[0], ALL[1], ALL[2], ALL[3]]),
+    (Filters(1, team_id=70), "payment_terms", "Net 30", False, [ALL[0], ALL[1], ALL[9]]),
+    (Filters(1, salesperson_id=8), "customer", None, True, [ALL[6], ALL[7], ALL[8]]),
+    (Filters(1), "customer", "Nobody", False, []),
+])
+def test_drilldown_order_restrictions_both_plans(spark, fixture_cat, filters, group_type, group_value,
+                                                 null_group, expected):
+    """Order-side restrictions give the same rows whether their ids are broadcast
+    (pruning the raw lines) or joined after the fold (threshold disabled)."""
+    key = lambda t: tuple("" if x is None else str(x) for x in t)
+    small = dd.drilldown(fixture_cat, filters, group_type, group_value, "Total_Balance", FIX_AS_OF, null_group)
+    assert _detail(small) == sorted(expected, key=key)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = dd.drilldown(fixture_cat, filters, group_type, group_value, "Total_Balance", FIX_AS_OF, null_group)
+        assert _detail(big) == sorted(expected, key=key)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

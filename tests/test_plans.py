@@ -116,11 +116,18 @@ def test_order_side_dims_aggregate_before_join(spark):
     assert "Aggregate [oa_id" in p[first_join:]
 
 
-def test_salesperson_drilldown_is_inner(spark):
+def test_drilldown_order_restrictions_prune_lines_first(spark):
+    """Salesperson filter or a selected customer: the matching order ids are
+    broadcast (small, proven size) and semi-join the raw fact lines before
+    the fold; the partner table is not part of the main plan at all."""
     cat = DriverCatalog(spark, SF0001)
-    df = dd.drilldown(cat, Filters(1, salesperson_id=3), "customer", "Total", "Total_Balance", AS_OF)
-    p = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join Inner" in p
+    for df in (dd.drilldown(cat, Filters(1, salesperson_id=3), "customer", "Total", "Total_Balance", AS_OF),
+               dd.drilldown(cat, Filters(1), "customer", "Customer#000000370", "Total_Balance", AS_OF)):
+        p = plan(df)
+        assert "LeftSemi" in p and "BroadcastHashJoin" in p
+        assert scans(df, "customer.parquet") == 0
+        opt = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftSemi" in opt[opt.index("Aggregate [oa_id"):]  # the semi join sits below the fold
 
 
 def test_totals_do_not_rescan(spark):
