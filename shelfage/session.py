@@ -39,11 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     """Directory shared by all executors: the session's checkpoint dir.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local runs, tests) a private one is made.
+    as is; if it is unset there, this raises instead of guessing. Only a
+    local-mode session (tests, a laptop) without the setting gets a private
+    folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: shelfage writes intermediate tables "
+                               "(bundle, order-id sets, exports) below it, so it must name a folder "
+                               "shared by all executors")
         current = tempfile.mkdtemp(prefix="shelfage-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current
