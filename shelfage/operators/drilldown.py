@@ -81,7 +81,8 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
     # Their ids are materialized with a proven size: small -> the raw lines
     # are pruned by a broadcast semi join before anything is shuffled;
     # large -> the folded lines are inner-joined with them.
-    order_group = group_type if group_type in ("payment_terms", "customer") and select_group else None
+    order_group = (group_type if group_type in ("payment_terms", "customer") and select_group and not by_null
+                   else None)
     ids, small = None, False
     if filters.needs_orders or order_group:
         ids, small = order_filter_ids(cat, filters, order_group, group_value)

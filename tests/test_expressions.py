@@ -38,3 +38,26 @@ def test_filters_from_mapping():
     assert f.company == 3 and not f.needs_orders and f.order_predicate() is None
     g = Filters.from_mapping({"company_id": 2, "salesperson_id": 4, "team_id": 9})
     assert g.company == 2 and g.needs_orders and g.order_columns() == ["user_id", "team_id"]
+
+
+def test_shared_dir_refuses_local_guess_on_a_cluster():
+    import pytest
+
+    from shelfage.session import shared_dir
+
+    class _SC:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _Spark:
+        sparkContext = _SC()
+        conf = _Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Spark())

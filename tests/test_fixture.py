@@ -164,3 +164,11 @@ def test_drilldown_order_restrictions_both_plans(spark, fixture_cat, filters, gr
         assert _detail(big) == sorted(expected, key=key)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_null_group_option_takes_precedence(fixture_cat):
+    """null_group=True selects the NULL group even when a group value is passed too."""
+    for gt in ("customer", "buyer"):
+        a = dd.drilldown(fixture_cat, Filters(1), gt, None, "Total_Balance", FIX_AS_OF, null_group=True)
+        b = dd.drilldown(fixture_cat, Filters(1), gt, "Acme", "Total_Balance", FIX_AS_OF, null_group=True)
+        assert _detail(a) == _detail(b) and len(_detail(a)) > 0
