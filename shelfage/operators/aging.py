@@ -143,18 +143,19 @@ def _grouping_id_of(keys: list[str], group: list[str]) -> int:
     return sum(1 << (n - 1 - i) for i, k in enumerate(keys) if k not in group)
 
 
-def _grouped(df: DataFrame, sets: list[list[str]]) -> tuple[DataFrame, dict[int, int]]:
-    """Aggregate ``balance``/``value`` over several grouping sets in one pass.
+def _grouped(df: DataFrame, sets: list[list[str]], aggs: list | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """Aggregate (``aggs``, default the ``balance``/``value`` sums) over several grouping sets in one pass.
 
     Returns the aggregate and, per set index, the ``_gid`` value that tags
     its rows (sets are told apart by grouping id, never by NULL keys,
     because NULL is a real group).
     """
+    aggs = aggs or _sums()
     keys = list(dict.fromkeys(k for s in sets for k in s))
     if len(sets) == 1:
-        return df.groupBy(*sets[0]).agg(*_sums(), F.expr("0 AS _gid")), {0: 0}
+        return df.groupBy(*sets[0]).agg(*aggs, F.expr("0 AS _gid")), {0: 0}
     g = df.groupingSets([[F.col(k) for k in s] for s in sets], *keys) \
-        .agg(*_sums(), F.expr(f"grouping_id({', '.join(ident(k) for k in keys)}) AS _gid"))
+        .agg(*aggs, F.expr(f"grouping_id({', '.join(ident(k) for k in keys)}) AS _gid"))
     return g, {i: _grouping_id_of(keys, s) for i, s in enumerate(sets)}
 
 
@@ -192,14 +193,21 @@ def labelled_partials(cat: Catalog, filters: Filters | None = None, as_of: dt.da
     for i, d in enumerate(fact_dims):
         tagged.append((gids[i + 1], [(d, FACT_COLUMN[d])]))
 
+    return _tag(g, tagged, ["bucket", "balance", "value"])
+
+
+def _tag(g: DataFrame, tagged: list[tuple[int, list[tuple[str, str]]]], carry: list[str]) -> DataFrame:
+    """Expand each row into the ``(dimension, label)`` pairs its grouping set feeds."""
     whens = []
     for gid, pairs in tagged:
         arr = ", ".join(f"named_struct('dimension', '{d}', 'label', CAST({ident(c)} AS STRING))" for d, c in pairs)
         whens.append(f"WHEN _gid = {gid} THEN array({arr})")
-    return g.selectExpr(f"inline(CASE {' '.join(whens)} END)", "bucket", "balance", "value")
+    return g.selectExpr(f"inline(CASE {' '.join(whens)} END)", *[ident(c) for c in carry])
 
 
-def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str]) -> tuple[DataFrame, dict[str, str]]:
+def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str],
+                         sums: tuple[list[str], list] | None = None,
+                         single_set: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """Left-join order-side labels to the per-order partial sums.
 
     The join to ``sale_order`` is on its unique id, so it cannot skew. Its
@@ -208,12 +216,21 @@ def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str]) -> t
     becomes a few partial rows per task (map-side combine) instead of a
     third of the join input landing in one partition, and the partner join
     reads one row per partner, term and bucket instead of one per order.
+    ``sums`` names the carried sum columns and their re-aggregation
+    (default: the long form's ``balance`` / ``value``).
     """
+    sum_cols, resum = sums or (["balance", "value"], _sums())
     label_keys = (["payment_term_id"] if "payment_terms" in order_dims else []) + \
         (["partner_id"] if "customer" in order_dims else [])
     so = cat.table("sale_order", ["id", *label_keys]).withColumnRenamed("id", "_so_id")
-    keep = [c for c in g.columns if c not in ("oa_id", "balance", "value")]  # _gid, bucket, fact keys
-    j = g.join(so, F.expr("oa_id = _so_id"), "left").groupBy(*keep, *label_keys).agg(*_sums())
+    keep = [c for c in g.columns if c not in ("oa_id", "_gid") and c not in sum_cols]  # (bucket,) fact keys
+    j = g.join(so, F.expr("oa_id = _so_id"), "left")
+    if len(label_keys) == 1 and not keep and single_set:
+        # one report: fold on its label key alone, so the fold's hash
+        # partitioning is what the partner / term join needs (no reshuffle)
+        j = j.groupBy(*label_keys).agg(*resum, F.expr("0 AS _gid"))
+    else:
+        j = j.groupBy("_gid", *keep, *label_keys).agg(*resum)
     label_cols = {}
     if "payment_terms" in order_dims:
         apt = cat.table("account_payment_term", ["id", "name"]) \
@@ -239,19 +256,67 @@ def long_cube(cat: Catalog, filters: Filters | None = None, as_of: dt.date | str
     return parts.groupBy("dimension", "label", "bucket").agg(*_sums())
 
 
-def widen(long: DataFrame) -> DataFrame:
-    """Labelled partial sums (or the long cube) -> one row per (dimension, label) with 7+7 bucket sums and 2 totals (exact).
+def _wide_sums() -> list:
+    """The 7+7 bucket sums and 2 totals over line-level ``bucket, balance, value``.
 
     A bucket with no line gives 0; a bucket whose only lines have no price,
     in a group that has no other line, gives NULL (the SQL CASE ... ELSE 0
-    semantics), and so does Total_Value when every price is missing.
+    semantics), and so does Total_Value when every price is missing. Sums
+    of such sums over any partition of the lines give the same values, so
+    they can be taken per order first and summed per label later.
     """
     aggs = [F.expr(f"sum(CASE WHEN bucket = '{b}' THEN balance ELSE 0 END) AS {ident('Balance_' + b)}")
             for b in BUCKET_NAMES]
     aggs += [F.expr(f"sum(CASE WHEN bucket = '{b}' THEN value ELSE 0 END) AS {ident('Value_' + b)}")
              for b in BUCKET_NAMES]
     aggs += [F.expr("sum(balance) AS Total_Balance"), F.expr("sum(value) AS Total_Value")]
-    return long.groupBy("dimension", "label").agg(*aggs)
+    return aggs
+
+
+def _resums() -> list:
+    return [F.expr(f"sum({ident(c)}) AS {ident(c)}") for c in METRIC_COLS]
+
+
+def report_sums(cat: Catalog, filters: Filters | None = None, as_of: dt.date | str | None = None,
+                dimensions: Sequence[str] = DIMENSION_ORDER, company_scope: bool = True) -> DataFrame:
+    """Exact report sums, one row per ``(dimension, label)``: 7+7 bucket sums and 2 totals.
+
+    Order-side dimensions fold the lines per *order* straight into the 16
+    wide sums (one row per order, not one per order and bucket). The fold
+    is then hash-partitioned on ``oa_id`` alone, which is exactly what the
+    join to ``sale_order`` needs, so at scale only ``sale_order`` is
+    shuffled for it. In the bundle the same aggregate also folds per
+    category and per buyer (grouping sets), and all rows travel one linear
+    pipeline: splitting by grouping id would let Catalyst push each split
+    below the aggregate and rescan the fact once per split.
+    """
+    filters = filters or Filters()
+    as_of = as_date(as_of)
+    dims = _check_dims(dimensions)
+    fact_dims = [d for d in dims if DIMENSIONS[d].side == "fact"]
+    order_dims = [d for d in dims if DIMENSIONS[d].side == "order"]
+    lines = stock_lines(cat, filters, as_of, [FACT_COLUMN[d] for d in fact_dims], company_scope)
+    if not order_dims:
+        # fact-side dimensions only: tag each line, aggregate once
+        tagged = _tag(lines.selectExpr("*", "0 AS _gid"), [(0, [(d, FACT_COLUMN[d]) for d in fact_dims])],
+                      ["bucket", "balance", "value"])
+        return tagged.groupBy("dimension", "label").agg(*_wide_sums())
+    sets: list[list[str]] = [["oa_id"]] + [[FACT_COLUMN[d]] for d in fact_dims]
+    g, gids = _grouped(lines, sets, _wide_sums())
+    g, label_cols = _attach_order_labels(cat, g, order_dims, (list(METRIC_COLS), _resums()), len(sets) == 1)
+    tagged = [(gids[0], [(d, label_cols[d]) for d in order_dims])]
+    tagged += [(gids[i + 1], [(d, FACT_COLUMN[d])]) for i, d in enumerate(fact_dims)]
+    return _tag(g, tagged, list(METRIC_COLS)).groupBy("dimension", "label").agg(*_resums())
+
+
+def widen(long: DataFrame) -> DataFrame:
+    """Labelled partial sums (or the long cube) -> one row per (dimension, label) with 7+7 bucket sums and 2 totals (exact).
+
+    A bucket with no line gives 0; a bucket whose only lines have no price,
+    in a group that has no other line, gives NULL (the SQL CASE ... ELSE 0
+    semantics), and so does Total_Value when every price is missing.
+    """
+    return long.groupBy("dimension", "label").agg(*_wide_sums())
 
 
 def finish(wide: DataFrame, dimension: str, rounded: bool = True) -> DataFrame:
@@ -267,8 +332,7 @@ def aging_report(cat: Catalog, dimension: str, filters: Filters | None = None,
                  as_of: dt.date | str | None = None, rounded: bool = True,
                  company_scope: bool = True) -> DataFrame:
     """One ageing report (REP-4..7; with ``company_scope=False, rounded=False`` REP-1..3)."""
-    parts = labelled_partials(cat, filters, as_of, [dimension], company_scope)
-    return finish(widen(parts), dimension, rounded)
+    return finish(report_sums(cat, filters, as_of, [dimension], company_scope), dimension, rounded)
 
 
 def plain_report(cat: Catalog, dimension: str, as_of: dt.date | str | None = None) -> DataFrame:
@@ -283,7 +347,7 @@ def bundle(cat: Catalog, filters: Filters | None = None, as_of: dt.date | str |
     Consume it once (write it, or ``checkpoint()`` it) and split with
     :func:`split_bundle`; each split is then a cheap filter.
     """
-    wide = widen(labelled_partials(cat, filters, as_of, dimensions))
+    wide = report_sums(cat, filters, as_of, dimensions)
     return wide.selectExpr("dimension", "label", *[f"{round0_sql(c)} AS {ident(c)}" for c in METRIC_COLS])
 
 
