@@ -1,24 +1,24 @@
-"""Ageing reports: the long cube, its wide form, single reports and the bundle.
+"""Ageing reports: wide report sums, single reports, the bundle and the long cube.
 
 Plan shape (all declarative; Catalyst/AQE choose the physical operators):
 
 1. One scan of the fact with the stock and company predicates pushed to
    the reader, producing ``(bucket, balance, value)`` per line.
 2. Order-side dimensions (payment term, customer): one map-side-combined
-   aggregate folds the lines per ``(order, bucket)`` -- in the bundle the
-   same aggregate also folds per ``(category, bucket)`` and ``(buyer,
-   bucket)`` through grouping sets -- so the join to ``sale_order`` sees
-   at most eight rows per order, and a hot order or the NULL order is a
-   handful of partial sums before any shuffle. After that join the rows
-   are folded again per ``(payment term, partner, bucket)`` so that the
-   partner join cannot be skewed by a hot customer.
+   aggregate folds the lines per order straight into the 16 wide sums --
+   in the bundle the same aggregate also folds per category and per buyer
+   through grouping sets. The per-order fold is partitioned on ``oa_id``,
+   so the join to ``sale_order`` only shuffles the order side, and a hot
+   order or the NULL order is a handful of partial sums before any
+   shuffle. After that join the rows are folded again per payment term /
+   partner, so the partner join cannot be skewed by a hot customer.
    Fact-side dimensions alone (item category, buyer) need no join: lines
    are tagged with their labels and aggregated once.
-3. The widening aggregate by ``(dimension, label)`` pivots the (at most
-   eight) bucket rows per label into fixed columns.
+3. A last aggregate by ``(dimension, label)`` adds the partial wide sums.
 
-Sums stay exact decimals until the very end; rounding happens after the
-sum (and only in the dashboard variants).
+The long cube (one row per dimension, label and bucket) keeps a long
+pipeline of its own. Sums stay exact decimals until the very end; rounding
+happens after the sum (and only in the dashboard variants).
 """
 
 from __future__ import annotations
