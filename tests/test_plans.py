@@ -215,19 +215,3 @@ def test_hot_order_join_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
-
-
-def test_order_side_report_shuffles_each_input_once(spark):
-    """Without broadcasts (as at scale): the per-order fold is partitioned on
-    oa_id alone, so the order join shuffles only sale_order; the per-partner
-    fold likewise feeds the partner join. One exchange per input."""
-    cat = DriverCatalog(spark, SF0001)
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = aging.aging_report(cat, "customer", Filters(1), AS_OF)
-        ex = [line.strip() for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
-        keys = [re.search(r"hashpartitioning\(([^,]+?)#", e).group(1) for e in ex]
-        assert sorted(keys) == sorted(["oa_id", "_so_id", "partner_id", "_rp_id", "dimension"])
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
