@@ -12,8 +12,8 @@ Plan shape (all declarative; Catalyst/AQE choose the physical operators):
    handful of partial sums before any shuffle. After that join the rows
    are folded again per ``(payment term, partner, bucket)`` so that the
    partner join cannot be skewed by a hot customer.
-   Fact-side dimensions alone (item category, buyer) need no join: lines
-   are tagged with their labels and aggregated once.
+   Fact-side dimensions (item category, buyer) are folded per (key,
+   bucket) in the same aggregate and need no join.
 3. The widening aggregate by ``(dimension, label)`` pivots the (at most
    eight) bucket rows per label into fixed columns.
 
@@ -177,20 +177,19 @@ def labelled_partials(cat: Catalog, filters: Filters | None = None, as_of: dt.da
     order_dims = [d for d in dims if DIMENSIONS[d].side == "order"]
 
     lines = stock_lines(cat, filters, as_of, [FACT_COLUMN[d] for d in fact_dims], company_scope)
-    if not order_dims:
-        # Fact-side dimensions only: no join needs per-key partials, so each
-        # line is tagged with its labels and the caller's single aggregate
-        # (map-side combined) does the rest -- one shuffle instead of two.
-        arr = ", ".join(f"named_struct('dimension', '{d}', 'label', CAST({ident(FACT_COLUMN[d])} AS STRING))"
-                        for d in fact_dims)
-        return lines.selectExpr(f"inline(array({arr}))", "bucket", "balance", "value")
-    sets: list[list[str]] = [["oa_id", "bucket"]] + [[FACT_COLUMN[d], "bucket"] for d in fact_dims]
+    # Two sums per line, folded per (key, bucket); the sixteen bucket columns
+    # are formed later on the folded rows (see README, "Cheap per line").
+    sets: list[list[str]] = ([["oa_id", "bucket"]] if order_dims else []) + \
+        [[FACT_COLUMN[d], "bucket"] for d in fact_dims]
     g, gids = _grouped(lines, sets)
 
-    g, label_cols = _attach_order_labels(cat, g, order_dims)
-    tagged: list[tuple[int, list[tuple[str, str]]]] = [(gids[0], [(d, label_cols[d]) for d in order_dims])]
+    tagged: list[tuple[int, list[tuple[str, str]]]] = []
+    if order_dims:
+        g, label_cols = _attach_order_labels(cat, g, order_dims)
+        tagged.append((gids[0], [(d, label_cols[d]) for d in order_dims]))
+    offset = 1 if order_dims else 0
     for i, d in enumerate(fact_dims):
-        tagged.append((gids[i + 1], [(d, FACT_COLUMN[d])]))
+        tagged.append((gids[i + offset], [(d, FACT_COLUMN[d])]))
 
     whens = []
     for gid, pairs in tagged:

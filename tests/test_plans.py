@@ -220,8 +220,9 @@ def test_hot_order_join_is_split(spark):
 def test_line_level_aggregate_is_two_sums(spark):
     """The aggregate reading fact lines keeps two sums per line (see README, "Cheap per line")."""
     cat = DriverCatalog(spark, SF0001)
-    for dim in ("customer", "payment_terms"):
+    for dim, key in (("customer", "oa_id"), ("payment_terms", "oa_id"), ("item_category", "fg_categ_type"),
+                     ("buyer", "buyer_name")):
         df = aging.aging_report(cat, dim, Filters(1), AS_OF)
         lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
-        partials = [line for line in lines if "HashAggregate(keys=[oa_id" in line and "partial_sum" in line]
+        partials = [line for line in lines if f"HashAggregate(keys=[{key}" in line and "partial_sum" in line]
         assert partials and all(line.count("partial_sum(") == 2 for line in partials)
