@@ -294,7 +294,7 @@ def _with_totals_sql(dim: str, totals_first: bool = True, order: str = "query")
     cols = {"query": METRIC_COLS, "export": EXPORT_METRIC_COLS,
             "screen": METRIC_COLS[-2:] + EXPORT_METRIC_COLS[:-2]}[order]
     q = ", ".join(f'"{c}"' for c in cols)
-    sums = ", ".join(f'CAST(SUM(COALESCE("{c}", 0)) AS BIGINT) AS "{c}"' for c in cols)
+    sums = ", ".join(f'CAST(COALESCE(SUM(COALESCE("{c}", 0)), 0) AS BIGINT) AS "{c}"' for c in cols)
     pos_total = 0 if totals_first else 2
     rep = _report_body(dim, _filter_sql(COMPANY))
     return _with(f"""SELECT 'Total' AS "{label}", {sums}, 'total' AS row_type, {pos_total} AS row_order FROM ({rep}) r
@@ -303,7 +303,7 @@ SELECT "{label}", {q}, 'row' AS row_type, 1 AS row_order FROM ({rep}) r""")
 
 
 def _kpi_body() -> str:
-    sums = ", ".join(f'CAST(SUM(COALESCE("{src}", 0)) AS BIGINT) AS {name}' for name, (src, _) in KPI_SOURCES.items())
+    sums = ", ".join(f'CAST(COALESCE(SUM(COALESCE("{src}", 0)), 0) AS BIGINT) AS {name}' for name, (src, _) in KPI_SOURCES.items())
     return f"SELECT {sums} FROM ({_report_body('payment_terms', _filter_sql(COMPANY))}) r"
 
 
@@ -387,13 +387,13 @@ def _drill_with_total_sql() -> str:
     detail = _drill_body("buyer", BUYER_VALUE, "Value_30+")
     return _with_ctes(f"d AS ({detail})", """SELECT "OA", "Category", "Product", "Qty", "Value", 'detail' AS row_type, 0 AS row_order FROM d
 UNION ALL
-SELECT 'Total', NULL, NULL, CAST(SUM(COALESCE("Qty", 0)) AS DOUBLE), CAST(SUM(COALESCE("Value", 0)) AS BIGINT), 'total', 1 FROM d""")
+SELECT 'Total', NULL, NULL, CAST(COALESCE(SUM(COALESCE("Qty", 0)), 0) AS DOUBLE), CAST(COALESCE(SUM(COALESCE("Value", 0)), 0) AS BIGINT), 'total', 1 FROM d""")
 
 
 def _export_roundtrip_sql() -> str:
     label = DIMENSIONS["customer"].label
     cols = ", ".join(f'"{c}"' for c in EXPORT_METRIC_COLS)
-    sums = ", ".join(f'CAST(SUM(COALESCE("{c}", 0)) AS BIGINT) AS "{c}"' for c in EXPORT_METRIC_COLS)
+    sums = ", ".join(f'CAST(COALESCE(SUM(COALESCE("{c}", 0)), 0) AS BIGINT) AS "{c}"' for c in EXPORT_METRIC_COLS)
     rep = _report_body("customer", _filter_sql(COMPANY))
     return _with(f"""SELECT 'Total' AS "{label}", {sums}, 'total' AS row_type, 0 AS row_order FROM ({rep}) r
 UNION ALL

@@ -32,6 +32,7 @@ from ..schema import DIMENSIONS, TOTAL_WORD
 from ..sources.catalog import Catalog
 from .aging import FACT_COLUMN, order_filter_ids
 from .filters import Filters, fact_predicate
+from .totals import seeded
 
 DETAIL_COLUMNS = ("OA", "Category", "Product", "Qty", "Value")
 
@@ -132,9 +133,12 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
                             f"{round0_sql('Value')} AS Value"))
     # Detail groups and the grand total from one aggregate (GROUPING SETS
     # (keys, ())); told apart by grouping id, as NULL keys are real groups.
-    out = j.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
+    # A seed row makes the total exist (as zeros) for an empty selection.
+    base = seeded(j.select(*keys, "_qty", "_value"), [], [()])
+    out = base.groupingSets([[F.col(k) for k in [*keys, "_seed"]], []], *keys, "_seed").agg(
         F.expr("sum(_qty) AS Qty"), F.expr("sum(_value) AS Value"),
-        F.expr("grouping_id(_oa, fg_categ_type, _pt_name) AS _gid"))
+        F.expr("grouping_id(_oa, fg_categ_type, _pt_name, _seed) AS _gid"))
+    out = out.where(F.expr("NOT (_gid = 0 AND _seed = 1)"))
     return out.selectExpr(
         f"CASE WHEN _gid = 0 THEN _oa ELSE '{TOTAL_WORD}' END AS OA",
         "CASE WHEN _gid = 0 THEN fg_categ_type END AS Category",

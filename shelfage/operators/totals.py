@@ -9,41 +9,72 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ident, thousands_label
 from ..schema import (
-    DIMENSIONS, EXPORT_METRIC_COLS, KPI_ROWS, KPI_SOURCES, METRIC_COLS, SCREEN_METRIC_COLS, TOTAL_WORD,
+    DIMENSION_ORDER, DIMENSIONS, EXPORT_METRIC_COLS, KPI_ROWS, KPI_SOURCES, METRIC_COLS, SCREEN_METRIC_COLS,
+    TOTAL_WORD,
 )
 
 
-def _zero(c: str):
-    return F.coalesce(F.col(c), F.lit(0))
+def _zsum(c: str, alias: str) -> Column:
+    """Sum with NULL as 0, and 0 (not NULL) over no rows, as the screen's totals start at 0."""
+    return F.expr(f"coalesce(sum(coalesce({ident(c)}, 0)), 0) AS {ident(alias)}")
 
 
 def totals_row(report: DataFrame, metrics: Sequence[str] = METRIC_COLS) -> DataFrame:
     """One row: the sum of each *rounded* metric column, NULL as 0 (S8, S20)."""
-    return report.agg(*[F.sum(_zero(c)).alias(c) for c in metrics])
+    return report.agg(*[_zsum(c, c) for c in metrics])
 
 
-def _with_total_sets(df: DataFrame, keys: list[str], label: str, totals_first: bool) -> DataFrame:
+def seeded(df: DataFrame, keys: Sequence[str], seeds: Sequence[tuple]) -> DataFrame:
+    """``df`` with ``_seed = 0`` plus one marked row (``_seed = 1``, every other column NULL)
+    per key tuple in ``seeds``.
+
+    Grouping sets over no rows produce no group at all; a seed makes every
+    requested total group exist (with sums of 0) even for an empty input,
+    while the detail set drops it again. One literal row per group, no
+    second pass over the data.
+    """
+    spark = df.sparkSession
+    out = df.selectExpr("*", "0 AS _seed")
+    for values in seeds:
+        given = dict(zip(keys, values))
+        exprs = []
+        for f in df.schema.fields:
+            t = f.dataType.simpleString()
+            if f.name in given:
+                v = str(given[f.name]).replace("'", "''")
+                exprs.append(f"CAST('{v}' AS {t}) AS {ident(f.name)}")
+            else:
+                exprs.append(f"CAST(NULL AS {t}) AS {ident(f.name)}")
+        out = out.unionByName(spark.range(1).selectExpr(*exprs, "1 AS _seed"))
+    return out
+
+
+def _with_total_sets(df: DataFrame, keys: list[str], label: str, totals_first: bool,
+                     seeds: Sequence[tuple]) -> DataFrame:
     """Rows of ``df`` (unique per ``keys + [label]``) plus one ``Total`` row per ``keys`` group.
 
-    One aggregate over ``GROUPING SETS ((keys, label), (keys))``: the
+    One aggregate over ``GROUPING SETS ((keys, label, _seed), (keys))``: the
     detail sets are the rows themselves (label is unique), the other set
     is the totals row. Rows are told apart by ``grouping_id``, never by a
     NULL label, because NULL is a real group. The report is read once, so
-    a totals row never costs a second scan of the fact table.
+    a totals row never costs a second scan of the fact table; the seed rows
+    (see ``seeded``) make the totals exist, as zeros, for empty reports.
     """
-    sets = [[*keys, label], list(keys)]
+    df = seeded(df, keys, seeds)
+    sets = [[*keys, label, "_seed"], list(keys)]
     aggs = []
     for c in METRIC_COLS:
         aggs.append(F.expr(f"sum({ident(c)}) AS {ident('_r_' + c)}"))
-        aggs.append(F.expr(f"sum(coalesce({ident(c)}, 0)) AS {ident('_t_' + c)}"))
-    all_keys = [*keys, label]
+        aggs.append(_zsum(c, "_t_" + c))
+    all_keys = [*keys, label, "_seed"]
     gid = f"grouping_id({', '.join(ident(k) for k in all_keys)})"
     g = df.groupingSets([[F.col(k) for k in s] for s in sets], *all_keys).agg(*aggs, F.expr(f"{gid} AS _gid"))
+    g = g.where(F.expr("NOT (_gid = 0 AND _seed = 1)"))
     pos_total = 0 if totals_first else 2
     return g.selectExpr(
         *[ident(k) for k in keys],
@@ -62,22 +93,23 @@ def report_with_totals(report: DataFrame, dimension: str, totals_first: bool = T
     ``row_order`` (0 for the total when it comes first, 2 when last), not
     by physical order, so it survives a shuffle or a write.
     """
-    return _with_total_sets(report, [], DIMENSIONS[dimension].label, totals_first)
+    return _with_total_sets(report, [], DIMENSIONS[dimension].label, totals_first, [()])
 
 
-def bundle_with_totals(stacked: DataFrame, totals_first: bool = True) -> DataFrame:
+def bundle_with_totals(stacked: DataFrame, totals_first: bool = True,
+                       dimensions: Sequence[str] = DIMENSION_ORDER) -> DataFrame:
     """Every report of a stacked bundle with its own ``Total`` row, in one pass."""
-    return _with_total_sets(stacked, ["dimension"], "label", totals_first)
+    return _with_total_sets(stacked, ["dimension"], "label", totals_first, [(d,) for d in dimensions])
 
 
 def bundle_totals(stacked: DataFrame) -> DataFrame:
     """Totals row of every report of a stacked bundle in one small aggregate."""
-    return stacked.groupBy("dimension").agg(*[F.sum(_zero(c)).alias(c) for c in METRIC_COLS])
+    return stacked.groupBy("dimension").agg(*[_zsum(c, c) for c in METRIC_COLS])
 
 
 def kpi_summary(payment_terms_report: DataFrame) -> DataFrame:
     """The six dashboard KPIs, from the payment-terms report only (S9), as one row."""
-    return payment_terms_report.agg(*[F.sum(_zero(src)).alias(name) for name, (src, _) in KPI_SOURCES.items()])
+    return payment_terms_report.agg(*[_zsum(src, name) for name, (src, _) in KPI_SOURCES.items()])
 
 
 def kpi_table(kpis: DataFrame) -> DataFrame:

@@ -106,3 +106,22 @@ def test_drilldown_export(spark, fixture_cat):
     rows = read_rows(spark, out).collect()
     total = [r for r in rows if r.row_type == "total"][0]
     assert (float(total.Qty), total.Value) == (16.0, 28)
+
+
+def test_empty_selection_still_has_zero_totals(spark, fixture_cat):
+    """An empty report keeps its Total row (zeros) and the KPIs are 0, not NULL, as on the screen."""
+    from shelfage.operators import drilldown as dd
+    rep = aging.aging_report(fixture_cat, "customer", Filters(1, salesperson_id=12345), FIX_AS_OF)
+    assert rep.count() == 0
+    out = totals.report_with_totals(rep, "customer").collect()
+    assert len(out) == 1 and out[0].row_type == "total" and out[0].Customer == "Total"
+    assert all(out[0][c] == 0 for c in METRIC_COLS)
+    k = totals.kpi_summary(rep).collect()[0]
+    assert k.total_value == 0 and totals.kpi_labels(totals.kpi_summary(rep)).collect()[0].total_value == "0.00 K"
+    det = dd.drilldown(fixture_cat, Filters(1), "customer", "Nobody", "Total_Balance", FIX_AS_OF, with_total=True)
+    rows = det.collect()
+    assert len(rows) == 1 and rows[0].OA == "Total" and rows[0].Qty == 0 and rows[0].Value == 0
+    stacked = aging.bundle(fixture_cat, Filters(1, salesperson_id=12345), FIX_AS_OF)
+    tot = totals.bundle_with_totals(stacked).collect()
+    assert sorted(r.dimension for r in tot) == sorted(["payment_terms", "item_category", "customer", "buyer"])
+    assert all(r.row_type == "total" and r.Total_Balance == 0 for r in tot)
