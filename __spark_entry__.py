@@ -11,6 +11,7 @@ sides.
 from __future__ import annotations
 
 import datetime as dt
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,15 @@ from shelfage.session import scratch_path
 from shelfage.sinks import read_report, write_reports
 from shelfage.sources.driver_tables import DUCKDB_CANONICAL_CTES, DriverCatalog
 
+if importlib.util.find_spec("shelfage.llm") is not None:  # the training-data operators, where they are installed
+    from shelfage.llm import queries as training_data
+else:
+    training_data = None
+if training_data is not None and importlib.util.find_spec("corpus_pipeline") is not None:
+    import corpus_pipeline
+else:
+    corpus_pipeline = None
+
 AS_OF = dt.date(2001, 7, 15)
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -170,6 +180,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # SNK-2..4
         "export_roundtrip": _export_roundtrip,
     })
+    if training_data is not None:
+        q.update(training_data.queries())
+    if corpus_pipeline is not None:
+        q["pipeline"] = corpus_pipeline.run
     return q
 
 
@@ -380,6 +394,10 @@ def oracle_sql() -> dict[str, str]:
         **_lookup_sql(),
         "export_roundtrip": _export_roundtrip_sql(),
     })
+    if training_data is not None:
+        s.update(training_data.oracle_sql())
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL is not None:
+        s["pipeline"] = corpus_pipeline.ORACLE_SQL
     return s
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -12,8 +13,9 @@ from conftest import SF0001
 import __spark_entry__ as E
 
 TABLES = ("region nation customer supplier part orders lineitem").split()
-# every registered query (scripts/check_oracle.py runs the same at any scale)
-ALL_KEYS = sorted(E.queries())
+# every registered query of the reports (scripts/check_oracle.py runs the same at any scale); the
+# training-data queries have tests of their own
+ALL_KEYS = sorted(k for k in E.queries() if k != "pipeline" and not re.match(r"op\d+_", k))
 
 
 def test_entry_smoke(spark):
@@ -24,7 +26,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(ALL_KEYS) == {k for k in E.oracle_sql() if not re.match(r"op\d+_", k)}
 
 
 @pytest.fixture(scope="module")
