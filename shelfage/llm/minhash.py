@@ -9,8 +9,8 @@ Documents with equal shingle sets are collapsed first (by a 128-bit digest), so
 row from there on. Keys travel to hash buckets once a file (equal keys of a file are linked to their
 first document there), so no bucket holds more than one entry a file of a key. Links are looked for in rounds, so that
 a group is never expanded into its pairs: 1. each document with the smallest first document of its keys; 2. with the first
-documents of all its keys, as far as they are not connected yet; 3. all pairs that share a key and are still in different
-components (exact, no cap). Every link is confirmed by 100 * intersection >= 80 * union of the full sets. Components come from
+documents of all its keys, as far as they are not connected yet; 3. the documents that still share a key across components are
+searched exactly, without a cap, by the prefixes of their sets (``cross_pairs``). Every link is confirmed by 100 * intersection >= 80 * union of the full sets. Components come from
 label propagation with pointer jumping; each round is a written table.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; null doc_ids and rows with equal
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfage.llm import chunks
@@ -205,21 +205,62 @@ def _confirm(similarity: int):
     return run
 
 
-def confirmed(spark: SparkSession, store: chunks.Store, pairs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of row ids whose full sets are similar. Sets are made for the documents of the pairs only, from their files."""
+def full_sets(spark: SparkSession, store: chunks.Store, rids: DataFrame, shingle: int) -> DataFrame:
+    """(rid, set) of some documents, made from their files and written."""
+    wanted = rids.withColumn("file", F.shiftright("rid", 32).cast("int")).join(store.files, "file")
+    path = scratch_path(spark, "minhash-sets")
+    wanted.groupBy("file").applyInArrow(_wanted_sets(shingle), "rid long, set binary").write.option("compression", "none").parquet(path)
+    return spark.read.parquet(path)
+
+
+def confirmed(spark: SparkSession, store: chunks.Store, pairs: DataFrame, shingle: int, similarity: int, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of row ids whose full sets are similar. Sets are made for the documents of the pairs only."""
     path = scratch_path(spark, "minhash-pairs")
     pairs.select("a", "b").write.parquet(path)
     pairs = spark.read.parquet(path)
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct() \
-        .withColumn("file", F.shiftright("rid", 32).cast("int")).join(store.files, "file")
-    path = scratch_path(spark, "minhash-sets")
-    wanted.groupBy("file").applyInArrow(_wanted_sets(shingle), "rid long, set binary").write.option("compression", "none").parquet(path)
-    sets = spark.read.parquet(path)
+    if sets is None:
+        sets = full_sets(spark, store, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), shingle)
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a") \
         .join(sets.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_confirm(similarity), "a long, b long")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            token = np.frombuffer(raw.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), rid)), pa.array(token)], names=["rid", "token"])
+
+
+def cross_pairs(spark: SparkSession, sets: DataFrame, member: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of documents of different labels that can be similar, by the prefixes of their sets.
+
+    ``member``: rid, n, label. In one order of all shingles, rarest first, similar sets share a shingle among the first
+    n - ceil(n * similarity) + 1 of each, and at the first one they share enough places must be left in both (positions
+    are part of the join's condition). Shingles that only one document has keep their positions but are
+    no join keys. Of each shingle the documents of its most frequent label meet only those of other labels.
+    """
+    path = scratch_path(spark, "minhash-prefixes")
+    tokens = sets.mapInArrow(_shingles, "rid long, token long")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("rid")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "token"))
+    prefix = tokens.join(common, "token").join(member, "rid").withColumn("place", place) \
+        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1)
+    prefix.select("rid", "n", "label", "token", "place").write.parquet(path)
+    prefix = spark.read.parquet(path)
+    most = prefix.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token") \
+        .agg(F.max_by("label", "c").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", "most")
+    prefix = prefix.join(most, "token")
+    x, y = (prefix.select("token", "most", *[F.col(c).alias(f"{c}{k}") for c in ("rid", "n", "label", "place")]) for k in (1, 2))
+    left = F.lit(1) + F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
+    return x.where("label1 <> most").join(y.drop("most"), "token").where(
+        (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("most")) | (F.col("label1") < F.col("label2")))
+        & (100 * F.least("n1", "n2") >= similarity * F.greatest("n1", "n2"))
+        & ((100 + similarity) * left >= similarity * (F.col("n1") + F.col("n2")))) \
+        .select(F.least("rid1", "rid2").alias("a"), F.greatest("rid1", "rid2").alias("b")).distinct()
+
+
 # ---------------------------------------------------------------- components
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(v, label) with the smallest node that each node of the edges (a, b) reaches: neighbours' labels, then the label's label, until nothing changes."""
@@ -296,20 +337,16 @@ def link(spark: SparkSession, store: chunks.Store, shingle: int = SHINGLE, simil
         labels = _merged(spark, labels, links)
 
     # 3. whatever else shares a key across components
-    member = hits.select("key", "rid", "n", "center").join(labels.select(F.col("v").alias("rid"), "label"), "rid", "left") \
+    member = hits.select("key", "rid", "n").join(labels.select(F.col("v").alias("rid"), "label"), "rid", "left") \
         .withColumn("label", F.coalesce("label", "rid"))
     mixed = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     path = scratch_path(spark, "minhash-mixed")
-    member.join(mixed, "key", "left_semi").distinct().write.parquet(path)
+    member.join(mixed, "key", "left_semi").select("rid", "n", "label").distinct().write.parquet(path)
     member = spark.read.parquet(path)
-    m1, m2 = (member.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("rid", "n", "label", "center")]) for k in (1, 2))
-    rest = m1.join(m2, "key").where(
-        (F.col("label1") < F.col("label2")) & (100 * F.least("n1", "n2") >= similarity * F.greatest("n1", "n2"))
-        # pairs with the key's first document were tried
-        & (F.col("rid1") != F.col("center2")) & (F.col("rid2") != F.col("center1"))) \
-        .select(F.least("rid1", "rid2").alias("a"), F.greatest("rid1", "rid2").alias("b")).distinct()
+    sets = full_sets(spark, store, member.select("rid"), shingle)
+    rest = cross_pairs(spark, sets, member, similarity)
     path = scratch_path(spark, "minhash-links")
-    confirmed(spark, store, rest, shingle, similarity).write.parquet(path)
+    confirmed(spark, store, rest, shingle, similarity, sets).write.parquet(path)
     links = spark.read.parquet(path)
     return sig, _merged(spark, labels, links.union(copies))
 
