@@ -66,7 +66,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     padded[width - 1: width - 1 + len(least)] = least
     most = _sliding(padded, width, np.maximum)                # the largest of these minima over the strings that hold a gram
     at = np.flatnonzero((most == h) & (h > 0))
-    return at, h[at]
+    # smallest hashes are small: mixed again, they spread over the buckets
+    return at, mix(h[at] + U64(0x632BE59BD9B4E019))
 
 
 class Slice:
