@@ -10,8 +10,8 @@ rotates the CRC-32 and adds a constant, so that a checksum of data holding check
 holds (offset uint64, tokens uint64) per record: a shuffled reader seeks by it. Files are written
 under temporary names, renamed, and listed in a manifest that Spark commits.
 
-Encoding: pieces of text are encoded once per worker and kept in a bounded table. A cut
-before ASCII white space, and between an ASCII letter or digit and an ASCII sign other
+Encoding: words of text, and their parts, are encoded once per worker and kept in bounded tables. A cut
+at ASCII white space, and between an ASCII letter or digit and an ASCII sign other
 than the apostrophe, never changes the ids: the tokenizer drops white space, its pattern ends
 a letter run there and no normal form joins across. Texts with "<|" (which may be special tokens) are
 encoded whole.
@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,12 +39,12 @@ from shelfage.llm.common import commit_file, filesystem
 from shelfage.session import scratch_path
 
 END_ID = 1
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_500_000
 MANIFEST = "part int, path string, index_path string, records long, tokens long, first_id long, last_id long"
 RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long, path string, offset long"
 _MASK = 0xA282EAD8
 
-_PIECE = re.compile(r"[A-Za-z0-9]+(?![^\x00-\x7f])(?=[!-&(-/:-@\[-`{}~])|[^\x20\x09-\x0D]+?(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{}~])|[^\x20\x09-\x0D]+")
+_CUT = re.compile(r"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{}~])")
 
 
 def default_tokenizer() -> str:
@@ -60,30 +61,45 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words, from the ids of their parts. Upper-case ASCII letters have the ids of the lower-case ones."""
+        cut = []
+        for w in words:
+            s = w.decode()
+            cut.append([p.lower() if p.isascii() else p for p in ([s] if s.isalpha() else _CUT.split(s))])
+        parts = self.parts
+        if len(parts) > KEPT_PIECES:
+            parts.clear()
+        new = {p for c in cut for p in c if p not in parts}
+        # a run of ASCII letters is one word of the tokenizer's pattern: straight to its model
+        model = self.tokenizer.model
+        other = []
+        for p in new:
+            if p.isascii() and p.isalpha():
+                parts[p] = array("I", [t.id for t in model.tokenize(p)]).tobytes()
+            else:
+                other.append(p)
+        for at in range(0, len(other), 20_000):
+            some = other[at: at + 20_000]
+            parts.update(zip(some, self._ids(some)))
+        for w, c in zip(words, cut):
+            self.words[w] = parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "<|" in t else _PIECE.findall(t) for t in texts]
-        known = self.known
-        new = {p for pieces in cut if pieces for p in pieces}
-        new = [p for p in new if p not in known]
-        if len(known) + len(new) > KEPT_PIECES:
-            known.clear()
-            new = list({p for pieces in cut if pieces for p in pieces})
-        # upper-case ASCII letters have the ids of the lower-case ones
-        base = {p.lower() if p.isascii() else p for p in new}
-        todo = [p for p in base if p not in known]
-        for at in range(0, len(todo), 20_000):
-            part = todo[at: at + 20_000]
-            known.update(zip(part, self._ids(part)))
-        for p in new:
-            if p not in known:
-                known[p] = known[p.lower()]
+        cut = [None if "<|" in t else t.encode().split() for t in texts]
+        every = set().union(*(c for c in cut if c))
+        if len(self.words) + len(every) > KEPT_PIECES:
+            self.words.clear()
+        known = self.words
+        self._learn([w for w in every if w not in known])
         get = known.__getitem__
-        return [self._ids([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
+        return [self._ids([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 @lru_cache(maxsize=2)
