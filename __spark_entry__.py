@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from shelfage.operators import aging, drilldown as dd, lookups, totals
 from shelfage.operators.filters import Filters
-from shelfage.functions.expressions import clean_bucket_name
-from shelfage.operators.filters import open_stock_sql
-from shelfage.schema import BUCKETS, DIMENSIONS, EXPORT_METRIC_COLS, KPI_ROWS, KPI_SOURCES, METRIC_COLS, TOTAL_WORD
+from shelfage.plans import download_drilldown, get_dashboard_data
+from shelfage.schema import DIMENSIONS, EXPORT_METRIC_COLS, KPI_ROWS, KPI_SOURCES, METRIC_COLS, TOTAL_WORD
 from shelfage.session import scratch_path
-from shelfage.sinks import read_report, write_reports
+from shelfage.sinks import read_detail, read_report, read_summary, write_reports
 from shelfage.sources.driver_tables import DUCKDB_CANONICAL_CTES, DriverCatalog
 
 if importlib.util.find_spec("shelfage.llm") is not None:  # the training-data operators, where they are installed
@@ -44,10 +43,12 @@ SALESPERSON = 3
 TEAM = 7
 PT_VALUE = '{"fr_FR": "5-LOW"}'
 ITEM_VALUE = "PROMO"
+# the age buckets, by hand: the queries take theirs from the package, the oracles from here
+BUCKETS = (("0-5", 0, 5), ("6-10", 6, 10), ("11-15", 11, 15), ("16-20", 16, 20), ("21-25", 21, 25), ("26-30", 26, 30), ("30+", 31, None))
 CUSTOMER_VALUE = "Customer#000000370"
 BUYER_VALUE = "Brand#1"
 SEARCH_USERS = "#0000000"
-SEARCH_TEAMS = "nation"
+SEARCH_TEAMS = "nation_2"
 
 
 def _cat(spark: SparkSession, sf_dir: str) -> DriverCatalog:
@@ -96,7 +97,7 @@ def _bundle_filtered(spark, d):
 
 def _with_totals(dim: str, totals_first: bool = True, order: str = "query"):
     def q(spark, d):
-        rep = aging.aging_report(_cat(spark, d), dim, Filters(COMPANY), AS_OF)
+        rep = aging.aging_report(_cat(spark, d), dim, Filters(COMPANY), AS_OF, ordered=False)
         return totals.layout(totals.report_with_totals(rep, dim, totals_first), dim, order)
     return q
 
@@ -111,10 +112,22 @@ def _drill_with_total(spark, d):
     return detail.withColumn("Qty", F.col("Qty").cast("double"))
 
 
-def _export_roundtrip(spark, d):
-    cat = _cat(spark, d)
-    out = write_reports(aging.bundle(cat, Filters(COMPANY), AS_OF), scratch_path(spark, "export"), AS_OF)
-    return read_report(spark, out, "customer")
+def _export(spark, d):
+    return write_reports(aging.bundle(_cat(spark, d), Filters(COMPANY), AS_OF), scratch_path(spark, "export"), AS_OF)
+
+
+def _export_roundtrip(dim: str):
+    return lambda spark, d: read_report(spark, _export(spark, d), dim).drop("position")
+
+
+def _drill_export_roundtrip(spark, d):
+    out = download_drilldown(_cat(spark, d), {"company_id": COMPANY}, "payment_terms", PT_VALUE, "Value_30+", AS_OF,
+                             scratch_path(spark, "drill-export"))
+    return read_detail(spark, out).drop("position").withColumn("Qty", F.col("Qty").cast("double"))
+
+
+def _dashboard_default_company(spark, d):
+    return get_dashboard_data(_cat(spark, d), {}, AS_OF, default_company=3)["buyer"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -178,7 +191,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lookup_teams_search": lambda spark, d: lookups.teams(_cat(spark, d), COMPANY, SEARCH_TEAMS),
         "lookup_teams_no_company": lambda spark, d: lookups.teams(_cat(spark, d), None),
         # SNK-2..4
-        "export_roundtrip": _export_roundtrip,
+        "export_roundtrip": _export_roundtrip("customer"),
+        **{f"export_roundtrip_{dim}": _export_roundtrip(dim) for dim in DIMENSIONS},
+        "export_summary": lambda spark, d: read_summary(spark, _export(spark, d)),
+        "drill_export_roundtrip": _drill_export_roundtrip,
+        "dashboard_default_company": _dashboard_default_company,
     })
     if training_data is not None:
         q.update(training_data.queries())
@@ -191,7 +208,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _AGE = f"(DATE '{AS_OF.isoformat()}' - CAST(od.action_date AS DATE))"
 _PT_LABEL = "COALESCE(apt.name ->> 'en_US', CAST(apt.name AS VARCHAR))"
 _PROD_LABEL = "COALESCE(pt.name ->> 'en_US', CAST(pt.name AS VARCHAR))"
-_BASE_WHERE = open_stock_sql("od.")  # same predicate text as the Spark filter
+_BASE_WHERE = "od.next_operation = 'FG Packing' AND od.state NOT IN ('done', 'closed') AND od.fg_balance > 0"
 
 # label expression and joins of each dimension (reference query text)
 _DIM_SQL = {
@@ -270,7 +287,7 @@ def _bundle_body(user=None, team=None) -> str:
 
 def _drill_body(group_type, group_value, bucket, company=COMPANY, user=None, team=None, null_group=False) -> str:
     where = _filter_sql(company, user, team)
-    clean = clean_bucket_name(bucket)
+    clean = (bucket or "").removeprefix("Balance_").removeprefix("Value_")
     for n, lo, hi in BUCKETS:
         if n == clean:
             where += f" AND {_cond(lo, hi)}"
@@ -346,7 +363,7 @@ def _lookup_sql() -> dict[str, str]:
         "lookup_salespersons_search": _with(users + f" AND rp.name ILIKE '%{SEARCH_USERS}%'"),
         "lookup_teams": _with(teams.format(extra=f" OR company_id = {COMPANY}", term="")),
         "lookup_teams_search": _with(teams.format(extra=f" OR company_id = {COMPANY}",
-                                                  term=f" AND name ILIKE '%{SEARCH_TEAMS}%'")),
+                                                  term=f" AND name ILIKE '%nation\\_2%' ESCAPE '\\'")),
         "lookup_teams_no_company": _with(teams.format(extra="", term="")),
     }
 
@@ -392,7 +409,11 @@ def oracle_sql() -> dict[str, str]:
         "kpi_table": _kpi_table_sql(),
         "kpi_labels": _kpi_labels_sql(),
         **_lookup_sql(),
-        "export_roundtrip": _export_roundtrip_sql(),
+        "export_roundtrip": _export_roundtrip_sql("customer"),
+        **{f"export_roundtrip_{dim}": _export_roundtrip_sql(dim) for dim in DIMENSIONS},
+        "export_summary": _kpi_table_sql(),
+        "drill_export_roundtrip": _drill_export_sql(),
+        "dashboard_default_company": _report_sql("buyer", 3),
     })
     if training_data is not None:
         s.update(training_data.oracle_sql())
@@ -408,11 +429,19 @@ UNION ALL
 SELECT 'Total', NULL, NULL, CAST(COALESCE(SUM(COALESCE("Qty", 0)), 0) AS DOUBLE), CAST(COALESCE(SUM(COALESCE("Value", 0)), 0) AS BIGINT), 'total', 1 FROM d""")
 
 
-def _export_roundtrip_sql() -> str:
-    label = DIMENSIONS["customer"].label
+def _export_roundtrip_sql(dim: str) -> str:
+    label = DIMENSIONS[dim].label
     cols = ", ".join(f'"{c}"' for c in EXPORT_METRIC_COLS)
     sums = ", ".join(f'CAST(COALESCE(SUM(COALESCE("{c}", 0)), 0) AS BIGINT) AS "{c}"' for c in EXPORT_METRIC_COLS)
-    rep = _report_body("customer", _filter_sql(COMPANY))
+    rep = _report_body(dim, _filter_sql(COMPANY))
     return _with(f"""SELECT 'Total' AS "{label}", {sums}, 'total' AS row_type, 0 AS row_order FROM ({rep}) r
 UNION ALL
 SELECT "{label}", {cols}, 'row' AS row_type, 1 AS row_order FROM ({rep}) r""")
+
+
+def _drill_export_sql() -> str:
+    detail = _drill_body("payment_terms", PT_VALUE, "Value_30+")
+    text = (f"""'Breakdown for Payment Terms: {PT_VALUE} (Value_30+)' AS title, '{PT_VALUE.replace(" ", "_")}_Value_30+' AS export_name""")
+    return _with_ctes(f"d AS ({detail})", f"""SELECT "OA", "Category", "Product", "Qty", "Value", 'detail' AS row_type, 0 AS row_order, {text} FROM d
+UNION ALL
+SELECT 'Total', NULL, NULL, CAST(COALESCE(SUM(COALESCE("Qty", 0)), 0) AS DOUBLE), CAST(COALESCE(SUM(COALESCE("Value", 0)), 0) AS BIGINT), 'total', 1, {text} FROM d""")

@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -25,9 +25,10 @@ def ident(name: str) -> str:
 
 
 def as_date(as_of: dt.date | str | None) -> dt.date:
-    """Resolve the clock once; ``None`` means today (the reference's CURRENT_DATE)."""
+    """Resolve the clock once; ``None`` means the current date in the session's time zone."""
     if as_of is None:
-        return dt.date.today()
+        session = SparkSession.getActiveSession()
+        return session.sql("SELECT current_date()").first()[0] if session else dt.date.today()
     if isinstance(as_of, dt.datetime):
         return as_of.date()
     if isinstance(as_of, dt.date):

@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import age_sql, as_date, bucket_sql, ident, round0_sql, translated_label_sql
 from ..schema import BUCKET_NAMES, DIMENSION_ORDER, DIMENSIONS, METRIC_COLS
-from ..session import scratch_path
 from ..sources.catalog import Catalog
 from .filters import Filters, fact_predicate
 
 # fact column behind each fact-side dimension
 FACT_COLUMN = {"item_category": "fg_categ_type", "buyer": "buyer_name"}
+# order column behind each order-side dimension
+ORDER_KEY = {"payment_terms": "payment_term_id", "customer": "partner_id"}
 
 
 def _check_dims(dims: Sequence[str]) -> list[str]:
@@ -47,69 +48,28 @@ def _check_dims(dims: Sequence[str]) -> list[str]:
     return dims
 
 
-def _matching_orders(cat: Catalog, filters: Filters, group_type: str | None = None,
-                     group_value: str | None = None) -> DataFrame:
-    """Ids (``_so_id``) of orders passing the salesperson / team filter and, for an
-    order-side drill-down group, whose payment-term label / customer name is
-    ``group_value`` (semi joins with the few matching dimension rows)."""
-    cols = ["id", *filters.order_columns()]
-    if group_type == "payment_terms":
-        cols.append("payment_term_id")
-    elif group_type == "customer":
-        cols.append("partner_id")
-    so = cat.table("sale_order", cols)
-    pred = filters.order_predicate()
-    if pred is not None:
-        so = so.where(pred)
-    if group_type == "payment_terms":
-        apt = (cat.table("account_payment_term", ["id", "name"])
-               .selectExpr("id AS _apt_id", f"{translated_label_sql('name')} AS _grp")
-               .where(F.col("_grp") == F.lit(group_value)))
-        so = so.join(apt, F.expr("payment_term_id = _apt_id"), "left_semi")
-    elif group_type == "customer":
-        rp = cat.table("res_partner", ["id", "name"]).where(F.col("name") == F.lit(group_value))
-        so = so.join(rp.selectExpr("id AS _rp_id"), F.expr("partner_id = _rp_id"), "left_semi")
-    return so.selectExpr("id AS _so_id")
-
-
-def order_filter_ids(cat: Catalog, filters: Filters, group_type: str | None = None,
-                     group_value: str | None = None) -> tuple[DataFrame, bool]:
-    """Ids (``_so_id``) of the orders that pass the salesperson / team filter (and,
-    for a drill-down, the selected order-side group), and whether they may be
-    broadcast.
-
-    Without column statistics Catalyst estimates a filtered order table at
-    its full size, so it would always plan a shuffle join and shuffle the
-    fact before the filter applies. The ids are therefore written once to
-    the shared folder (one small job over ``sale_order``) and read back: the
-    written files give a proven size, checked against the session's
-    broadcast threshold. Small -> broadcast semi join on the raw lines (no
-    shuffle, unmatched lines dropped at the source); large -> fold first,
-    then a shuffle join (see ``stock_lines``).
+def order_spread(null_keys: str, spread_by: Sequence[str]) -> str:
+    """SQL of a second join key: 0 where the order key is set, else a hash of ``spread_by``.
+
+    Rows without a key match nothing; the second key only deals them over all partitions. The
+    other side's second key is ``pmod(key, 1)``: always 0, and no literal, which the optimizer would
+    take out of the join keys.
     """
-    ids = _matching_orders(cat, filters, group_type, group_value)
-    spark = ids.sparkSession
-    path = scratch_path(spark, "order-filter")
-    ids.write.parquet(path)
-    ids = spark.read.parquet(path)
-    size = int(ids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return ids, 0 <= size <= limit
+    cols = ", ".join(ident(c) for c in spread_by)
+    return f"CASE WHEN {null_keys} IS NULL THEN CAST(pmod(xxhash64({cols}), 4096) + 1 AS BIGINT) ELSE CAST(0 AS BIGINT) END"
 
 
 def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[str] = (),
-                company_scope: bool = True) -> DataFrame:
+                company_scope: bool = True, order_keys: Sequence[str] = ()) -> DataFrame:
     """Filtered fact lines: ``oa_id``, extra fact columns, ``bucket``, ``balance``, ``value``.
 
     With a salesperson / team filter (S15: lines without a matching order
-    drop out) the matching order ids are materialized first
-    (``order_filter_ids``). If their proven size allows a broadcast, the raw
-    lines are semi-joined with them in place -- no shuffle, and a selective
-    filter prunes the fact before anything else. Otherwise the lines are
-    first folded per ``(oa_id, extra columns, bucket)`` and only then joined:
-    map-side combine turns an order holding a third of all lines into a few
-    rows per task, so the shuffle join never moves raw lines by a hot order
-    key. Sums are additive, so callers see the same totals either way.
+    drop out) the lines are folded per ``(oa_id, extra columns, bucket)`` and
+    the folded rows are inner-joined with the orders that pass, which also
+    bring ``order_keys``; so there is one join with ``sale_order`` whatever its
+    size, and an order id stored twice counts twice everywhere, as in a
+    plain SQL join. Map-side combine turns an order holding a third of all lines into a few
+    rows per task before the join. Nothing runs while the plan is built.
     """
     extra = list(dict.fromkeys(extra))
     cols = ["oa_id", "next_operation", "state", "fg_balance", "price_unit", "action_date", "company_id", *extra]
@@ -122,15 +82,10 @@ def stock_lines(cat: Catalog, filters: Filters, as_of: dt.date, extra: Sequence[
         "fg_balance * price_unit AS value",
     )
     if filters.needs_orders:
-        ids, small = order_filter_ids(cat, filters)
-        if small:
-            return lines.join(F.broadcast(ids), F.expr("oa_id = _so_id"), "left_semi")
         keys = ["oa_id", *[c for c in extra if c != "oa_id"], "bucket"]
-        lines = lines.groupBy(*keys).agg(*_sums())
-        # The reference's LEFT JOIN plus a filter on the order is an inner
-        # join; written as one because Catalyst would push a semi join back
-        # below the fold onto the raw lines. Order ids are unique.
-        lines = lines.join(ids, F.expr("oa_id = _so_id"), "inner").drop("_so_id")
+        so = cat.table("sale_order", list(dict.fromkeys(["id", *filters.order_columns(), *order_keys])))
+        so = so.where(filters.order_predicate()).select(F.col("id").alias("_so_id"), *order_keys)
+        lines = lines.groupBy(*keys).agg(*_sums()).join(so, F.expr("oa_id = _so_id"), "inner").drop("_so_id")
     return lines
 
 
@@ -164,7 +119,7 @@ def labelled_partials(cat: Catalog, filters: Filters | None = None, as_of: dt.da
 
     One scan, one grouping-sets aggregate. Its per-order rows and its
     per-category / per-buyer rows travel through the order joins together
-    (the latter have no order key and are a handful of rows), then each row
+    (the latter have no order key and are spread by a second one), then each row
     is expanded into the (dimension, label) pairs it contributes to. Keeping
     the pipeline linear matters: splitting the aggregate by grouping id
     would let Catalyst push each split below the aggregate and rescan the
@@ -176,16 +131,18 @@ def labelled_partials(cat: Catalog, filters: Filters | None = None, as_of: dt.da
     fact_dims = [d for d in dims if DIMENSIONS[d].side == "fact"]
     order_dims = [d for d in dims if DIMENSIONS[d].side == "order"]
 
-    lines = stock_lines(cat, filters, as_of, [FACT_COLUMN[d] for d in fact_dims], company_scope)
+    label_keys = [ORDER_KEY[d] for d in order_dims]
+    joined = filters.needs_orders
+    lines = stock_lines(cat, filters, as_of, [FACT_COLUMN[d] for d in fact_dims], company_scope, label_keys)
     # Two sums per line, folded per (key, bucket); the sixteen bucket columns
     # are formed later on the folded rows (see README, "Cheap per line").
-    sets: list[list[str]] = ([["oa_id", "bucket"]] if order_dims else []) + \
+    sets: list[list[str]] = ([[*(label_keys if joined else ["oa_id"]), "bucket"]] if order_dims else []) + \
         [[FACT_COLUMN[d], "bucket"] for d in fact_dims]
     g, gids = _grouped(lines, sets)
 
     tagged: list[tuple[int, list[tuple[str, str]]]] = []
     if order_dims:
-        g, label_cols = _attach_order_labels(cat, g, order_dims)
+        g, label_cols = _attach_order_labels(cat, g, order_dims, joined, [FACT_COLUMN[d] for d in fact_dims])
         tagged.append((gids[0], [(d, label_cols[d]) for d in order_dims]))
     offset = 1 if order_dims else 0
     for i, d in enumerate(fact_dims):
@@ -198,8 +155,9 @@ def labelled_partials(cat: Catalog, filters: Filters | None = None, as_of: dt.da
     return g.selectExpr(f"inline(CASE {' '.join(whens)} END)", "bucket", "balance", "value")
 
 
-def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """Left-join order-side labels to the per-order partial sums.
+def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str], joined: bool,
+                         fact_columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Left-join order-side labels to the per-order partial sums (``joined``: they have the label keys already).
 
     The join to ``sale_order`` is on its unique id, so it cannot skew. Its
     result is folded again by ``(payment term id, partner id, bucket)``
@@ -210,9 +168,18 @@ def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str]) -> t
     """
     label_keys = (["payment_term_id"] if "payment_terms" in order_dims else []) + \
         (["partner_id"] if "customer" in order_dims else [])
-    so = cat.table("sale_order", ["id", *label_keys]).withColumnRenamed("id", "_so_id")
-    keep = [c for c in g.columns if c not in ("oa_id", "balance", "value")]  # _gid, bucket, fact keys
-    j = g.join(so, F.expr("oa_id = _so_id"), "left").groupBy(*keep, *label_keys).agg(*_sums())
+    if joined:
+        j = g
+    else:
+        so = cat.table("sale_order", ["id", *label_keys]).withColumnRenamed("id", "_so_id")
+        keep = [c for c in g.columns if c not in ("oa_id", "balance", "value")]  # _gid, bucket, fact keys
+        on = "oa_id = _so_id"
+        if fact_columns:
+            # the per-category and per-buyer rows have no order id: spread them
+            g = g.withColumn("_spread", F.expr(order_spread("oa_id", ["bucket", *fact_columns])))
+            so = so.withColumn("_zero", F.expr("CAST(pmod(_so_id, 1) AS BIGINT)"))
+            on += " AND _spread = _zero"
+        j = g.join(so, F.expr(on), "left").groupBy(*keep, *label_keys).agg(*_sums())
     label_cols = {}
     if "payment_terms" in order_dims:
         apt = cat.table("account_payment_term", ["id", "name"]) \
@@ -253,21 +220,22 @@ def widen(long: DataFrame) -> DataFrame:
     return long.groupBy("dimension", "label").agg(*aggs)
 
 
-def finish(wide: DataFrame, dimension: str, rounded: bool = True) -> DataFrame:
-    """Select one dimension's rows with the reference's column names and order."""
+def finish(wide: DataFrame, dimension: str, rounded: bool = True, ordered: bool = True) -> DataFrame:
+    """Select one dimension's rows with the report's column names and (unless ``ordered=False``) order."""
     label = DIMENSIONS[dimension].label
     metrics = [f"{round0_sql(c)} AS {ident(c)}" if rounded else ident(c) for c in METRIC_COLS]
-    return (wide.where(F.expr(f"dimension = '{dimension}'"))
-            .selectExpr(f"label AS {ident(label)}", *metrics)
-            .orderBy(F.col(label).asc_nulls_last()))
+    out = wide.where(F.expr(f"dimension = '{dimension}'")).selectExpr(f"label AS {ident(label)}", *metrics)
+    return out.orderBy(F.col(label).asc_nulls_last()) if ordered else out
 
 
 def aging_report(cat: Catalog, dimension: str, filters: Filters | None = None,
                  as_of: dt.date | str | None = None, rounded: bool = True,
-                 company_scope: bool = True) -> DataFrame:
-    """One ageing report (REP-4..7; with ``company_scope=False, rounded=False`` REP-1..3)."""
+                 company_scope: bool = True, ordered: bool = True) -> DataFrame:
+    """One ageing report (REP-4..7; with ``company_scope=False, rounded=False`` REP-1..3).
+
+    ``ordered=False`` leaves out the sort, for reports that are aggregated further (totals, KPIs)."""
     parts = labelled_partials(cat, filters, as_of, [dimension], company_scope)
-    return finish(widen(parts), dimension, rounded)
+    return finish(widen(parts), dimension, rounded, ordered)
 
 
 def plain_report(cat: Catalog, dimension: str, as_of: dt.date | str | None = None) -> DataFrame:
@@ -286,12 +254,11 @@ def bundle(cat: Catalog, filters: Filters | None = None, as_of: dt.date | str |
     return wide.selectExpr("dimension", "label", *[f"{round0_sql(c)} AS {ident(c)}" for c in METRIC_COLS])
 
 
-def split_bundle(stacked: DataFrame, dimensions: Sequence[str] = DIMENSION_ORDER) -> dict[str, DataFrame]:
+def split_bundle(stacked: DataFrame, dimensions: Sequence[str] = DIMENSION_ORDER, ordered: bool = True) -> dict[str, DataFrame]:
     """The four report DataFrames of a stacked bundle, with their own label names and order."""
     out = {}
     for d in dimensions:
         label = DIMENSIONS[d].label
-        out[d] = (stacked.where(F.expr(f"dimension = '{d}'"))
-                  .selectExpr(f"label AS {ident(label)}", *[ident(c) for c in METRIC_COLS])
-                  .orderBy(F.col(label).asc_nulls_last()))
+        rows = stacked.where(F.expr(f"dimension = '{d}'")).selectExpr(f"label AS {ident(label)}", *[ident(c) for c in METRIC_COLS])
+        out[d] = rows.orderBy(F.col(label).asc_nulls_last()) if ordered else rows
     return out

@@ -10,11 +10,11 @@ Plan shape:
    plain sum and Value is a sum of per-line rounded values, so both are
    additive and can be folded before any join; a hot order or the NULL
    order becomes a few partial rows per task instead of millions of lines.
-3. A salesperson / team filter or a selected payment term / customer
-   restricts the cell to a set of orders. Their ids are materialized with
-   a proven size: if broadcastable they prune the raw lines before step 2
-   (no shuffle), otherwise the folded rows are inner-joined with them.
-   Then left joins to the order name and the product name (variant joined
+3. One join of the folded rows with the orders: a left join for the order
+   name, an inner join with the restricted orders when a salesperson, a
+   team, a payment term or a customer is selected. Rows without an order or product
+   carry a second join key that spreads them.
+   Then a left join to the product name (variant joined
    to template first, so the large side is joined once).
 4. Final aggregate by ``(order name, category, raw product JSON)``: rows
    are keyed by the product's whole JSON, but show its translated label.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import action_date_range, as_date, bucket_bounds, round0_sql, translated_label_sql
 from ..schema import DIMENSIONS, TOTAL_WORD
 from ..sources.catalog import Catalog
-from .aging import FACT_COLUMN, order_filter_ids
+from .aging import FACT_COLUMN, order_spread
 from .filters import Filters, fact_predicate
 from .totals import seeded
 
@@ -45,7 +45,7 @@ def group_selected(group_type: str | None, group_value: str | None) -> bool:
 def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: str | None = None,
               group_value: str | None = None, bucket: str | None = None,
               as_of: dt.date | str | None = None, null_group: bool = False,
-              with_total: bool = False) -> DataFrame:
+              with_total: bool = False, default_company: int | None = None) -> DataFrame:
     """Detail rows ``OA, Category, Product, Qty, Value`` of one report cell (REP-8).
 
     ``bucket`` is the clicked metric column (``Balance_6-10``, ``Value_30+``,
@@ -56,7 +56,7 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
     aggregate, with ``row_type`` / ``row_order`` columns.
     """
     if not isinstance(filters, Filters):
-        filters = Filters.from_mapping(filters)
+        filters = Filters.from_mapping(filters, default_company)
     as_of = as_date(as_of)
 
     od_cols = ["oa_id", "product_id", "fg_categ_type", "next_operation", "state", "fg_balance",
@@ -77,43 +77,44 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
         pred = pred & (col.isNull() if by_null else col == F.lit(group_value))
     lines = od.where(pred)
 
-    # Orders the cell is restricted to: salesperson / team (S15) and, for a
-    # selected payment term or customer, the orders carrying that label.
-    # Their ids are materialized with a proven size: small -> the raw lines
-    # are pruned by a broadcast semi join before anything is shuffled;
-    # large -> the folded lines are inner-joined with them.
-    order_group = (group_type if group_type in ("payment_terms", "customer") and select_group and not by_null
-                   else None)
-    ids, small = None, False
-    if filters.needs_orders or order_group:
-        ids, small = order_filter_ids(cat, filters, order_group, group_value)
-        if small:
-            lines = lines.join(F.broadcast(ids), F.expr("oa_id = _so_id"), "left_semi")
-
     # Map-side-combinable partial sums per (order, category, product).
     part = lines.groupBy("oa_id", "fg_categ_type", "product_id").agg(
         F.expr("sum(fg_balance) AS _qty"),
         F.expr("sum(round(fg_balance * price_unit, 0)) AS _value"),
     )
-    if ids is not None and not small:
-        part = part.join(ids, F.expr("oa_id = _so_id"), "inner").drop("_so_id")
 
-    # Order name (and, for the NULL-group option, the order's label keys).
-    null_order_group = group_type in ("payment_terms", "customer") and by_null
-    so_cols = ["id", "name"]
-    if null_order_group:
+    # Orders the cell is restricted to: salesperson / team (S15) and, for a selected (or the
+    # NULL) payment term or customer, the orders carrying that label. One join with the orders
+    # brings the name and applies the restriction.
+    order_group = group_type in ("payment_terms", "customer") and (select_group or by_null)
+    so_cols = ["id", "name", *filters.order_columns()]
+    if order_group:
         so_cols.append("payment_term_id" if group_type == "payment_terms" else "partner_id")
-    so = cat.table("sale_order", so_cols).withColumnsRenamed({"id": "_so_id", "name": "_oa"})
-    j = part.join(so, F.expr("oa_id = _so_id"), "left")
-
-    if null_order_group:
+    so = cat.table("sale_order", list(dict.fromkeys(so_cols)))
+    if filters.needs_orders:
+        so = so.where(filters.order_predicate())
+    inner = filters.needs_orders
+    if order_group:
         if group_type == "payment_terms":
-            apt = cat.table("account_payment_term", ["id", "name"]).selectExpr(
-                "id AS _apt_id", f"{translated_label_sql('name')} AS _grp")
-            j = j.join(apt, F.expr("payment_term_id = _apt_id"), "left")
+            names = cat.table("account_payment_term", ["id", "name"]).selectExpr("id AS _grp_id", f"{translated_label_sql('name')} AS _grp")
+            key = "payment_term_id = _grp_id"
+        else:
+            names = cat.table("res_partner", ["id", "name"]).selectExpr("id AS _grp_id", "name AS _grp")
+            key = "partner_id = _grp_id"
+        if by_null:
+            so = so.join(names, F.expr(key), "left")
         else:
-            rp = cat.table("res_partner", ["id", "name"]).selectExpr("id AS _rp_id", "name AS _grp")
-            j = j.join(rp, F.expr("partner_id = _rp_id"), "left")
+            so = so.join(names.where(F.col("_grp") == F.lit(group_value)), F.expr(key), "inner")
+            inner = True
+    so = so.withColumnsRenamed({"id": "_so_id", "name": "_oa"})
+    on = "oa_id = _so_id"
+    if not cat.co_located:
+        # lines without an order match nothing: a second key deals them over all partitions
+        so = so.withColumn("_zero", F.expr("CAST(pmod(_so_id, 1) AS BIGINT)"))
+        part = part.withColumn("_spread", F.expr(order_spread("oa_id", ["product_id", "fg_categ_type"])))
+        on += " AND _spread = _zero"
+    j = part.join(so, F.expr(on), "inner" if inner else "left").drop("_spread", "_zero")
+    if order_group and by_null:
         j = j.where(F.col("_grp").isNull())
 
     # Variant -> template first (two dimension tables), then one join of the
@@ -121,8 +122,9 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
     # one shuffle of the large side instead of two when nothing is broadcast.
     pp = cat.table("product_product", ["id", "product_tmpl_id"]).selectExpr("id AS _pp_id", "product_tmpl_id")
     pt = cat.table("product_template", ["id", "name"]).selectExpr("id AS _pt_id", "name AS _pt_name")
-    product = pp.join(pt, F.expr("product_tmpl_id = _pt_id"), "left").select("_pp_id", "_pt_name")
-    j = j.join(product, F.expr("product_id = _pp_id"), "left")
+    product = pp.join(pt, F.expr("product_tmpl_id = _pt_id"), "left").selectExpr("_pp_id", "_pt_name", "CAST(pmod(_pp_id, 1) AS BIGINT) AS _none")
+    j = j.withColumn("_spread", F.expr(order_spread("product_id", ["oa_id", "fg_categ_type"])))
+    j = j.join(product, F.expr("product_id = _pp_id AND _spread = _none"), "left")
 
     keys = ["_oa", "fg_categ_type", "_pt_name"]
     if not with_total:
@@ -139,6 +141,7 @@ def drilldown(cat: Catalog, filters: Filters | dict | None = None, group_type: s
         F.expr("sum(_qty) AS Qty"), F.expr("sum(_value) AS Value"),
         F.expr("grouping_id(_oa, fg_categ_type, _pt_name, _seed) AS _gid"))
     out = out.where(F.expr("NOT (_gid = 0 AND _seed = 1)"))
+    out = out.orderBy(F.expr("CASE WHEN _gid = 0 THEN 0 ELSE 1 END"), F.col("_oa").asc_nulls_last(), F.col("_pt_name").asc_nulls_last())
     return out.selectExpr(
         f"CASE WHEN _gid = 0 THEN _oa ELSE '{TOTAL_WORD}' END AS OA",
         "CASE WHEN _gid = 0 THEN fg_categ_type END AS Category",

@@ -22,17 +22,20 @@ class Filters:
     company_id: int | None = None
     salesperson_id: int | None = None
     team_id: int | None = None
-    default_company: int = 1
+    default_company: int | None = None
 
     @classmethod
-    def from_mapping(cls, filters: Mapping | None, default_company: int = 1) -> "Filters":
+    def from_mapping(cls, filters: Mapping | None, default_company: int | None = None) -> "Filters":
         f = dict(filters or {})
         return cls(f.get("company_id") or None, f.get("salesperson_id") or None,
                    f.get("team_id") or None, default_company)
 
     @property
     def company(self) -> int:
-        return self.company_id or self.default_company
+        company = self.company_id or self.default_company
+        if not company:
+            raise ValueError("no company selected: give company_id or the caller's default_company")
+        return company
 
     @property
     def needs_orders(self) -> bool:
@@ -66,10 +69,6 @@ def open_stock_sql(alias: str = "") -> str:
     return f"{a}next_operation = '{FG_STAGE}' AND {a}state NOT IN ({states}) AND {a}fg_balance > 0"
 
 
-def open_stock_predicate() -> Column:
-    return F.expr(open_stock_sql())
-
-
 def fact_predicate(company: int | None) -> Column:
     sql = open_stock_sql()
     if company is not None:

@@ -42,15 +42,9 @@ def seeded(df: DataFrame, keys: Sequence[str], seeds: Sequence[tuple]) -> DataFr
     out = df.selectExpr("*", "0 AS _seed")
     for values in seeds:
         given = dict(zip(keys, values))
-        exprs = []
-        for f in df.schema.fields:
-            t = f.dataType.simpleString()
-            if f.name in given:
-                v = str(given[f.name]).replace("'", "''")
-                exprs.append(f"CAST('{v}' AS {t}) AS {ident(f.name)}")
-            else:
-                exprs.append(f"CAST(NULL AS {t}) AS {ident(f.name)}")
-        out = out.unionByName(spark.range(1).selectExpr(*exprs, "1 AS _seed"))
+        row = [F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+        # one row, one task
+        out = out.unionByName(spark.range(0, 1, 1, 1).select(*row, F.lit(1).alias("_seed")))
     return out
 
 
@@ -102,11 +96,6 @@ def bundle_with_totals(stacked: DataFrame, totals_first: bool = True,
     return _with_total_sets(stacked, ["dimension"], "label", totals_first, [(d,) for d in dimensions])
 
 
-def bundle_totals(stacked: DataFrame) -> DataFrame:
-    """Totals row of every report of a stacked bundle in one small aggregate."""
-    return stacked.groupBy("dimension").agg(*[_zsum(c, c) for c in METRIC_COLS])
-
-
 def kpi_summary(payment_terms_report: DataFrame) -> DataFrame:
     """The six dashboard KPIs, from the payment-terms report only (S9), as one row."""
     return payment_terms_report.agg(*[_zsum(src, name) for name, (src, _) in KPI_SOURCES.items()])

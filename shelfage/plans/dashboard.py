@@ -20,8 +20,15 @@ from ..sinks import write_drilldown, write_reports
 from ..sources.catalog import Catalog
 
 
-def _filters(filters) -> Filters:
-    return filters if isinstance(filters, Filters) else Filters.from_mapping(filters)
+class Reports(dict):
+    """The reports by dimension, in label order; ``unordered`` has them without the sort, for totals and KPIs."""
+
+    unordered: dict[str, DataFrame]
+
+
+def _filters(filters, default_company: int | None = None) -> Filters:
+    """Filters of a call; ``default_company`` is the caller's company, used when none is selected."""
+    return filters if isinstance(filters, Filters) else Filters.from_mapping(filters, default_company)
 
 
 def materialized_bundle(cat: Catalog, filters=None, as_of: dt.date | str | None = None,
@@ -42,19 +49,22 @@ def materialized_bundle(cat: Catalog, filters=None, as_of: dt.date | str | None
 
 
 def get_dashboard_data(cat: Catalog, filters=None, as_of: dt.date | str | None = None,
-                       materialize: bool = True) -> dict[str, DataFrame]:
+                       materialize: bool = True, default_company: int | None = None) -> Reports:
     """``{payment_terms, item_category, customer, buyer}`` ageing reports (SNK-1).
 
     With ``materialize=False`` the four DataFrames share one lazy plan
     (each action would rescan the fact); use that to compose further.
     """
-    f, day = _filters(filters), as_date(as_of)
+    f, day = _filters(filters, default_company), as_date(as_of)
     stacked = materialized_bundle(cat, f, day) if materialize else bundle(cat, f, day)
-    return split_bundle(stacked)
+    reports = Reports(split_bundle(stacked))
+    reports.unordered = split_bundle(stacked, ordered=False)
+    return reports
 
 
 def dashboard_summary(reports: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """KPIs (row, table, card labels) and every report with its totals row."""
+    reports = getattr(reports, "unordered", reports)
     kpis = kpi_summary(reports["payment_terms"])
     out = {"kpis": kpis, "kpi_table": kpi_table(kpis), "kpi_labels": kpi_labels(kpis)}
     for d, r in reports.items():
@@ -64,24 +74,24 @@ def dashboard_summary(reports: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def get_drilldown_data(cat: Catalog, filters, group_type: str | None, group_value: str | None,
                        bucket: str | None, as_of: dt.date | str | None = None,
-                       null_group: bool = False) -> DataFrame:
-    return drilldown(cat, _filters(filters), group_type, group_value, bucket, as_of, null_group)
+                       null_group: bool = False, default_company: int | None = None) -> DataFrame:
+    return drilldown(cat, _filters(filters, default_company), group_type, group_value, bucket, as_of, null_group)
 
 
 def download_excel(cat: Catalog, filters=None, as_of: dt.date | str | None = None,
-                   path: str | None = None, fmt: str = "parquet") -> str:
+                   path: str | None = None, fmt: str = "parquet", default_company: int | None = None) -> str:
     """Export the dashboard (reports with totals, KPI summary); returns the export directory."""
     day = as_date(as_of)
     target = path or scratch_path(cat_spark(cat), "export")
-    return write_reports(bundle(cat, _filters(filters), day), target, day, fmt)
+    return write_reports(bundle(cat, _filters(filters, default_company), day), target, day, fmt)
 
 
 def download_drilldown(cat: Catalog, filters, group_type, group_value, bucket,
                        as_of: dt.date | str | None = None, path: str | None = None,
-                       fmt: str = "parquet") -> str:
-    detail = drilldown(cat, _filters(filters), group_type, group_value, bucket, as_of, with_total=True)
+                       fmt: str = "parquet", default_company: int | None = None) -> str:
+    detail = drilldown(cat, _filters(filters, default_company), group_type, group_value, bucket, as_of, with_total=True)
     target = path or scratch_path(cat_spark(cat), "drilldown")
-    return write_drilldown(detail, target, group_value, bucket, fmt)
+    return write_drilldown(detail, target, group_value, bucket, fmt, group_type=group_type)
 
 
 def cat_spark(cat: Catalog):

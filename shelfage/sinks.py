@@ -9,14 +9,16 @@ derived from that written table, never from the fact again.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expressions import as_date
-from .operators.drilldown import drilldown_with_total
+from .operators.drilldown import drilldown_title, drilldown_with_total
 from .operators.totals import bundle_with_totals, kpi_summary, kpi_table
-from .schema import DIMENSIONS, EXPORT_FILE_PREFIX, EXPORT_METRIC_COLS, TABLE_COLUMNS
+from .schema import DIMENSION_ORDER, DIMENSIONS, EXPORT_FILE_PREFIX, EXPORT_METRIC_COLS, TABLE_COLUMNS
 from .sources.catalog import Catalog
 
 
@@ -30,6 +32,14 @@ def drilldown_export_name(group_value: str | None, bucket: str | None) -> str:
     return f"{group_value}_{bucket}".replace(" ", "_")
 
 
+def path_name(name: str) -> str:
+    """A file name for any text: ASCII letters, digits, ``-``, ``+`` and ``_`` as they are, ``.`` after the first character,
+    every other byte of its UTF-8 form as ``=XX``. No separator, no relative step, nothing a file system reads as a URI or glob."""
+    safe = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-+")
+    out = "".join(chr(b) if b in safe or (b == 46 and i) or (b == 95 and i) else f"={b:02X}" for i, b in enumerate(name.encode()))
+    return out if len(out) <= 200 else f"{out[:150]}={hashlib.sha256(name.encode()).hexdigest()[:32]}"
+
+
 def write_canonical(cat: Catalog, root: str, mode: str = "errorifexists", buckets: int | None = None,
                     table_prefix: str = "") -> None:
     """Store the canonical tables as parquet below ``root``.
@@ -38,8 +48,8 @@ def write_canonical(cat: Catalog, root: str, mode: str = "errorifexists", bucket
     filter prunes whole directories.
 
     Without ``buckets`` (read back with ``ParquetCatalog``) the fact is
-    range-partitioned on ``(company_id, action_date)`` before the write:
-    a company holding most rows is split into many date ranges (many
+    range-partitioned on ``(company_id, action_date, oa_id)`` before the write:
+    a company (or a date of it) holding most rows is split into many ranges (many
     writer tasks, never one per company), and each file covers a narrow,
     sorted date range, so age-range filters skip whole files and row
     groups.
@@ -68,61 +78,93 @@ def write_canonical(cat: Catalog, root: str, mode: str = "errorifexists", bucket
                 w = w.bucketBy(buckets, keys[name]).sortBy(keys[name])
             w.option("path", path).saveAsTable(f"{table_prefix}{name}")
         elif name == "operation_details":
-            (df.repartitionByRange("company_id", "action_date").sortWithinPartitions("company_id", "action_date")
+            (df.repartitionByRange("company_id", "action_date", "oa_id").sortWithinPartitions("company_id", "action_date", "oa_id")
              .write.mode(mode).partitionBy("company_id").parquet(path))
         else:
             df.write.mode(mode).parquet(path)
 
 
+REPORT_SCHEMA = ", ".join(["label string", *[f"`{c}` bigint" for c in EXPORT_METRIC_COLS], "row_type string", "row_order int",
+                           "position bigint", "dimension string"])
+SUMMARY_SCHEMA = "position int, section string, metric string, value bigint"
+DETAIL_SCHEMA = ("OA string, Category string, Product string, Qty decimal(38,2), Value bigint, row_type string, row_order int, "
+                 "position bigint, title string, export_name string")
+# CSV keeps NULL, empty texts and line breaks apart and whole
+_CSV = {"header": "true", "nullValue": "\\N", "emptyValue": "", "quoteAll": "true", "escape": '"', "multiLine": "true"}
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds ``position``, increasing in the frame's order (the rows must be sorted)."""
+    return df.withColumn("position", F.monotonically_increasing_id())
+
+
 def write_reports(stacked: DataFrame, path: str, as_of: dt.date | str | None = None,
-                  fmt: str = "parquet", mode: str = "errorifexists") -> str:
+                  fmt: str = "parquet", mode: str = "errorifexists",
+                  dimensions: Sequence[str] = DIMENSION_ORDER) -> str:
     """Write a stacked, rounded bundle as the dashboard export (SNK-2).
 
     Layout below ``<path>/FG_Stock_Aging_<yyyymmdd>``:
-    ``reports/dimension=<d>/`` -- each report with its ``Total`` row, export
-    column order (interleaved, totals last), ``row_type`` / ``row_order``;
+    ``reports/dimension=<d>/`` -- each report of ``dimensions`` (those the bundle was made for) with its
+    ``Total`` row, export column order (interleaved, totals last), ``row_type`` / ``row_order`` and ``position``
+    (label order, the total first);
     ``summary/`` -- the KPI table (read back from the written payment-terms
-    rows). Returns the export directory.
+    rows), only when the payment terms are among the reports. Returns the export directory.
     """
     out = f"{path.rstrip('/')}/{export_name(as_of)}"
     spark = stacked.sparkSession
     opts = _fmt_opts(fmt)
+    stacked = stacked.where(F.col("dimension").isin(list(dimensions)))
     # 1) reports with their totals rows: one job, one fact scan
-    reports = bundle_with_totals(stacked).select("dimension", "label", *EXPORT_METRIC_COLS, "row_type", "row_order")
-    reports.write.mode(mode).format(fmt).options(**opts).partitionBy("dimension").save(f"{out}/reports")
+    reports = bundle_with_totals(stacked, dimensions=dimensions) \
+        .orderBy("dimension", "row_order", F.col("label").asc_nulls_last())
+    _placed(reports).select("dimension", "label", *EXPORT_METRIC_COLS, "row_type", "row_order", "position") \
+        .write.mode(mode).format(fmt).options(**opts).partitionBy("dimension").save(f"{out}/reports")
     # 2) KPI summary from the written payment-terms rows (small), not from the fact
-    pt = (read_rows(spark, f"{out}/reports", fmt)
-          .where((F.col("dimension") == "payment_terms") & (F.col("row_type") == "row")))
-    kpi_table(kpi_summary(pt)).coalesce(1).write.mode(mode).format(fmt).options(**opts).save(f"{out}/summary")
+    if "payment_terms" in dimensions:
+        pt = (read_rows(spark, f"{out}/reports", fmt, REPORT_SCHEMA)
+              .where((F.col("dimension") == "payment_terms") & (F.col("row_type") == "row")))
+        kpi_table(kpi_summary(pt)).coalesce(1).write.mode(mode).format(fmt).options(**opts).save(f"{out}/summary")
     return out
 
 
 def _fmt_opts(fmt: str) -> dict:
-    return {"header": "true"} if fmt == "csv" else {}
+    return dict(_CSV) if fmt == "csv" else {}
 
 
-def read_rows(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.options(header="true", inferSchema="true")
-    return reader.load(path)
+def read_rows(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """The rows of an export; text formats are read with a fixed schema, never an inferred one."""
+    if fmt == "csv" and schema is None:
+        raise ValueError("a CSV export is read with its schema")
+    reader = spark.read.format(fmt).options(**_fmt_opts(fmt))
+    return (reader.schema(schema) if fmt == "csv" else reader).load(path)
 
 
 def read_report(spark: SparkSession, export_dir: str, dimension: str, fmt: str = "parquet") -> DataFrame:
     """One report of an export, with its own label column name (partition pruned)."""
-    df = read_rows(spark, f"{export_dir.rstrip('/')}/reports", fmt)
+    df = read_rows(spark, f"{export_dir.rstrip('/')}/reports", fmt, REPORT_SCHEMA)
     return (df.where(F.col("dimension") == dimension)
-            .select(F.col("label").alias(DIMENSIONS[dimension].label), *EXPORT_METRIC_COLS, "row_type", "row_order"))
+            .select(F.col("label").alias(DIMENSIONS[dimension].label), *EXPORT_METRIC_COLS, "row_type", "row_order", "position"))
+
+
+def read_summary(spark: SparkSession, export_dir: str, fmt: str = "parquet") -> DataFrame:
+    return read_rows(spark, f"{export_dir.rstrip('/')}/summary", fmt, SUMMARY_SCHEMA)
+
+
+def read_detail(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return read_rows(spark, path, fmt, DETAIL_SCHEMA)
 
 
 def write_drilldown(detail: DataFrame, path: str, group_value: str | None, bucket: str | None,
-                    fmt: str = "parquet", mode: str = "errorifexists") -> str:
+                    fmt: str = "parquet", mode: str = "errorifexists", group_type: str | None = None) -> str:
     """Detail rows plus their total row below ``<path>/<group_value>_<bucket>`` (SNK-3, SNK-4).
 
-    ``detail`` may already carry its total (``drilldown(..., with_total=True)``).
+    ``detail`` may already carry its total (``drilldown(..., with_total=True)``). The folder is the path-safe form
+    (``path_name``) of the export name; the rows carry the exact name, the screen's title (EXP-15) and their position.
     """
-    out = f"{path.rstrip('/')}/{drilldown_export_name(group_value, bucket)}"
+    name = drilldown_export_name(group_value, bucket)
+    out = f"{path.rstrip('/')}/{path_name(name)}"
     if "row_type" not in detail.columns:
-        detail = drilldown_with_total(detail)
-    detail.write.mode(mode).format(fmt).options(**_fmt_opts(fmt)).save(out)
+        detail = drilldown_with_total(detail).orderBy("row_order", F.col("OA").asc_nulls_last(), F.col("Product").asc_nulls_last())
+    rows = _placed(detail).withColumn("title", F.lit(drilldown_title(group_type, group_value, str(bucket)))).withColumn("export_name", F.lit(name))
+    rows.write.mode(mode).format(fmt).options(**_fmt_opts(fmt)).save(out)
     return out

@@ -19,6 +19,9 @@ from ..schema import TABLE_COLUMNS
 class Catalog:
     """Base: ``table(name, columns)`` returns a DataFrame with exactly those columns."""
 
+    #: fact and orders are stored in buckets of the order id: their join needs no shuffle and keeps its one key
+    co_located = False
+
     def table(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
         raise NotImplementedError
 
@@ -67,6 +70,8 @@ class TableCatalog(Catalog):
     Spark plan bucketed, shuffle-free aggregates and joins on the order key.
     """
 
+    co_located = True
+
     def __init__(self, spark: SparkSession, prefix: str = ""):
         self.spark, self.prefix = spark, prefix
 

@@ -45,7 +45,7 @@ _EXPRS: dict[str, dict[str, str]] = {
         "next_operation": f"CASE WHEN l_linestatus = '{OPEN_LINE_STATUS}' THEN '{STAGE_OPEN}' ELSE '{STAGE_OTHER}' END",
         "state": _STATE,
         "fg_balance": "CAST(l_quantity - 1 AS DECIMAL(14,2))",
-        "price_unit": "CAST(l_extendedprice AS DECIMAL(14,2))",
+        "price_unit": "CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(14,2)) END",
         "action_date": "l_shipdate",
         "company_id": "CAST(l_suppkey % 3 + 1 AS INT)",
         "fg_categ_type": f"nullif(p_type, '{NO_CATEGORY_TYPE}')",
@@ -64,7 +64,7 @@ _EXPRS: dict[str, dict[str, str]] = {
         "id": "CAST(substring(p, 1, 1) AS INT)",
         "name": f"CASE WHEN p = '{FALLBACK_PRIORITY}' THEN {_fr_fr_json('p')} ELSE {_en_us_json('p')} END",
     },
-    "res_partner": {"id": "c_custkey", "name": "c_name"},
+    "res_partner": {"id": "c_custkey", "name": "CASE WHEN c_custkey % 47 = 0 THEN NULL ELSE c_name END"},
     "product_product": {"id": "p_partkey", "product_tmpl_id": "p_partkey"},
     "product_template": {"id": "p_partkey", "name": _en_us_json("p_name")},
     "res_company": {"id": "CAST(r_regionkey + 1 AS INT)", "name": "r_name"},
@@ -81,22 +81,17 @@ _EXPRS: dict[str, dict[str, str]] = {
     },
 }
 
-# Parsed parquet relations, reused per session: the file listing and schema
-# read happen once, each action still reads the files.
-_RAW: dict[tuple[int, str], DataFrame] = {}
-
-
 class DriverCatalog(Catalog):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        # parsed relations of this catalog: listing and schema are read once, each action still reads the files
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
-        key = (id(self.spark), path)
-        df = _RAW.get(key)
-        if df is None or df.sparkSession is not self.spark:
-            df = _RAW[key] = self.spark.read.parquet(path)
-        return df
+        if path not in self._raw:
+            self._raw[path] = self.spark.read.parquet(path)
+        return self._raw[path]
 
     def _project(self, name: str, src: DataFrame, cols: list[str]) -> DataFrame:
         exprs = _EXPRS[name]
@@ -111,7 +106,7 @@ class DriverCatalog(Catalog):
                 part = self.raw("part").select("p_partkey", "p_type", "p_brand")
                 src = src.join(part, F.expr("l_partkey = p_partkey"), "left")
         elif name == "sale_order":
-            src = self.raw("orders")
+            src = self.raw("orders").where("o_orderkey % 59 <> 0")  # some lines have no order
             if "team_id" in cols:
                 cust = self.raw("customer").select("c_custkey", "c_nationkey")
                 src = src.join(cust, F.expr("o_custkey = c_custkey"), "left")
@@ -132,7 +127,7 @@ operation_details AS (
          CASE WHEN l.l_linestatus = 'O' THEN 'FG Packing' ELSE 'Dyeing' END AS next_operation,
          CASE WHEN l.l_returnflag = 'R' THEN 'done' WHEN l.l_returnflag = 'A' THEN 'closed' ELSE 'open' END AS state,
          CAST(l.l_quantity - 1 AS DECIMAL(14,2)) AS fg_balance,
-         CAST(l.l_extendedprice AS DECIMAL(14,2)) AS price_unit,
+         CASE WHEN l.l_partkey % 41 = 0 THEN NULL ELSE CAST(l.l_extendedprice AS DECIMAL(14,2)) END AS price_unit,
          l.l_shipdate AS action_date,
          CAST(l.l_suppkey % 3 + 1 AS INTEGER) AS company_id,
          NULLIF(p.p_type, 'ECONOMY') AS fg_categ_type,
@@ -143,12 +138,12 @@ sale_order AS (
          CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED' THEN NULL
               ELSE CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) END AS payment_term_id,
          o.o_custkey % 10 AS user_id, c.c_nationkey AS team_id
-  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 59 <> 0),
 account_payment_term AS (
   SELECT CAST(substr(p, 1, 1) AS INTEGER) AS id,
          CASE WHEN p = '5-LOW' THEN '{"fr_FR": "' || p || '"}' ELSE '{"en_US": "' || p || '"}' END AS name
   FROM (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED') t),
-res_partner AS (SELECT c_custkey AS id, c_name AS name FROM customer),
+res_partner AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 47 = 0 THEN NULL ELSE c_name END AS name FROM customer),
 product_product AS (SELECT p_partkey AS id, p_partkey AS product_tmpl_id FROM part),
 product_template AS (SELECT p_partkey AS id, '{"en_US": "' || p_name || '"}' AS name FROM part),
 res_company AS (SELECT CAST(r_regionkey + 1 AS INTEGER) AS id, r_name AS name FROM region),

@@ -74,7 +74,7 @@ def test_salesperson_filter_drops_orderless_rows(fixture_cat):
 
 def test_falsy_company_is_default_company(fixture_cat):
     """S14: company 0 / None means the default company, never all companies."""
-    a = aging.aging_report(fixture_cat, "item_category", Filters.from_mapping({"company_id": 0}), FIX_AS_OF)
+    a = aging.aging_report(fixture_cat, "item_category", Filters.from_mapping({"company_id": 0}, default_company=1), FIX_AS_OF)
     got, _ = _as_dict(a, "Item")
     assert got == EXPECTED["item_category"]
 

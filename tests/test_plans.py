@@ -83,22 +83,11 @@ def test_item_report_needs_no_order_join(spark):
     cat = DriverCatalog(spark, SF0001)
     df = aging.aging_report(cat, "item_category", Filters(1), AS_OF)
     assert scans(df, "orders.parquet") == 0
-    # S15: a filter on orders rejects order-less lines. The filtered order ids
-    # are written once; their proven size decides the join.
+    # S15: a filter on orders rejects order-less lines: one join with the orders, after the fold
     with_team = aging.aging_report(cat, "item_category", Filters(1, team_id=7), AS_OF)
-    assert scans(with_team, "orders.parquet") == 0  # read back from the written ids
-    p = plan(with_team)
-    assert "BroadcastHashJoin" in p and "LeftSemi" in p  # small: semi join on the raw lines, no shuffle
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        big = aging.aging_report(cat, "item_category", Filters(1, team_id=7), AS_OF)
-        opt = big._jdf.queryExecution().optimizedPlan().toString()
-        # too big to broadcast: lines folded per order below the (shuffle) join
-        assert "Aggregate [oa_id" in opt[opt.index("Join Inner, (oa_id"):]
-        assert sorted(map(tuple, big.collect()), key=str) == sorted(map(tuple, with_team.collect()), key=str)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert scans(with_team, "orders.parquet") == 1
+    opt = with_team._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [oa_id" in opt[opt.index("Join Inner"):]
 
 
 def test_payment_term_report_does_not_read_part(spark):
@@ -116,18 +105,91 @@ def test_order_side_dims_aggregate_before_join(spark):
     assert "Aggregate [oa_id" in p[first_join:]
 
 
-def test_drilldown_order_restrictions_prune_lines_first(spark):
-    """Salesperson filter or a selected customer: the matching order ids are
-    broadcast (small, proven size) and semi-join the raw fact lines before
-    the fold; the partner table is not part of the main plan at all."""
+def test_order_restrictions_run_no_job_and_fold_before_the_join(spark):
+    """Salesperson filter or a selected customer: building the plan runs nothing, and the lines are folded before they
+    meet the orders, whatever the orders' size."""
     cat = DriverCatalog(spark, SF0001)
-    for df in (dd.drilldown(cat, Filters(1, salesperson_id=3), "customer", "Total", "Total_Balance", AS_OF),
-               dd.drilldown(cat, Filters(1), "customer", "Customer#000000370", "Total_Balance", AS_OF)):
-        p = plan(df)
-        assert "LeftSemi" in p and "BroadcastHashJoin" in p
-        assert scans(df, "customer.parquet") == 0
+    for name in ("lineitem", "orders", "customer", "part"):
+        cat.raw(name)  # schemas
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "plan-only")
+    try:
+        dfs = [dd.drilldown(cat, Filters(1, salesperson_id=3), "customer", "Total", "Total_Balance", AS_OF),
+               dd.drilldown(cat, Filters(1), "customer", "Customer#000000370", "Total_Balance", AS_OF),
+               aging.aging_report(cat, "buyer", Filters(1, salesperson_id=3), AS_OF)]
+        assert list(tracker.getJobIdsForGroup("plan-only")) == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    for df in dfs:
         opt = df._jdf.queryExecution().optimizedPlan().toString()
-        assert "Join LeftSemi" in opt[opt.index("Aggregate [oa_id"):]  # the semi join sits below the fold
+        assert "Aggregate [oa_id" in opt[opt.index("Join Inner"):]
+
+
+def test_repeated_order_ids_count_alike_at_any_threshold(spark, fixture_cat):
+    """An order stored twice counts twice everywhere, as in a plain SQL join; the broadcast threshold changes nothing."""
+    from shelfage.sources import DataFrameCatalog
+    tables = {n: fixture_cat.table(n) for n in ("operation_details", "sale_order", "account_payment_term", "res_partner",
+                                                "product_product", "product_template", "res_company", "res_users", "crm_team")}
+    so = tables["sale_order"]
+    cat = DataFrameCatalog({**tables, "sale_order": so.union(so.where("id = 100"))})
+    day = dt.date(2024, 3, 31)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen = []
+    for threshold in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            f = Filters(1, salesperson_id=7)
+            seen.append([sorted(map(tuple, df.collect()), key=str) for df in (
+                aging.aging_report(cat, "buyer", f, day), aging.aging_report(cat, "customer", f, day), aging.bundle(cat, f, day),
+                dd.drilldown(cat, f, "customer", "Total", "Total_Balance", day),
+                dd.drilldown(cat, Filters(1), "customer", "Acme", "Total_Balance", day))])
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert seen[0] == seen[1]
+    buyer, customer, _, cell, acme = seen[0]
+    # order 100: lines of 10.5 + 5.5 + 4, twice; order 101 (2 lines, 3 + 2) once
+    assert sum(r[15] for r in buyer) == sum(r[15] for r in customer) == 45
+    assert sum(r[3] for r in cell) == 45
+    # customer Acme is two partners: also order 104 (9 + 1)
+    assert sum(r[3] for r in acme) == 55
+
+
+def test_totals_have_no_sort_below_and_one_task_per_seed(spark):
+    from shelfage.operators.totals import bundle_with_totals, report_with_totals
+    cat = DriverCatalog(spark, SF0001)
+    rep = aging.aging_report(cat, "customer", Filters(1), AS_OF, ordered=False)
+    text = report_with_totals(rep, "customer")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text and "splits=1)" in text
+    text = bundle_with_totals(aging.bundle(cat, Filters(1), AS_OF))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("splits=1)") == 4
+
+
+def test_lines_without_an_order_are_spread(spark, fixture_cat):
+    """Bundle of 3,000 buyers: no partition of the order join holds more than a few times the mean (AQE off)."""
+    from shelfage.sources import DataFrameCatalog
+    od = spark.range(30000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 4000 END AS oa_id", "CASE WHEN id % 3 = 1 THEN NULL ELSE id % 500 END AS product_id",
+        "'FG Packing' AS next_operation", "'open' AS state", "CAST(1 AS DECIMAL(14,2)) AS fg_balance", "CAST(2 AS DECIMAL(14,2)) AS price_unit",
+        "TIMESTAMP_NTZ'2024-03-30 00:00:00' AS action_date", "1 AS company_id", "CAST(id % 50 AS STRING) AS fg_categ_type", "CAST(id % 3000 AS STRING) AS buyer_name")
+    tables = {n: fixture_cat.table(n) for n in ("sale_order", "account_payment_term", "res_partner", "product_product",
+                                                "product_template", "res_company", "res_users", "crm_team")}
+    cat = DataFrameCatalog({**tables, "operation_details": od})
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        lines = aging.stock_lines(cat, Filters(1), dt.date(2024, 3, 31), ["buyer_name"])
+        g, _ = aging._grouped(lines, [["oa_id", "bucket"], ["buyer_name", "bucket"]])
+        from pyspark.sql import functions as F
+        g = g.withColumn("_spread", F.expr(aging.order_spread("oa_id", ["bucket", "buyer_name"])))
+        sizes = [r["count"] for r in g.repartition(16, "oa_id", "_spread").groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) <= 3 * sum(sizes) / 16
+        text = aging.bundle(cat, Filters(1), dt.date(2024, 3, 31), ("customer", "buyer"))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(oa_id" in text and "_spread" in text
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_totals_do_not_rescan(spark):

@@ -6,12 +6,14 @@ import datetime as dt
 
 from conftest import FIX_AS_OF
 
+import pytest
+
 from shelfage.operators import aging, lookups, totals
 from shelfage.operators.filters import Filters
 from shelfage.plans.dashboard import dashboard_summary, download_drilldown, download_excel, get_dashboard_data
 from shelfage.schema import EXPORT_METRIC_COLS, METRIC_COLS, SCREEN_METRIC_COLS
 from shelfage.session import scratch_path
-from shelfage.sinks import drilldown_export_name, export_name, read_report, read_rows
+from shelfage.sinks import drilldown_export_name, export_name, read_detail, read_report, read_rows, read_summary, write_reports
 
 
 def test_report_with_totals_sums_rounded_rows(fixture_cat):
@@ -88,15 +90,45 @@ def test_export_roundtrip(spark, fixture_cat):
     assert out.endswith("FG_Stock_Aging_20240331")
     buyer = read_report(spark, out, "buyer").collect()
     assert len(buyer) == 5 and sum(r.row_type == "total" for r in buyer) == 1
-    assert buyer[0].__fields__[1:] == [*EXPORT_METRIC_COLS, "row_type", "row_order"]
+    assert buyer[0].__fields__[1:] == [*EXPORT_METRIC_COLS, "row_type", "row_order", "position"]
     summary = read_rows(spark, f"{out}/summary").orderBy("position").collect()
     assert [r.value for r in summary] == [65, 99, 21, 38, 3, 10]
 
 
 def test_export_csv(spark, fixture_cat):
     out = download_excel(fixture_cat, {"company_id": 1}, FIX_AS_OF, scratch_path(spark, "t-csv"), fmt="csv")
-    pt = read_report(spark, out, "payment_terms", fmt="csv").collect()
-    assert len(pt) == 5
+    other = download_excel(fixture_cat, {"company_id": 1}, FIX_AS_OF, scratch_path(spark, "t-csv"))
+    for d in ("payment_terms", "item_category", "customer", "buyer"):
+        a, b = read_report(spark, out, d, fmt="csv").drop("position"), read_report(spark, other, d).drop("position")
+        assert a.dtypes == b.dtypes
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert read_summary(spark, out, "csv").orderBy("position").collect() == read_summary(spark, other).orderBy("position").collect()
+
+
+def test_export_of_some_reports_writes_only_them(spark, fixture_cat):
+    stacked = aging.bundle(fixture_cat, Filters(1), FIX_AS_OF, ("buyer",))
+    out = write_reports(stacked, scratch_path(spark, "t-part"), FIX_AS_OF, dimensions=("buyer",))
+    assert {r.dimension for r in read_rows(spark, f"{out}/reports").select("dimension").distinct().collect()} == {"buyer"}
+    with pytest.raises(Exception):
+        read_rows(spark, f"{out}/summary").count()
+    rows = read_report(spark, out, "buyer").orderBy("position").collect()
+    assert rows[0].row_type == "total" and [r.Buyer for r in rows[1:]] == sorted((r.Buyer for r in rows[1:]), key=lambda x: (x is None, x))
+
+
+@pytest.mark.parametrize("label", ['{"fr_FR": "5-LOW"}', "A/B", "../../esc", "a:b", None, "..", "", "x" * 400, "é %=#?*"])
+def test_drilldown_export_of_any_label(spark, fixture_cat, tmp_path, label):
+    out = download_drilldown(fixture_cat, {"company_id": 1}, "customer", label, "Value_30+", FIX_AS_OF, str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == [out.rsplit("/", 1)[1]] and (tmp_path / out.rsplit("/", 1)[1]).is_dir()
+    rows = read_detail(spark, out).orderBy("position").collect()
+    assert rows[-1].row_type == "total" and rows[0].export_name == drilldown_export_name(label, "Value_30+")
+    assert rows[0].title.startswith("Breakdown for Customer: ")
+
+
+def test_a_company_is_required(fixture_cat):
+    with pytest.raises(ValueError):
+        get_dashboard_data(fixture_cat, {}, FIX_AS_OF)
+    with pytest.raises(ValueError):
+        download_drilldown(fixture_cat, None, "customer", "Acme", "Total_Value", FIX_AS_OF)
 
 
 def test_drilldown_export(spark, fixture_cat):
