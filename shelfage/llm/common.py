@@ -152,3 +152,10 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 def commit_file(fs: pafs.FileSystem, temporary: str, final: str) -> None:
     """Gives a completely written file its final name; a repeated task replaces it by equal bytes."""
     fs.move(temporary, final)
+
+
+def discard(paths: list[str]) -> None:
+    """Removes intermediate tables of an operator that nothing reads any more."""
+    for path in paths:
+        fs, p = filesystem(path)
+        fs.delete_dir(p)

@@ -21,6 +21,7 @@ tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,17 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfage import session
 from shelfage.llm import chunks
-from shelfage.llm.common import U64, byte_prefix, filesystem, mix, range_hash, slices, space_words, text_buffer, token_bounds
-from shelfage.session import scratch_path
+from shelfage.llm.common import U64, byte_prefix, discard, filesystem, mix, range_hash, slices, space_words, text_buffer, token_bounds
+
+_running = threading.local()   # ``paths``: intermediate tables of the thread's running call
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    _running.paths = [*getattr(_running, "paths", []), session.scratch_path(spark, name)]
+    return _running.paths[-1]
+
 
 HALVES = 12
 HASHES = 3
@@ -296,7 +305,8 @@ def _merged(spark: SparkSession, labels: DataFrame | None, links: DataFrame) ->
 def link(spark: SparkSession, store: chunks.Store, shingle: int = SHINGLE, similarity: int = SIMILARITY,
          halves: int = HALVES, hashes: int = HASHES, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame]:
     """(signatures, labels): one row per document of the store, and the component of every document that has a link."""
-    path = scratch_path(spark, "minhash-signatures")
+    _running.paths = []
+    path = kept = scratch_path(spark, "minhash-signatures")
     store.tasks().mapInArrow(_signatures(shingle, halves, hashes), SIGNATURE).write.parquet(path)
     sig = spark.read.parquet(path)
     # equal sets: one representative each
@@ -348,7 +358,12 @@ def link(spark: SparkSession, store: chunks.Store, shingle: int = SHINGLE, simil
     path = scratch_path(spark, "minhash-links")
     confirmed(spark, store, rest, shingle, similarity, sets).write.parquet(path)
     links = spark.read.parquet(path)
-    return sig, _merged(spark, labels, links.union(copies))
+    labels = _merged(spark, labels, links.union(copies))
+    path = session.scratch_path(spark, "minhash-components")
+    labels.write.parquet(path)
+    discard([p for p in _running.paths if p != kept])
+    _running.paths = []
+    return sig, spark.read.parquet(path)
 
 
 def _labelled(spark: SparkSession, store: chunks.Store, **kw) -> DataFrame:

@@ -89,11 +89,10 @@ def apportion(parties: DataFrame, group: list[str], party: str, value: str, seat
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS,
-        shard_words: int = SHARD_WORDS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+        shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (of its source) and taken (words the mix reads from it)."""
-    extra = [c for c in (keep or [])]
     slim_path = scratch_path(spark, "mix-sizes")
-    docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), *extra).write.parquet(slim_path)
+    docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")).write.parquet(slim_path)
     sizes = spark.read.parquet(slim_path)
 
     src = targets(sizes, weights, repeat)
@@ -121,13 +120,24 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, repeat: int = MAX
             .join(shards, (F.col("source_rank") == F.col("_r")) & (F.col("shard") == F.col("_s")))
             .withColumn("turns", turns)
             .select("doc_id", "source", F.col("size").cast("long").alias("size"), "source_size", "target",
-                    (F.col("turns") * F.col("size") + part).cast("long").alias("taken"), *extra))
+                    (F.col("turns") * F.col("size") + part).cast("long").alias("taken")))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
     """The mix as documents: a document appears as often as the mix reads it, the part of a last turn rounded to
     a whole copy from half its words on; documents that are not read, or have no word, go. Columns as in ``docs``."""
-    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"))
+    key = ["_id", "_source", "_size"]
+    hashed = F.xxhash64(*key)
+    # rows with equal id, source and size are numbered on both sides; one shuffle of the texts, by a hash of the three
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"),
+                        F.col("source").alias("_source"), word_count(F.col("text")).alias("_size")) \
+        .withColumn("_key", hashed).where(F.col("_size") > 0).repartition("_key")
+    whole = whole.withColumn("_k", F.row_number().over(Window.partitionBy("_key", *key).orderBy(F.xxhash64("_doc.text"))))
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    return (mix(spark, whole, keep=["_doc"], **kw).where((F.col("size") > 0) & (2 * F.col("taken") >= F.col("size")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select("_doc.*"))
+    read = mix(spark, docs, **kw).where(F.col("size") > 0).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies.alias("_copies")) \
+        .withColumn("_key", hashed)
+    read = read.withColumn("_k", F.row_number().over(Window.partitionBy("_key", *key).orderBy(F.desc("_copies")))) \
+        .where(F.col("_copies") > 0).select(*[F.col(c).alias(f"{c}2") for c in ("_key", "_k", *key)], "_copies")
+    same = (F.col("_key") == F.col("_key2")) & (F.col("_k") <= F.col("_k2")) & (F.col("_k") >= F.col("_k2"))
+    return whole.join(read, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
