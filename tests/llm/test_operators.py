@@ -93,7 +93,8 @@ def test_minhash_components(spark, docs, rows):
 def test_deduplicated_keeps_columns_and_one_row_each(spark, docs):
     out = minhash.deduplicated(spark, docs)
     assert out.schema.names == docs.schema.names
-    assert out.where("doc_id = 1000000005").count() == 1 and out.where("text = ''").count() == 1
+    # equal rows of one id: one stays; documents without words link with nothing and all stay
+    assert out.where("doc_id = 1000000005").count() == 1 and out.where("text = ''").count() == docs.where("text = ''").count()
     assert out.subtract(docs).count() == 0
 
 
@@ -159,7 +160,7 @@ def test_warc_roundtrip(spark):
 def test_warc_files_are_a_function_of_the_table(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for name, n in (("a", 1), ("b", 7)):
-        warc.write_archive(spark, pages.repartition(n), str(tmp_path / name), shard_bytes=100_000).collect()
+        warc.write_archive(spark, pages.repartition(n), str(tmp_path / name), shard_bytes=30_000).collect()
     files = [{p.name: p.read_bytes() for p in (tmp_path / x).iterdir() if p.suffix == ".gz"} for x in "ab"]
     assert files[0] == files[1] and len(files[0]) > 2
 
