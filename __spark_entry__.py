@@ -25,7 +25,8 @@ from shelfage.session import scratch_path
 from shelfage.sinks import read_detail, read_report, read_summary, write_reports
 from shelfage.sources.driver_tables import DUCKDB_CANONICAL_CTES, DriverCatalog
 
-if importlib.util.find_spec("shelfage.llm") is not None:  # the training-data operators, where they are installed
+# the training-data operators, where they are installed (a folder left without its modules does not count)
+if getattr(importlib.util.find_spec("shelfage.llm"), "origin", None):
     from shelfage.llm import queries as training_data
 else:
     training_data = None
