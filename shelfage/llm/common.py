@@ -17,6 +17,9 @@ import pyarrow.fs as pafs
 #: A slice of a partition handed to numpy: documents up to this many bytes, or one longer document.
 SLICE_BYTES = (2 << 20) - 16
 
+#: Words are hashed in blocks of about this many bytes, so that a slice or a long document needs no 8 bytes a byte.
+HASH_BYTES = 1 << 18
+
 U64 = np.uint64
 _MULT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -78,6 +81,19 @@ def byte_prefix(data: np.ndarray, lower: bool = False, which: int = 0) -> np.nda
     return prefix_hash(_byte_values(lower, which)[data], which)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of the words [start, end), equal for equal words at any place; in blocks of words, or one longer word."""
+    out = np.empty(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + HASH_BYTES, side="right")))
+        prefix = byte_prefix(data[base: ends[to - 1]], lower)
+        out[at:to] = mix(range_hash(prefix, starts[at:to] - base, ends[at:to] - base))
+        at = to
+    return out
+
+
 # ---------------------------------------------------------------- Arrow text
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one uint8 array, and the n + 1 document offsets; null is empty."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfage.llm.common import alnum_words, byte_prefix, filesystem, mix, range_hash, slices, text_buffer, token_bounds
+from shelfage.llm.common import alnum_words, filesystem, slices, text_buffer, token_bounds, word_hashes
 from shelfage.session import scratch_path
 
 WINDOW = 10
@@ -42,7 +42,7 @@ HITS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminate
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words, and the number of words before each document."""
     starts, ends, before = token_bounds(data, off, alnum_words())
-    return mix(range_hash(byte_prefix(data, lower=True), starts, ends)), before
+    return word_hashes(data, starts, ends, lower=True), before
 
 
 # ---------------------------------------------------------------- the benchmark

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from shelfage import session
 from shelfage.llm import chunks
-from shelfage.llm.common import U64, byte_prefix, discard, filesystem, mix, range_hash, slices, space_words, text_buffer, token_bounds
+from shelfage.llm.common import U64, discard, filesystem, mix, space_words, text_buffer, token_bounds, word_hashes
 
 _running = threading.local()   # ``paths``: intermediate tables of the thread's running call
 
@@ -61,7 +61,7 @@ def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
     n = len(starts)
     if not n:
         return np.zeros(0, U64), np.zeros(len(before), np.int64)
-    words = mix(range_hash(byte_prefix(data, lower=True), starts, ends))
+    words = word_hashes(data, starts, ends, lower=True)
     count = np.diff(before)
     size = np.minimum(shingle, count)                        # a shorter text is one shingle
     doc = np.repeat(np.arange(len(count)), count)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfage.llm import chunks
-from shelfage.llm.common import U64, byte_prefix, mix, prefix_hash, range_hash, space_words, text_buffer, token_bounds
+from shelfage.llm.common import U64, mix, prefix_hash, range_hash, space_words, text_buffer, token_bounds, word_hashes
 from shelfage.session import scratch_path
 
 WINDOW = 13
@@ -125,7 +125,7 @@ class Slice:
         last = np.repeat(self.before[1:], np.diff(self.before))
         self.at = np.flatnonzero(np.arange(n) + window <= last)
         if len(self.at):
-            self.words = mix(range_hash(byte_prefix(self.data), self.starts, self.ends))
+            self.words = word_hashes(self.data, self.starts, self.ends)
             head = np.zeros(n, bool)
             head[self.before[:-1][np.diff(self.before) > 0]] = True
             names = window_names(self.words, head, self.at, window)
