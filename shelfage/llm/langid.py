@@ -36,6 +36,7 @@ SAMPLE_DOCS = 4000
 MIN_DOCS = 3
 RATIO = 4
 UNKNOWN = "und"
+SLICE_BYTES = 1 << 19     # texts looked up together: their n-grams take some hundred bytes a byte
 
 # ASCII signs, digits and controls count as spaces
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -73,7 +74,7 @@ def _slots(h: np.ndarray, k: int) -> np.ndarray:
 def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, docs): document counts within a slice."""
     for batch in batches:
-        for piece in slices(batch):
+        for piece in slices(batch, limit=SLICE_BYTES):
             langs = np.asarray(piece.column(1).to_pylist(), dtype=object)
             h, doc = _grams(*_normal(piece.column(0)))
             for lang in sorted(set(langs)):
@@ -155,7 +156,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str])
         model = cast.value
         langs = np.array([*model["langs"], UNKNOWN], dtype=object)
         for batch in batches:
-            for piece in slices(batch, "_text"):
+            for piece in slices(batch, "_text", SLICE_BYTES):
                 texts = piece.column(piece.schema.get_field_index("_text"))
                 best, score = scores(model, texts)
                 letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
