@@ -10,7 +10,7 @@ rotates the CRC-32 and adds a constant, so that a checksum of data holding check
 holds (offset uint64, tokens uint64) per record: a shuffled reader seeks by it. Files are written
 under temporary names, renamed, and listed in a manifest that Spark commits.
 
-Encoding: words of text, and their parts, are encoded once per worker and kept in bounded tables. A cut
+Encoding: words of text, and their parts, are encoded once per task and kept in bounded tables. A cut
 at ASCII white space, and between an ASCII letter or digit and an ASCII sign other
 than the apostrophe, never changes the ids: the tokenizer drops white space, its pattern ends
 a letter run there and no normal form joins across. Texts with "<|" (which may be special tokens) are
@@ -64,6 +64,10 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def release(self) -> None:
+        """Empties the tables: a worker that goes on with another stage does not hold them."""
+        self.words, self.parts = {}, {}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -149,6 +153,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                     out.append(rec)
                 data.write(b"".join(out))
                 records, last = records + len(ids), ids[-1]
+        enc.release()
         rows = []
         if data is not None:
             data.close()
