@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfage.llm.common import alnum_words, filesystem, slices, text_buffer, token_bounds, word_hashes
+from shelfage.llm.common import alnum_words, filesystem, giving_back, slices, text_buffer, token_bounds, word_hashes
 from shelfage.session import scratch_path
 
 WINDOW = 10
@@ -263,7 +263,7 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     schema = docs.select(*keep).schema
     for part in HITS.split(", "):
         schema = schema.add(*part.split())
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(_scan(paths, len(keep)), schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(giving_back(_scan(paths, len(keep))), schema)
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfage.llm.common import U64, mix, slices, text_buffer
+from shelfage.llm.common import U64, giving_back, mix, slices, text_buffer
 
 N = 5                   # bytes of an n-gram
 HASHES = 3
@@ -108,7 +108,7 @@ def train(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS,
         share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, sample_docs / counts[g])))])
         pick = (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)) < F.element_at(share, F.col("lang"))
         grams = (labelled.where(pick).select("text", "lang")
-                 .mapInArrow(_sample_grams, "lang string, gram long, docs long")
+                 .mapInArrow(giving_back(_sample_grams), "lang string, gram long, docs long")
                  .groupBy("gram", "lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs))
         size = F.element_at(F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(float(min(counts[g], sample_docs))))]), F.col("lang"))
         grams = grams.withColumn("rate", F.col("docs") / size)
@@ -165,7 +165,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str])
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], pa.array(langs[best], pa.string()), pa.array(score)], names=names)
 
     # the text goes to Python under a name of its own beside the columns to keep
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(giving_back(run), schema)
 
 
 def identify(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from shelfage import session
 from shelfage.llm import chunks
-from shelfage.llm.common import U64, discard, filesystem, mix, space_words, text_buffer, token_bounds, word_hashes
+from shelfage.llm.common import U64, discard, filesystem, giving_back, mix, space_words, text_buffer, token_bounds, word_hashes
 
 _running = threading.local()   # ``paths``: intermediate tables of the thread's running call
 
@@ -231,7 +231,7 @@ def confirmed(spark: SparkSession, store: chunks.Store, pairs: DataFrame, shingl
         sets = full_sets(spark, store, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), shingle)
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a") \
         .join(sets.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_confirm(similarity), "a long, b long")
+    return both.mapInArrow(giving_back(_confirm(similarity)), "a long, b long")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def link(spark: SparkSession, store: chunks.Store, shingle: int = SHINGLE, simil
     """(signatures, labels): one row per document of the store, and the component of every document that has a link."""
     _running.paths = []
     path = kept = scratch_path(spark, "minhash-signatures")
-    store.tasks().mapInArrow(_signatures(shingle, halves, hashes), SIGNATURE).write.parquet(path)
+    store.tasks().mapInArrow(giving_back(_signatures(shingle, halves, hashes)), SIGNATURE).write.parquet(path)
     sig = spark.read.parquet(path)
     # equal sets: one representative each
     some = sig.where("n > 0").select("rid", "digest")
@@ -320,8 +320,8 @@ def link(spark: SparkSession, store: chunks.Store, shingle: int = SHINGLE, simil
     buckets = spark.read.parquet(path).count() * halves * halves // bucket_keys + 1
     tasks = files.repartition(max(1, count), "file")
     path = scratch_path(spark, "minhash-hits")
-    far = tasks.mapInArrow(_send_keys(halves, buckets), chunks.MESSAGE).groupBy("bucket").applyInArrow(_bucket_hits, HIT)
-    far.union(tasks.mapInArrow(_local_hits(halves, buckets), HIT)).write.parquet(path)
+    far = tasks.mapInArrow(giving_back(_send_keys(halves, buckets)), chunks.MESSAGE).groupBy("bucket").applyInArrow(_bucket_hits, HIT)
+    far.union(tasks.mapInArrow(giving_back(_local_hits(halves, buckets)), HIT)).write.parquet(path)
     hits = spark.read.parquet(path)
 
     long_enough = 100 * F.least("n", "center_n") >= similarity * F.greatest("n", "center_n")

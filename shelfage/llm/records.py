@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfage.llm.common import commit_file, filesystem
+from shelfage.llm.common import commit_file, filesystem, giving_back
 from shelfage.session import scratch_path
 
 END_ID = 1
@@ -176,7 +176,7 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer:
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")) \
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     manifest = f"{folder.rstrip('/')}/manifest"
-    ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id), MANIFEST).write.parquet(manifest)
+    ordered.mapInArrow(giving_back(_writer(folder, tokenizer or default_tokenizer(), end_id)), MANIFEST).write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 
