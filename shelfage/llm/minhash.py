@@ -46,7 +46,7 @@ HALVES = 12
 HASHES = 3
 SHINGLE = 5
 SIMILARITY = 80           # per cent
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 SIG_ROWS = 8192
 
 SIGNATURE = "rid long, doc_id long, n long, digest binary, halves binary"
