@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfage.llm import decontaminate, langid, minhash, mixing, pii, recompress, records, suffix, topk, warc
+from shelfage.llm import clustering, decontaminate, divergence, fingerprint, langid, minhash, mixing, pii, recompress, records, suffix, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,15 +57,100 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_report(spark, _read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(spark, _read(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, _read(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_minhash_near_dedup, op2_pii, op3_warc, op4_mixing, op5_token_records, op6_language_id, op7_suffix_dedup,
-        op8_exact_topk, op9_substring_dedup, op10_decontamination)}
+        op8_exact_topk, op9_substring_dedup, op10_decontamination, op11_document_fingerprints, op12_centroid_clustering,
+        op13_source_divergence)}
 
 
 _TEXT_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLES = """list_sort(list_distinct(list_filter(list_transform(range(1, greatest(len({w}) - 4, least(len({w}), 1)) + 1),
+  lambda i: substr(md5(array_to_string({w}[i:i + 4], ' ')), 1, 16)), lambda h: h < '2')))"""
+_ALIKE = """CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) = 0 THEN 0.0
+  ELSE len(list_intersect({a}, {b})) / least(len({a}), len({b})) END"""
+
+# sketches of each text, its edited text and the next document's text
+_OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, lead(t) OVER w AS n1, first(t) OVER w AS n0, lead(doc_id) OVER w AS i1, first(doc_id) OVER w AS i0
+      FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2) AS edited
+      FROM (SELECT doc_id, t, coalesce(n1, n0) AS nt, coalesce(i1, i0) AS next_doc_id FROM n)),
+w AS (SELECT *, {', '.join(f"regexp_extract_all({_LOWER.format(c)}, '[^\x20\x09-\x0D]+') AS w{i}" for i, c in enumerate(("t", "edited", "nt")))} FROM e),
+h AS (SELECT *, {', '.join(f"{_SHINGLES.format(w=f'w{i}')} AS h{i}" for i in range(3))} FROM w)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(h0, ',') AS fingerprint,
+  array_to_string(h1, ',') AS edited_fingerprint, CAST({_ALIKE.format(a='h0', b='h1')} AS DOUBLE) AS near_edited,
+  CAST({_ALIKE.format(a='h0', b='h2')} AS DOUBLE) AS near_next, next_doc_id FROM h""".replace("\x20\x09-\x0D", r"\x20\x09-\x0D")
+
+
+def _op12() -> str:
+    """Every vector against every centroid, three rounds spelled out."""
+    def assigned(r: int) -> str:
+        return f"""a{r} AS (SELECT rid, cluster, d FROM (SELECT rid, cluster, d, row_number() OVER (PARTITION BY rid ORDER BY d, cluster) AS o
+  FROM (SELECT v.rid, c.cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i]))) AS BIGINT) AS d
+        FROM v, c{r} c)) WHERE o = 1)"""
+    rounds = []
+    for r in range(3):
+        rounds.append(assigned(r))
+        rounds.append(f"""m{r} AS (SELECT cluster, list((s - (((s % n) + n) % n)) // n ORDER BY i) AS q
+  FROM (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+        FROM (SELECT a.cluster, unnest(v.q) AS x, unnest(range(1, 65)) AS i FROM a{r} a JOIN v USING (rid)) GROUP BY cluster, i) GROUP BY cluster),
+c{r + 1} AS (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m USING (cluster))""")
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+           WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, q) AS INTEGER) - 1 AS cluster, q
+       FROM (SELECT q, sha256('1:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 16)),
+{", ".join(rounds)},
+{assigned(3)},
+s AS (SELECT cluster, sum(d) AS si FROM a3 GROUP BY cluster)
+SELECT v.vec_id, CAST(a3.cluster AS INTEGER) AS cluster, a3.d AS distance, CAST(si AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(d) FROM a3) AS BIGINT) AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (rid) JOIN c3 USING (cluster) JOIN s USING (cluster)"""
+
+
+# every kept term for every pair of sources of a language
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c,
+        1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 1)) // CAST(n.n + v.v AS HUGEINT) AS p
+      FROM n JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+q AS (SELECT k.lang, k.term, 1 + (CAST(1000000000 AS HUGEINT) * (k.n + 1)) // CAST(v.n + v.v AS HUGEINT) AS q FROM k JOIN v USING (lang)),
+t AS (SELECT p.lang, p.source, p.term AS item, ((p.p - q.q) * (p.p - q.q)) // q.q AS value
+      FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+      UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM t)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         # every vector against every query, by the plain definition
@@ -93,4 +178,7 @@ hi AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+            "op11_document_fingerprints": _OP11,
+        "op12_centroid_clustering": _op12(),
+        "op13_source_divergence": _OP13,
     }
