@@ -163,8 +163,8 @@ def alnum_words() -> np.ndarray:
 
 # ---------------------------------------------------------------- memory of a worker
 def giving_back(run: Callable) -> Callable:
-    """A mapInArrow function that at its end hands the memory it no longer needs back to the system: Spark keeps
-    a Python worker for later stages, and the C library keeps what numpy and Arrow have freed."""
+    """A mapInArrow function, or one of the iterator form of applyInArrow, that at its end hands the memory it no longer needs
+    back to the system: Spark keeps a Python worker for later stages, and the C library keeps what numpy and Arrow have freed."""
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

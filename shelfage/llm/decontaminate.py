@@ -211,42 +211,57 @@ def find(words: np.ndarray, before: np.ndarray, block: dict[str, np.ndarray]) ->
     return place[index.locate(rows)], lengths[which], which
 
 
+def _searched(batches: Iterator[pa.RecordBatch], paths: list[str], column: str) -> Iterator[tuple]:
+    """For every slice: its rows, the number of words before each document, which words are hit, and the items of each document."""
+    loaded: dict[str, dict] = {}
+
+    def block(path: str) -> dict:
+        if path not in loaded:
+            loaded.clear()
+            fs, p = filesystem(path)
+            with fs.open_input_stream(p) as f:
+                loaded[path] = dict(np.load(io.BytesIO(f.read())))
+        return loaded[path]
+
+    for batch in batches:
+        for piece in slices(batch, column, SHARD_BYTES):
+            words, before = _words(*text_buffer(piece.column(column)))
+            edge = np.zeros(len(words) + 1, np.int64)
+            items: list[set] = [set() for _ in range(piece.num_rows)]
+            for path in paths:
+                b = block(path)
+                start, length, which = find(words, before, b)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + length, -1)
+                doc = np.searchsorted(before, start, side="right") - 1
+                for d, w in np.unique(np.stack([doc, which], axis=1), axis=0).tolist():
+                    items[d].update(b["names"][b["items"][b["first"][w]: b["first"][w + 1]]].tolist())
+            yield piece, before, np.cumsum(edge[:-1]) > 0, items
+
+
+def _counts(hit: np.ndarray, before: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return total[before[1:]] - total[before[:-1]]
+
+
 def _scan(paths: list[str], keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, dict] = {}
-
-        def block(path: str) -> dict:
-            if path not in loaded:
-                loaded.clear()
-                fs, p = filesystem(path)
-                with fs.open_input_stream(p) as f:
-                    loaded[path] = dict(np.load(io.BytesIO(f.read())))
-            return loaded[path]
-
-        for batch in batches:
-            for piece in slices(batch, "_text", SHARD_BYTES):
-                n = piece.num_rows
-                words, before = _words(*text_buffer(piece.column(keep)))
-                edge = np.zeros(len(words) + 1, np.int64)
-                items: list[set] = [set() for _ in range(n)]
-                for path in paths:
-                    b = block(path)
-                    start, length, which = find(words, before, b)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + length, -1)
-                    doc = np.searchsorted(before, start, side="right") - 1
-                    for d, w in np.unique(np.stack([doc, which], axis=1), axis=0).tolist():
-                        items[d].update(b["names"][b["items"][b["first"][w]: b["first"][w + 1]]].tolist())
-                hit = np.cumsum(edge[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[before[1:]] - total[before[:-1]]
-                spans = [_spans(hit[before[d]: before[d + 1]]) if n_hit[d] else "" for d in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[:keep], pa.array(np.diff(before).astype(np.int64)), pa.array(n_hit.astype(np.int64)),
-                     pa.array([len(x) for x in items], pa.int64()),
-                     pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
-                     pa.array(n_hit > 0), pa.array(spans, pa.string())],
-                    names=[*piece.schema.names[:keep], *[x.split()[0] for x in HITS.split(", ")]])
+        for piece, before, hit, items in _searched(batches, paths, "_text"):
+            n_hit = _counts(hit, before)
+            spans = [_spans(hit[before[d]: before[d + 1]]) if n_hit[d] else "" for d in range(piece.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [*piece.columns[:keep], pa.array(np.diff(before).astype(np.int64)), pa.array(n_hit.astype(np.int64)),
+                 pa.array([len(x) for x in items], pa.int64()),
+                 pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
+                 pa.array(n_hit > 0), pa.array(spans, pa.string())],
+                names=[*piece.schema.names[:keep], *[x.split()[0] for x in HITS.split(", ")]])
+    return run
+
+
+def _clean(paths: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, before, hit, _ in _searched(batches, paths, "text"):
+            yield piece.filter(pa.array(_counts(hit, before) == 0))
     return run
 
 
@@ -266,7 +281,7 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(giving_back(_scan(paths, len(keep))), schema)
 
 
-def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents without any benchmark window, columns unchanged."""
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text")
-    return scan(spark, whole, benchmark, keep=("_doc",), **kw).where(~F.col("contaminated")).select("_doc.*")
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any benchmark window, columns unchanged. Rows go to Python once and only the kept ones return."""
+    paths = benchmark_blocks(spark, benchmark, window, block_bytes)
+    return docs.mapInArrow(giving_back(_clean(paths)), docs.schema)

@@ -146,6 +146,14 @@ def scores(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return best, share[best, np.arange(n)]
 
 
+def _decided(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each text's language (that of the languages: unknown) and its score."""
+    best, score = scores(model, texts)
+    letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
+    known = letters & bool(model["langs"])
+    return np.where(known, best, len(model["langs"])), np.where(known, score, 0.0)
+
+
 def predict(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """``keep`` columns, lang_pred and score of every document, from its text alone."""
     cast = spark.sparkContext.broadcast(model)  # bounded: SLOTS words a 64 languages
@@ -153,15 +161,10 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = cast.value
-        langs = np.array([*model["langs"], UNKNOWN], dtype=object)
+        langs = np.array([*cast.value["langs"], UNKNOWN], dtype=object)
         for batch in batches:
             for piece in slices(batch, "_text", SLICE_BYTES):
-                texts = piece.column(piece.schema.get_field_index("_text"))
-                best, score = scores(model, texts)
-                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
-                known = letters & bool(model["langs"])
-                best, score = np.where(known, best, len(langs) - 1), np.where(known, score, 0.0)
+                best, score = _decided(cast.value, piece.column(piece.schema.get_field_index("_text")))
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], pa.array(langs[best], pa.string()), pa.array(score)], names=names)
 
     # the text goes to Python under a name of its own beside the columns to keep
@@ -176,6 +179,14 @@ def identify(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
 
 def filtered(spark: SparkSession, docs: DataFrame, least: float = 0.1, **kw) -> DataFrame:
     """The documents with a language: those without a letter, or with under ``least`` of their n-grams in any, go."""
-    model = train(spark, docs, **kw)
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text")
-    return predict(spark, whole, model, ["_doc"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_doc.*")
+    cast = spark.sparkContext.broadcast(train(spark, docs, **kw))  # bounded: SLOTS words a 64 languages
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unknown = len(cast.value["langs"])
+        for batch in batches:
+            for piece in slices(batch, "text", SLICE_BYTES):
+                best, score = _decided(cast.value, piece.column("text"))
+                yield piece.filter(pa.array((best != unknown) & (score >= least)))
+
+    # rows go to Python once and only the kept ones return
+    return docs.mapInArrow(giving_back(run), docs.schema)

@@ -48,6 +48,7 @@ SHINGLE = 5
 SIMILARITY = 80           # per cent
 BUCKET_KEYS = 1_000_000
 SIG_ROWS = 8192
+ROWS_AT_ONCE = 512        # whole rows of a chunk file held at once
 
 SIGNATURE = "rid long, doc_id long, n long, digest binary, halves binary"
 HIT = "key long, rid long, n long, center long, center_n long"
@@ -175,31 +176,39 @@ def _send_keys(halves: int, buckets: int):
     return run
 
 
-def _bucket_hits(table: pa.Table) -> pa.Table:
-    rows = table.select(["bucket", "data", "more", "ids"]).to_pylist()
-    key = np.concatenate([chunks.unpack(r["data"], "<u4", True) for r in rows]).astype(np.int64) + (rows[0]["bucket"] << 32)
+def _bucket_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.select(["bucket", "data", "more", "ids"]).to_pylist()]
+    key =np.concatenate([chunks.unpack(r["data"], "<u4", True) for r in rows]).astype(np.int64) + (rows[0]["bucket"] << 32)
     n = np.concatenate([chunks.unpack(r["more"], "<u4") for r in rows]).astype(np.int64)
     rid = np.concatenate([chunks.unpack(r["ids"], "<i8") for r in rows])
+    del rows
     order = np.lexsort((rid, key))
-    return pa.Table.from_batches([_hits(key[order], rid[order], n[order])])
+    yield _hits(key[order], rid[order], n[order])
 
 
 # ---------------------------------------------------------------- verification
 def _wanted_sets(shingle: int):
-    def run(table: pa.Table) -> pa.Table:
-        path = table.column("path")[0].as_py()
-        rows = np.sort(table.column("rid").to_numpy())
-        out = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, rows = _wanted(batches)
         for _, row, piece in chunks.read_slices(path):
             mine = rows[np.searchsorted(rows & 0xFFFFFFFF, row): np.searchsorted(rows & 0xFFFFFFFF, row + piece.num_rows)]
             if len(mine):
                 h, edge = shingle_sets(piece.column(1).take(pa.array((mine & 0xFFFFFFFF) - row)), shingle)
-                raw, e = h.tobytes(), (8 * edge).tolist()
-                out.append(pa.RecordBatch.from_arrays([pa.array(mine), pa.array([raw[a:b] for a, b in zip(e[:-1], e[1:])], pa.binary())], names=["rid", "set"]))
-        return pa.Table.from_batches(out, schema=pa.schema([("rid", pa.int64()), ("set", pa.binary())]))
+                # the sets are runs of one buffer, which a batch takes as it is
+                raw = pa.Array.from_buffers(pa.large_binary(), len(mine), [None, pa.py_buffer(8 * edge), pa.py_buffer(h)])
+                yield pa.RecordBatch.from_arrays([pa.array(mine), raw.cast(pa.binary())], names=["rid", "set"])
     return run
 
 
+def _wanted(batches: Iterator[pa.RecordBatch]) -> tuple[str, np.ndarray]:
+    """Of one file's group: its path and its sorted row ids."""
+    rows, path = [], None
+    for batch in batches:
+        rows.append(batch.column("rid").to_numpy())
+        path = path or batch.column("path")[0].as_py()
+    return path, np.sort(np.concatenate(rows))
+
+
 def _confirm(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +227,7 @@ def full_sets(spark: SparkSession, store: chunks.Store, rids: DataFrame, shingle
     """(rid, set) of some documents, made from their files and written."""
     wanted = rids.withColumn("file", F.shiftright("rid", 32).cast("int")).join(store.files, "file")
     path = scratch_path(spark, "minhash-sets")
-    wanted.groupBy("file").applyInArrow(_wanted_sets(shingle), "rid long, set binary").write.option("compression", "none").parquet(path)
+    wanted.groupBy("file").applyInArrow(giving_back(_wanted_sets(shingle)), "rid long, set binary").write.option("compression", "none").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -320,7 +329,7 @@ def link(spark: SparkSession, store: chunks.Store, shingle: int = SHINGLE, simil
     buckets = spark.read.parquet(path).count() * halves * halves // bucket_keys + 1
     tasks = files.repartition(max(1, count), "file")
     path = scratch_path(spark, "minhash-hits")
-    far = tasks.mapInArrow(giving_back(_send_keys(halves, buckets)), chunks.MESSAGE).groupBy("bucket").applyInArrow(_bucket_hits, HIT)
+    far = tasks.mapInArrow(giving_back(_send_keys(halves, buckets)), chunks.MESSAGE).groupBy("bucket").applyInArrow(giving_back(_bucket_hits), HIT)
     far.union(tasks.mapInArrow(giving_back(_local_hits(halves, buckets)), HIT)).write.parquet(path)
     hits = spark.read.parquet(path)
 
@@ -383,16 +392,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
 
 
 def _rows(schema: pa.Schema, names: list[str]):
-    def run(table: pa.Table) -> pa.Table:
-        fs, p = filesystem(table.column("path")[0].as_py())
-        rows = np.sort(table.column("rid").to_numpy() & 0xFFFFFFFF)
-        out, at = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, rows = _wanted(batches)
+        rows = rows & 0xFFFFFFFF
+        fs, p = filesystem(path)
+        at = 0
         with fs.open_input_file(p) as f:
-            for batch in pq.ParquetFile(f).iter_batches(batch_size=4096):
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=ROWS_AT_ONCE):
                 mine = rows[np.searchsorted(rows, at): np.searchsorted(rows, at + batch.num_rows)] - at
                 at += batch.num_rows
-                out.append(pa.Table.from_batches([batch]).select(names).take(pa.array(mine)).cast(schema))
-        return pa.concat_tables(out)
+                if len(mine):
+                    yield from pa.Table.from_batches([batch]).select(names).take(pa.array(mine)).cast(schema).to_batches()
     return run
 
 
@@ -408,4 +418,4 @@ def deduplicated(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
     group = F.coalesce("first", "rid")
     keep = every.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(group.alias("g")).agg(F.min("rid").alias("rid"))
     keep = keep.select("rid", F.shiftright("rid", 32).cast("int").alias("file")).join(store.files, "file")
-    return keep.groupBy("file").applyInArrow(_rows(to_arrow_schema(docs.schema), docs.columns), docs.schema)
+    return keep.groupBy("file").applyInArrow(giving_back(_rows(to_arrow_schema(docs.schema), docs.columns)), docs.schema)

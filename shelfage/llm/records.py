@@ -10,7 +10,7 @@ rotates the CRC-32 and adds a constant, so that a checksum of data holding check
 holds (offset uint64, tokens uint64) per record: a shuffled reader seeks by it. Files are written
 under temporary names, renamed, and listed in a manifest that Spark commits.
 
-Encoding: words of text, and their parts, are encoded once per task and kept in bounded tables. A cut
+Encoding: words of text, and their parts, are encoded once per worker and stage and kept in tables bounded by bytes. A cut
 at ASCII white space, and between an ASCII letter or digit and an ASCII sign other
 than the apostrophe, never changes the ids: the tokenizer drops white space, its pattern ends
 a letter run there and no normal form joins across. Texts with "<|" (which may be special tokens) are
@@ -28,21 +28,25 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfage.llm.common import commit_file, filesystem, giving_back
+from shelfage.llm.common import commit_file, filesystem, giving_back, slices, space_words, text_buffer, token_bounds
 from shelfage.session import scratch_path
 
 END_ID = 1
-KEPT_PIECES = 1_500_000
+KEPT_BYTES = 320 << 20      # of a worker's tables; one batch of texts may add its own words to it
+ENTRY_BYTES = 120           # of an entry besides its key and ids
+READERS = 10_000            # tasks that read files back
 MANIFEST = "part int, path string, index_path string, records long, tokens long, first_id long, last_id long"
 RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long, path string, offset long"
+SLICE_BYTES = 1 << 20       # texts encoded together
 _MASK = 0xA282EAD8
+_WORD = space_words()
 
 _CUT = re.compile(r"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{}~])")
 
@@ -63,10 +67,18 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.stage: int | None = None
+        self.held = 0          # bytes of the keys and ids in both tables
+
+    def enter(self, stage: int) -> None:
+        """The tables serve all tasks of a worker in one stage; another stage starts with empty ones."""
+        if stage != self.stage:
+            self.release()
+            self.stage = stage
 
     def release(self) -> None:
         """Empties the tables: a worker that goes on with another stage does not hold them."""
-        self.words, self.parts = {}, {}
+        self.words, self.parts, self.held = {}, {}, 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,11 +87,12 @@ class Encoder:
         """Ids of new words, from the ids of their parts. Upper-case ASCII letters have the ids of the lower-case ones."""
         cut = []
         for w in words:
-            s = w.decode()
-            cut.append([p.lower() if p.isascii() else p for p in ([s] if s.isalpha() else _CUT.split(s))])
+            if w.isalpha():      # ASCII letters only
+                cut.append([w.lower().decode()])
+            else:
+                s = w.decode()
+                cut.append([p.lower() if p.isascii() else p for p in ([s] if s.isalpha() else _CUT.split(s))])
         parts = self.parts
-        if len(parts) > KEPT_PIECES:
-            parts.clear()
         new = {p for c in cut for p in c if p not in parts}
         # a run of ASCII letters is one word of the tokenizer's pattern: straight to its model
         model = self.tokenizer.model
@@ -94,24 +107,46 @@ class Encoder:
             parts.update(zip(some, self._ids(some)))
         for w, c in zip(words, cut):
             self.words[w] = parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "<|" in t else t.encode().split() for t in texts]
-        every = set().union(*(c for c in cut if c))
-        if len(self.words) + len(every) > KEPT_PIECES:
-            self.words.clear()
-        known = self.words
+        self.held += sum(len(w) + len(self.words[w]) + ENTRY_BYTES for w in words) + sum(len(p) + len(parts[p]) + ENTRY_BYTES for p in new)
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column. Every distinct word of the column is looked up once; the ids are then gathered as arrays."""
+        if self.held > KEPT_BYTES:
+            self.release()
+        data, off = text_buffer(column)
+        starts, ends, before = token_bounds(data, off, _WORD)
+        edge = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=edge[1:])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edge), pa.py_buffer(data[_WORD[data]])]) \
+            .dictionary_encode()
+        every, known = words.dictionary.to_pylist(), self.words
         self._learn([w for w in every if w not in known])
-        get = known.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        raw = [known[w] for w in every]
+        length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, first, which = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(length) - length, words.indices.to_numpy()
+        n = length[which]
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
+        ids = flat[np.arange(total[-1]) + np.repeat(first[which] - total[:-1], n)]
+        cut = total[before]
+        out = [ids[x:y] for x, y in zip(cut[:-1], cut[1:])]
+        for i in np.flatnonzero(pc.fill_null(pc.match_substring(column, "<|"), False).to_numpy(zero_copy_only=False)):
+            out[i] = np.frombuffer(self._ids([column[int(i)].as_py()])[0], "<u4")
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
+    """The worker's encoder; one tokenizer at a time."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    return Encoder(path)
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def masked_crc(data: bytes) -> int:
@@ -131,29 +166,25 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         part = TaskContext.get().partitionId()
         fs, root = filesystem(folder)
         enc = encoder(tokenizer)
-        end = struct.pack("<I", end_id)
+        enc.enter(TaskContext.get().stageId())
         temporary = f"{root}/_temporary-{uuid.uuid4().hex}"
         data, index, offset, records, tokens, first, last = None, [], 0, 0, 0, None, None
+        width = "<u4" if enc.wide else "<u2"
+        end = np.array([end_id], width).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for piece in slices(batch, "text", SLICE_BYTES):
                 ids = piece.column(0).to_pylist()
-                texts = [t or "" for t in piece.column(1).to_pylist()]
                 if data is None:
                     data, first = fs.open_output_stream(temporary), ids[0]
                 out = []
-                for doc_id, raw in zip(ids, enc.encode(texts)):
-                    raw += end
-                    if not enc.wide:
-                        raw16 = np.frombuffer(raw, "<u4").astype("<u2").tobytes()
-                    rec = frame(struct.pack("<Bq", (doc_id is None) + 2 * (not enc.wide), doc_id or 0) + (raw if enc.wide else raw16))
-                    index.append((offset, len(raw) // 4))
+                for doc_id, some in zip(ids, enc.encode(piece.column(1))):
+                    rec = frame(struct.pack("<Bq", (doc_id is None) + 2 * (not enc.wide), doc_id or 0) + some.astype(width).tobytes() + end)
+                    index.append((offset, len(some) + 1))
                     offset += len(rec)
-                    tokens += len(raw) // 4
+                    tokens += len(some) + 1
                     out.append(rec)
                 data.write(b"".join(out))
                 records, last = records + len(ids), ids[-1]
-        enc.release()
         rows = []
         if data is not None:
             data.close()
@@ -200,7 +231,9 @@ def read_ids(path: str, offset: int, stream=None) -> tuple[int | None, np.ndarra
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in RECORD.split(", ")]
+    for enc in _encoders.values():
+        enc.release()
+    names =[x.split()[0] for x in RECORD.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
     for batch in batches:
         for path, index_path, base in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -222,11 +255,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One row per record: doc_id, start (ids before it in the whole order), number and CRC-32 of its ids, place.
 
-    The running sum is over the manifest, one row per file.
+    The running sum is over the manifest, one row per file. As many tasks as files read, up to ``READERS``; a manifest of a
+    few rows would otherwise become one task.
     """
     base = F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")
     files = manifest.select("path", "index_path", base.alias("base"))
-    return files.repartition("path").mapInArrow(_reader, RECORD)
+    return files.repartitionByRange(max(1, min(manifest.count(), READERS)), "path").mapInArrow(giving_back(_reader), RECORD)
 
 
 def roundtrip(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
