@@ -17,13 +17,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfage.operators import aging, drilldown as dd, lookups, totals
+from shelfage.operators import aging, drilldown as dd, lookups, rollup, totals
 from shelfage.operators.filters import Filters
 from shelfage.plans import download_drilldown, get_dashboard_data
 from shelfage.schema import DIMENSIONS, EXPORT_METRIC_COLS, KPI_ROWS, KPI_SOURCES, METRIC_COLS, TOTAL_WORD
 from shelfage.session import scratch_path
-from shelfage.sinks import read_detail, read_report, read_summary, write_reports
-from shelfage.sources.driver_tables import DUCKDB_CANONICAL_CTES, DriverCatalog
+from shelfage.sinks import numbered, read_detail, read_report, read_summary, write_reports
+from shelfage.sources.checks import key_report
+from shelfage.sources.driver_tables import DUCKDB_CANONICAL_CTES, DUCKDB_EDGE_CTES, DriverCatalog
 
 # the training-data operators, where they are installed (a folder left without its modules does not count)
 if getattr(importlib.util.find_spec("shelfage.llm"), "origin", None):
@@ -36,6 +37,8 @@ else:
     corpus_pipeline = None
 
 AS_OF = dt.date(2001, 7, 15)
+EARLIER = dt.date(2001, 3, 2)          # a second clock for the rollup
+REFRESH_FROM = dt.date(2001, 5, 20)    # in the middle of a month
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Selections used by the parameterised queries (values present in the data).
@@ -114,23 +117,66 @@ def _drill_with_total(spark, d):
 
 
 def _export(spark, d):
-    return write_reports(aging.bundle(_cat(spark, d), Filters(COMPANY), AS_OF), scratch_path(spark, "export"), AS_OF)
+    return write_reports(aging.bundle(_cat(spark, d), Filters(COMPANY), AS_OF), scratch_path(spark, "export"), AS_OF,
+                         dimensions=list(DIMENSIONS))
 
 
 def _export_roundtrip(dim: str):
-    return lambda spark, d: read_report(spark, _export(spark, d), dim).drop("position")
+    """A written report read back, its rows numbered in the order they were written in."""
+    return lambda spark, d: numbered(read_report(spark, _export(spark, d), dim))
 
 
 def _drill_export_roundtrip(spark, d):
     out = download_drilldown(_cat(spark, d), {"company_id": COMPANY}, "payment_terms", PT_VALUE, "Value_30+", AS_OF,
                              scratch_path(spark, "drill-export"))
-    return read_detail(spark, out).drop("position").withColumn("Qty", F.col("Qty").cast("double"))
+    return numbered(read_detail(spark, out)).withColumn("Qty", F.col("Qty").cast("double"))
 
 
 def _dashboard_default_company(spark, d):
     return get_dashboard_data(_cat(spark, d), {}, AS_OF, default_company=3)["buyer"]
 
 
+def _edge_cat(spark, d):
+    """The same tables with undated lines, times of day and product names in two JSON key orders."""
+    return DriverCatalog(spark, d, edge=True)
+
+
+def _edge_drill(bucket, **kw):
+    def q(spark, d):
+        return dd.drilldown(_edge_cat(spark, d), Filters(COMPANY), "payment_terms", "Total", bucket, AS_OF, **kw).withColumn("Qty", F.col("Qty").cast("double"))
+    return q
+
+
+def _rollup(filters: Filters, as_of: dt.date = AS_OF, edge: bool = False):
+    def q(spark, d):
+        cat = DriverCatalog(spark, d, edge=edge)
+        root = rollup.build_rollup(cat, spark, scratch_path(spark, "rollup"))
+        return rollup.bundle_from_rollup(cat, spark, root, filters, as_of)
+    return q
+
+
+def _rollup_refreshed(spark, d):
+    """Built on a fact whose lines after REFRESH_FROM are missing, then refreshed for the (company, month) partitions that have such lines."""
+    cat = _cat(spark, d)
+    root = rollup.build_rollup(_Before(cat, REFRESH_FROM), spark, scratch_path(spark, "rollup"))
+    late = cat.table("operation_details", ["company_id", "action_date"]).where(F.col("action_date") >= F.lit(REFRESH_FROM)) \
+        .selectExpr("company_id", f"{rollup.month_sql('action_date')} AS month").distinct().collect()   # companies x months
+    rollup.refresh(cat, spark, root, [(r.company_id, r.month) for r in late])
+    return rollup.bundle_from_rollup(cat, spark, root, Filters(COMPANY), AS_OF)
+
+
+class _Before(DriverCatalog):
+    """A catalog as it was before a day."""
+
+    def __init__(self, cat: DriverCatalog, day: dt.date):
+        super().__init__(cat.spark, cat.sf_dir)
+        self.day = day
+
+    def table(self, name, columns=None):
+        df = super().table(name, columns)
+        return df.where(F.col("action_date") < F.lit(self.day)) if name == "operation_details" else df
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     c1 = Filters(COMPANY)
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -197,6 +243,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_summary": lambda spark, d: read_summary(spark, _export(spark, d)),
         "drill_export_roundtrip": _drill_export_roundtrip,
         "dashboard_default_company": _dashboard_default_company,
+        # undated lines and times of day (EXP-2), JSON equality (AGG-9)
+        "edge_bundle": lambda spark, d: aging.bundle(_edge_cat(spark, d), Filters(COMPANY), AS_OF),
+        "edge_drill_json": _edge_drill("Total_Balance"),
+        "edge_drill_bucket": _edge_drill("Balance_0-5"),
+        # the day-grain rollup answers as the bundle does
+        "rollup_bundle": _rollup(Filters(COMPANY)),
+        "rollup_bundle_earlier": _rollup(Filters(COMPANY), EARLIER),
+        "rollup_bundle_salesperson_team": _rollup(Filters(COMPANY, SALESPERSON, TEAM)),
+        "rollup_bundle_edge": _rollup(Filters(COMPANY), edge=True),
+        "rollup_refreshed": _rollup_refreshed,
+        # key checks of the catalog
+        "key_report": lambda spark, d: key_report(_cat(spark, d)),
     })
     if training_data is not None:
         q.update(training_data.queries())
@@ -415,6 +473,15 @@ def oracle_sql() -> dict[str, str]:
         "export_summary": _kpi_table_sql(),
         "drill_export_roundtrip": _drill_export_sql(),
         "dashboard_default_company": _report_sql("buyer", 3),
+        "edge_bundle": _edge(_bundle_body()),
+        "edge_drill_json": _edge_drill_sql("Total_Balance"),
+        "edge_drill_bucket": _edge_drill_sql("Balance_0-5"),
+        "rollup_bundle": _with(_bundle_body()),
+        "rollup_bundle_earlier": _with(_bundle_body()).replace(AS_OF.isoformat(), EARLIER.isoformat()),
+        "rollup_bundle_salesperson_team": _with(_bundle_body(SALESPERSON, TEAM)),
+        "rollup_bundle_edge": _edge(_bundle_body()),
+        "rollup_refreshed": _with(_bundle_body()),
+        "key_report": _key_report_sql(),
     })
     if training_data is not None:
         s.update(training_data.oracle_sql())
@@ -435,14 +502,43 @@ def _export_roundtrip_sql(dim: str) -> str:
     cols = ", ".join(f'"{c}"' for c in EXPORT_METRIC_COLS)
     sums = ", ".join(f'CAST(COALESCE(SUM(COALESCE("{c}", 0)), 0) AS BIGINT) AS "{c}"' for c in EXPORT_METRIC_COLS)
     rep = _report_body(dim, _filter_sql(COMPANY))
-    return _with(f"""SELECT 'Total' AS "{label}", {sums}, 'total' AS row_type, 0 AS row_order FROM ({rep}) r
+    return _with(f"""SELECT *, row_number() OVER (ORDER BY row_order, "{label}" NULLS LAST) AS position FROM (
+SELECT 'Total' AS "{label}", {sums}, 'total' AS row_type, 0 AS row_order FROM ({rep}) r
 UNION ALL
-SELECT "{label}", {cols}, 'row' AS row_type, 1 AS row_order FROM ({rep}) r""")
+SELECT "{label}", {cols}, 'row' AS row_type, 1 AS row_order FROM ({rep}) r)""")
 
 
 def _drill_export_sql() -> str:
     detail = _drill_body("payment_terms", PT_VALUE, "Value_30+")
     text = (f"""'Breakdown for Payment Terms: {PT_VALUE} (Value_30+)' AS title, '{PT_VALUE.replace(" ", "_")}_Value_30+' AS export_name""")
-    return _with_ctes(f"d AS ({detail})", f"""SELECT "OA", "Category", "Product", "Qty", "Value", 'detail' AS row_type, 0 AS row_order, {text} FROM d
+    return _with_ctes(f"d AS ({detail})", f"""SELECT *, row_number() OVER (ORDER BY row_order, "OA" NULLS LAST, "Product" NULLS LAST, "Category" NULLS LAST) AS position FROM (
+SELECT "OA", "Category", "Product", "Qty", "Value", 'detail' AS row_type, 0 AS row_order, {text} FROM d
 UNION ALL
-SELECT 'Total', NULL, NULL, CAST(COALESCE(SUM(COALESCE("Qty", 0)), 0) AS DOUBLE), CAST(COALESCE(SUM(COALESCE("Value", 0)), 0) AS BIGINT), 'total', 1, {text} FROM d""")
+SELECT 'Total', NULL, NULL, CAST(COALESCE(SUM(COALESCE("Qty", 0)), 0) AS DOUBLE), CAST(COALESCE(SUM(COALESCE("Value", 0)), 0) AS BIGINT), 'total', 1, {text} FROM d)""")
+
+
+def _edge(body: str) -> str:
+    return f"WITH {DUCKDB_EDGE_CTES.strip()}\n{body}"
+
+
+def _edge_drill_sql(bucket: str) -> str:
+    """The drill-down grouped by the parsed JSON: its keys and values, whatever their order in the text."""
+    body = _drill_body("payment_terms", "Total", bucket)
+    assert body.endswith(", pt.name")
+    body = body.removesuffix(", pt.name") + ", pt.name ->> 'en_US', pt.name ->> 'fr_FR'"
+    return _edge(body.replace(_PROD_LABEL, "COALESCE(pt.name ->> 'en_US', min(CAST(pt.name AS VARCHAR)))"))
+
+
+def _key_report_sql() -> str:
+    parts = []
+    for t in ("sale_order", "account_payment_term", "res_partner", "product_product", "product_template", "res_company", "res_users", "crm_team"):
+        parts.append(f"SELECT '{t}' AS table_name, 'set' AS check_name, 'id' AS column_name, count(*) AS checked, count(*) - count(id) AS violations FROM {t}")
+        parts.append(f"SELECT '{t}', 'unique', 'id', count(id), count(id) - count(DISTINCT id) FROM {t}")
+    for t, column, target in (("operation_details", "oa_id", "sale_order"), ("operation_details", "product_id", "product_product"),
+                              ("operation_details", "company_id", "res_company"), ("sale_order", "partner_id", "res_partner"),
+                              ("sale_order", "payment_term_id", "account_payment_term"), ("sale_order", "team_id", "crm_team"),
+                              ("product_product", "product_tmpl_id", "product_template"), ("res_users", "partner_id", "res_partner"),
+                              ("res_users", "sale_team_id", "crm_team")):
+        parts.append(f"SELECT '{t}', 'exists', '{column}', count({column}), count(*) FILTER (WHERE {column} IS NOT NULL AND {column} NOT IN "
+                     f"(SELECT id FROM {target} WHERE id IS NOT NULL)) FROM {t}")
+    return _with("\nUNION ALL\n".join(parts))

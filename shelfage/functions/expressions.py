@@ -72,6 +72,34 @@ def line_value(balance: str = "fg_balance", price: str = "price_unit") -> Column
     return F.expr(f"{ident(balance)} * {ident(price)}")
 
 
+def json_value_sql(json_col: str) -> str:
+    """A JSON text in one form for equal values: keys in order (shorter first, then by bytes), numbers and spaces normalized.
+
+    Objects are printed as ``{"k": v, ...}``, so names stored in that form stay as they are. Other values get the compact
+    form; text that is no JSON stays as it is. A repeated key is kept with all its values.
+    """
+    c = ident(json_col)
+    quoted = "substring(to_json(array(e.k)), 2, length(to_json(array(e.k))) - 2)"
+    entries = f"transform(map_entries(from_json({c}, 'map<string,variant>')), " \
+              "e -> struct(octet_length(e.key) AS n, e.key AS k, coalesce(to_json(e.value), 'null') AS v))"
+    return f"coalesce(concat('{{', array_join(transform(array_sort({entries}), e -> concat({quoted}, ': ', e.v)), ', '), '}}'), " \
+           f"to_json(try_parse_json({c})), {c})"
+
+
+def json_order_sql(json_col: str) -> str:
+    """Sort key of a JSON text: objects after other values, by their number of pairs, then pair by pair (key length, key, value)."""
+    c = ident(json_col)
+    entries = f"array_sort(transform(map_entries(from_json({c}, 'map<string,string>')), " \
+              "e -> struct(octet_length(e.key) AS n, e.key AS k, e.value AS v)))"
+    return f"CASE WHEN {c} IS NOT NULL THEN struct(coalesce(size({entries}), -1) AS pairs, {entries} AS entries, {c} AS text) END"
+
+
+def label_order(label: Column, collation: str | None = None) -> list[Column]:
+    """Sort columns of a label, NULL last: by bytes, or by a collation (``UNICODE``: a, A, b) and then by bytes."""
+    by_bytes = label.asc_nulls_last()
+    return [F.collate(label, collation).asc_nulls_last(), by_bytes] if collation else [by_bytes]
+
+
 def translated_label_sql(json_col: str) -> str:
     c = ident(json_col)
     return f"coalesce(get_json_object({c}, '$.en_US'), {c})"

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import age_sql, as_date, bucket_sql, ident, round0_sql, translated_label_sql
+from ..functions.expressions import age_sql, as_date, bucket_sql, ident, json_value_sql, label_order, round0_sql, translated_label_sql
 from ..schema import BUCKET_NAMES, DIMENSION_ORDER, DIMENSIONS, METRIC_COLS
 from ..sources.catalog import Catalog
 from .filters import Filters, fact_predicate
@@ -133,20 +133,31 @@ def labelled_partials(cat: Catalog, filters: Filters | None = None, as_of: dt.da
 
     label_keys = [ORDER_KEY[d] for d in order_dims]
     joined = filters.needs_orders
-    lines = stock_lines(cat, filters, as_of, [FACT_COLUMN[d] for d in fact_dims], company_scope, label_keys)
+    # categories and buyers kept by product are attached after the fold: lines are folded once per product for both
+    keyed = [d for d in fact_dims if FACT_COLUMN[d] in cat.keyed_columns]
+    groups = [[d] for d in fact_dims if d not in keyed] + ([keyed] if keyed else [])
+    columns = [cat.fact_key if ds == keyed and keyed else FACT_COLUMN[ds[0]] for ds in groups]
+    lines = stock_lines(cat, filters, as_of, columns, company_scope, label_keys)
     # Two sums per line, folded per (key, bucket); the sixteen bucket columns
     # are formed later on the folded rows (see README, "Cheap per line").
     sets: list[list[str]] = ([[*(label_keys if joined else ["oa_id"]), "bucket"]] if order_dims else []) + \
-        [[FACT_COLUMN[d], "bucket"] for d in fact_dims]
+        [[c, "bucket"] for c in columns]
     g, gids = _grouped(lines, sets)
 
     tagged: list[tuple[int, list[tuple[str, str]]]] = []
     if order_dims:
-        g, label_cols = _attach_order_labels(cat, g, order_dims, joined, [FACT_COLUMN[d] for d in fact_dims])
+        g, label_cols = _attach_order_labels(cat, g, order_dims, joined, columns)
         tagged.append((gids[0], [(d, label_cols[d]) for d in order_dims]))
     offset = 1 if order_dims else 0
-    for i, d in enumerate(fact_dims):
-        tagged.append((gids[i + offset], [(d, FACT_COLUMN[d])]))
+    for i, ds in enumerate(groups):
+        tagged.append((gids[i + offset], [(d, FACT_COLUMN[d]) for d in ds]))
+    if keyed:
+        # rows without a product (those of the orders, too) are spread by a second key
+        attributes = cat.attributes([FACT_COLUMN[d] for d in keyed]).withColumnRenamed(cat.fact_key, "_key") \
+            .withColumn("_none", F.expr("CAST(pmod(_key, 1) AS BIGINT)"))
+        others = [c for c in g.columns if c not in (cat.fact_key, "balance", "value")]
+        g = g.withColumn("_spread", F.expr(order_spread(cat.fact_key, others))) \
+            .join(attributes, F.expr(f"{ident(cat.fact_key)} = _key AND _spread = _none"), "left")
 
     whens = []
     for gid, pairs in tagged:
@@ -182,8 +193,8 @@ def _attach_order_labels(cat: Catalog, g: DataFrame, order_dims: list[str], join
         j = g.join(so, F.expr(on), "left").groupBy(*keep, *label_keys).agg(*_sums())
     label_cols = {}
     if "payment_terms" in order_dims:
-        apt = cat.table("account_payment_term", ["id", "name"]) \
-            .selectExpr("id AS _apt_id", f"{translated_label_sql('name')} AS _pt_label")
+        apt = cat.table("account_payment_term", ["id", "name"]).selectExpr("id AS _apt_id", f"{json_value_sql('name')} AS _term") \
+            .selectExpr("_apt_id", f"{translated_label_sql('_term')} AS _pt_label")
         j = j.join(apt, F.expr("payment_term_id = _apt_id"), "left")
         label_cols["payment_terms"] = "_pt_label"
     if "customer" in order_dims:
@@ -220,22 +231,23 @@ def widen(long: DataFrame) -> DataFrame:
     return long.groupBy("dimension", "label").agg(*aggs)
 
 
-def finish(wide: DataFrame, dimension: str, rounded: bool = True, ordered: bool = True) -> DataFrame:
+def finish(wide: DataFrame, dimension: str, rounded: bool = True, ordered: bool = True, collation: str | None = None) -> DataFrame:
     """Select one dimension's rows with the report's column names and (unless ``ordered=False``) order."""
     label = DIMENSIONS[dimension].label
     metrics = [f"{round0_sql(c)} AS {ident(c)}" if rounded else ident(c) for c in METRIC_COLS]
     out = wide.where(F.expr(f"dimension = '{dimension}'")).selectExpr(f"label AS {ident(label)}", *metrics)
-    return out.orderBy(F.col(label).asc_nulls_last()) if ordered else out
+    return out.orderBy(*label_order(F.col(label), collation)) if ordered else out
 
 
 def aging_report(cat: Catalog, dimension: str, filters: Filters | None = None,
                  as_of: dt.date | str | None = None, rounded: bool = True,
-                 company_scope: bool = True, ordered: bool = True) -> DataFrame:
+                 company_scope: bool = True, ordered: bool = True, collation: str | None = None) -> DataFrame:
     """One ageing report (REP-4..7; with ``company_scope=False, rounded=False`` REP-1..3).
 
-    ``ordered=False`` leaves out the sort, for reports that are aggregated further (totals, KPIs)."""
+    ``ordered=False`` leaves out the sort, for reports that are aggregated further (totals, KPIs);
+    ``collation`` (``UNICODE``) orders the labels linguistically instead of by bytes."""
     parts = labelled_partials(cat, filters, as_of, [dimension], company_scope)
-    return finish(widen(parts), dimension, rounded, ordered)
+    return finish(widen(parts), dimension, rounded, ordered, collation)
 
 
 def plain_report(cat: Catalog, dimension: str, as_of: dt.date | str | None = None) -> DataFrame:
@@ -254,11 +266,12 @@ def bundle(cat: Catalog, filters: Filters | None = None, as_of: dt.date | str |
     return wide.selectExpr("dimension", "label", *[f"{round0_sql(c)} AS {ident(c)}" for c in METRIC_COLS])
 
 
-def split_bundle(stacked: DataFrame, dimensions: Sequence[str] = DIMENSION_ORDER, ordered: bool = True) -> dict[str, DataFrame]:
+def split_bundle(stacked: DataFrame, dimensions: Sequence[str] = DIMENSION_ORDER, ordered: bool = True,
+                 collation: str | None = None) -> dict[str, DataFrame]:
     """The four report DataFrames of a stacked bundle, with their own label names and order."""
     out = {}
     for d in dimensions:
         label = DIMENSIONS[d].label
         rows = stacked.where(F.expr(f"dimension = '{d}'")).selectExpr(f"label AS {ident(label)}", *[ident(c) for c in METRIC_COLS])
-        out[d] = rows.orderBy(F.col(label).asc_nulls_last()) if ordered else rows
+        out[d] = rows.orderBy(*label_order(F.col(label), collation)) if ordered else rows
     return out

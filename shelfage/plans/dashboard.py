@@ -15,6 +15,7 @@ from ..operators.aging import bundle, split_bundle
 from ..operators.drilldown import drilldown
 from ..operators.filters import Filters
 from ..operators.totals import kpi_labels, kpi_summary, kpi_table, report_with_totals
+from ..schema import DIMENSION_ORDER
 from ..session import scratch_path
 from ..sinks import write_drilldown, write_reports
 from ..sources.catalog import Catalog
@@ -83,7 +84,7 @@ def download_excel(cat: Catalog, filters=None, as_of: dt.date | str | None = Non
     """Export the dashboard (reports with totals, KPI summary); returns the export directory."""
     day = as_date(as_of)
     target = path or scratch_path(cat_spark(cat), "export")
-    return write_reports(bundle(cat, _filters(filters, default_company), day), target, day, fmt)
+    return write_reports(bundle(cat, _filters(filters, default_company), day), target, day, fmt, dimensions=DIMENSION_ORDER)
 
 
 def download_drilldown(cat: Catalog, filters, group_type, group_value, bucket,

@@ -21,10 +21,17 @@ class Catalog:
 
     #: fact and orders are stored in buckets of the order id: their join needs no shuffle and keeps its one key
     co_located = False
+    #: fact columns that follow from ``fact_key`` and are stored by it, apart from the lines
+    keyed_columns: frozenset[str] = frozenset()
+    fact_key = "product_id"
 
     def table(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def attributes(self, columns: Sequence[str]) -> DataFrame:
+        """``fact_key`` (unique) and some of the ``keyed_columns``: operators fold the lines by the key and attach these afterwards."""
+        raise NotImplementedError
+
     @staticmethod
     def _columns(name: str, columns: Sequence[str] | None) -> list[str]:
         if name not in TABLE_COLUMNS:

@@ -198,7 +198,10 @@ def test_totals_do_not_rescan(spark):
     rep = aging.aging_report(cat, "customer", Filters(1), AS_OF)
     assert scans(report_with_totals(rep, "customer"), "lineitem.parquet") == 1
     d = dd.drilldown(cat, Filters(1), "buyer", "Brand#1", "Total_Value", AS_OF, with_total=True)
-    assert scans(d, "lineitem.parquet") == 1
+    # the count of heavy products reuses the exchange of the folded lines
+    d.collect()
+    final = plan(d).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet [^\n]*lineitem.parquet", final)) == 1 and "ReusedExchange" in final
 
 
 @pytest.fixture(scope="module")
@@ -282,8 +285,8 @@ def test_hot_order_join_is_split(spark):
 def test_line_level_aggregate_is_two_sums(spark):
     """The aggregate reading fact lines keeps two sums per line (see README, "Cheap per line")."""
     cat = DriverCatalog(spark, SF0001)
-    for dim, key in (("customer", "oa_id"), ("payment_terms", "oa_id"), ("item_category", "fg_categ_type"),
-                     ("buyer", "buyer_name")):
+    for dim, key in (("customer", "oa_id"), ("payment_terms", "oa_id"), ("item_category", "product_id"),
+                     ("buyer", "product_id")):
         df = aging.aging_report(cat, dim, Filters(1), AS_OF)
         lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
         partials = [line for line in lines if f"HashAggregate(keys=[{key}" in line and "partial_sum" in line]
