@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,34 @@ def test_token_records(spark, docs):
     assert records.roundtrip(spark, docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_tokenizer(name):
+    """Parts encoded once give the ids of whole texts; a tokenizer with another normalizer or pattern encodes whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    rng = random.Random(8)
+    signs = "aAzZeEÉéßçÀÞþÿ×÷µªº«»09'!,.-<|>{}~`@[]\\/ \t\n\x0b\x1c\x85  Σσςİıſ\u0338\u0301\u0307\u030c日本한Ωⅷ²½\0\x7f😀_=J"
+    texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 2, 3, 5, 8, 13, 40]))) for _ in range(20_000)]
+    texts += ["'s i'm I'M we'll É's é,x", "<|endoftext|> a<|startoftext|>b", "a|b", "x" * 100_000, "É," * 20_000, "", None]
+    tok, enc = Tokenizer.from_file(path), records.encoder(path)
+    assert enc.by_parts == (name == "word_bpe_49k.json")
+    for text, ids in zip(texts, enc.encode(pa.array(texts, pa.string()))):
+        assert ids.tolist() == tok.encode(text or "", add_special_tokens=False).ids
+    assert enc.encode(pa.array([], pa.string())) == [] and [len(x) for x in enc.encode(pa.array([None, "", " "]))][:2] == [0, 0]
+
+
+def test_repeated_and_null_ids_are_records_in_order(spark):
+    rows = [(None, "b b"), (None, "a"), (3, "x"), (3, "x"), (3, "y z"), (1, None), (2, ""), (2, None)]
+    got = sorted(records.roundtrip(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 2, 2, 3, 3, 3]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    enc = records.encoder(records.default_tokenizer())
+    want = Counter((i, zlib.crc32(np.append(enc.encode(pa.array([t], pa.string()))[0], 1).astype("<u4").tobytes())) for i, t in rows)
+    assert want == Counter((r.doc_id, r.ids_crc32) for r in got)
+
+
 def test_damaged_record_is_refused(spark, docs):
     path = records.roundtrip(spark, docs.limit(3)).collect()[0].path
     with open(path, "r+b") as f:
