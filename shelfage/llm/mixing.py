@@ -2,7 +2,7 @@
 
 The tokens of the mix are dealt out as equal blocks of ``block`` words.
 ``apportion`` gives the integer number of blocks of each party (first the sources,
-then the shards of each source) by highest quotients value / (2 * seats + 1).
+then the groups of shards of each source, then the shards of each group) by highest quotients value / (2 * seats + 1).
 A shard then takes its quota in seeded order: its documents, ordered by a
 seeded hash, are one cyclic stream of words, and ``quota * block`` words are
 read from its start, so a document is read once per full turn and the last turn
@@ -11,7 +11,8 @@ stops in the middle of the stream.
 Scale: the word counts are computed once and written as a slim table; only
 (document, source, size) rows are shuffled. A source of any size is split into
 shards of about ``shard_words`` words, so no window holds more than one shard.
-Global windows run over one row per source (or five quotients per source) only.
+Global windows run over one row per source (or five quotients per source) only; a source's seats are dealt to groups
+of ``group_shards`` shards first, so that no window grows with the number of its shards.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source
 of its own, last in order; repeated rows are documents of their own; an empty table
@@ -29,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BLOCK_WORDS = 16
 SHARD_WORDS = 1 << 20
+GROUP_SHARDS = 1 << 12
 SEED = 20
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -89,7 +91,7 @@ def apportion(parties: DataFrame, group: list[str], party: str, value: str, seat
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, repeat: int = MAX_REPEAT, block: int = BLOCK_WORDS,
-        shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+        shard_words: int = SHARD_WORDS, seed: int = SEED, group_shards: int = GROUP_SHARDS) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (of its source) and taken (words the mix reads from it)."""
     slim_path = scratch_path(spark, "mix-sizes")
     docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")).write.parquet(slim_path)
@@ -108,7 +110,14 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, repeat: int = MAX
              .withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
              .withColumn("shard", F.pmod(F.col("_h"), F.greatest(F.col("shards"), F.lit(1)))))
     shards = dealt.groupBy("source_rank", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
-    shards = apportion(shards, ["source_rank"], "shard", "shard_size", "source_quota") \
+    # in two levels: the source's seats go to groups of shards, a group's seats to its shards; no window holds more rows than
+    # a source has groups, or a group shards (times the quotients listed)
+    shards = shards.withColumn("_group", F.floor(F.col("shard") / F.lit(group_shards)).cast("long"))
+    groups = shards.groupBy("source_rank", "_group", "source_quota").agg(F.sum("shard_size").alias("group_size"))
+    groups = apportion(groups, ["source_rank"], "_group", "group_size", "source_quota").select(
+        F.col("source_rank").alias("_gr"), F.col("_group").alias("_gg"), F.col("quota").alias("group_quota"))
+    shards = shards.join(groups, (F.col("source_rank") == F.col("_gr")) & (F.col("_group") == F.col("_gg"))).drop("_gr", "_gg")
+    shards = apportion(shards, ["source_rank", "_group"], "shard", "shard_size", "group_quota") \
         .withColumn("_words", F.least(F.col("quota") * block, F.col("shard_size") * repeat)) \
         .select(F.col("source_rank").alias("_r"), F.col("shard").alias("_s"), "shard_size", "_words")
     place = Window.partitionBy("source_rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "_h"), "_h", "doc_id", "size")
@@ -123,21 +132,25 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, repeat: int = MAX
                     (F.col("turns") * F.col("size") + part).cast("long").alias("taken")))
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
+def mixed_documents(spark: SparkSession, docs: DataFrame, repeat: int = MAX_REPEAT, **kw) -> DataFrame:
     """The mix as documents: a document appears as often as the mix reads it, the part of a last turn rounded to
     a whole copy from half its words on; documents that are not read, or have no word, go. Columns as in ``docs``."""
-    key = ["_id", "_source", "_size"]
+    key, turns = ["_id", "_source", "_size"], range(1, repeat + 1)
     hashed = F.xxhash64(*key)
-    # rows with equal id, source and size are numbered on both sides; one shuffle of the texts, by a hash of the three
+    # rows with equal id, source and size are numbered; one shuffle of the texts, by a hash of the three
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"),
                         F.col("source").alias("_source"), word_count(F.col("text")).alias("_size")) \
         .withColumn("_key", hashed).where(F.col("_size") > 0).repartition("_key")
     whole = whole.withColumn("_k", F.row_number().over(Window.partitionBy("_key", *key).orderBy(F.xxhash64("_doc.text"))))
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    read = mix(spark, docs, **kw).where(F.col("size") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies.alias("_copies")) \
-        .withColumn("_key", hashed)
-    read = read.withColumn("_k", F.row_number().over(Window.partitionBy("_key", *key).orderBy(F.desc("_copies")))) \
-        .where(F.col("_copies") > 0).select(*[F.col(c).alias(f"{c}2") for c in ("_key", "_k", *key)], "_copies")
-    same = (F.col("_key") == F.col("_key2")) & (F.col("_k") <= F.col("_k2")) & (F.col("_k") >= F.col("_k2"))
-    return whole.join(read, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
+    # how many of the rows with equal id, source and size are read once, twice, ... at least: one row for all of them
+    read = mix(spark, docs, repeat=repeat, **kw).where(F.col("size") > 0).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies.alias("_copies"))
+    read = read.groupBy(*key).agg(*[F.count(F.when(F.col("_copies") >= c, 1)).alias(f"_n{c}") for c in turns]) \
+        .where(F.col("_n1") > 0).withColumn("_key", hashed).withColumnsRenamed({c: f"{c}2" for c in ("_key", *key)})
+    # the texts stay where the hash of the three put them, so the three are compared beside the join key, not as join keys
+    same = F.col("_key") == F.col("_key2")
+    for c in key:
+        same = same & F.coalesce(F.col(c) == F.col(f"{c}2"), F.col(c).isNull() & F.col(f"{c}2").isNull())
+    copies = sum(((F.col("_k") <= F.col(f"_n{c}")).cast("int") for c in turns), F.lit(0))
+    return whole.join(read, same).withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select("_doc.*")

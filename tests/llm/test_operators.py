@@ -205,6 +205,42 @@ def test_apportion_is_sainte_lague(spark):
         assert [got[i] for i in range(12)] == won
 
 
+def test_quotas_in_groups_of_shards_and_empty_texts(spark, docs):
+    """More shards than a group holds: targets, caps and reruns hold as with one group; texts without words are never taken."""
+    some = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**10))
+    kw = {"shard_words": 64, "group_shards": 3}
+    got = mixing.mix(spark, some, **kw).collect()
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+    taken, target, shards = Counter(), {}, Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        shards[r.source] += -(-r["size"] // 64)
+    assert max(shards.values()) > 50
+    for s, t in target.items():  # what shards lose to their own limit of three turns
+        assert taken[s] <= t + mixing.BLOCK_WORDS + 1 and taken[s] >= 0.95 * t - mixing.BLOCK_WORDS
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(spark, some.repartition(5), **kw).collect()))
+    empty = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", None, 0), (2, " ", "en", None, 0)], DOC)
+    assert [(r.taken, r.target) for r in mixing.mix(spark, empty).collect()] == [(0, 0.0)] * 3
+    assert mixing.mixed_documents(spark, empty).collect() == []
+
+
+def test_mixed_documents_are_read_as_often_as_taken(spark, docs):
+    """Many equal rows, null ids and sources: as many copies as the mix takes, without a comparison of all pairs."""
+    same = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("v w x").alias("text"), F.lit("en").alias("lang"),
+                                    F.lit(None).cast("string").alias("source"), F.lit(5).cast("long").alias("n_chars"))
+    both = docs.select(same.columns).unionByName(same).unionByName(same.withColumn("doc_id", F.lit(None).cast("long")).limit(50))
+    want: Counter = Counter()
+    for r in mixing.mix(spark, both).collect():
+        if r["size"]:
+            want[(r.doc_id, r.source, r["size"])] += (2 * r.taken + r["size"]) // (2 * r["size"])
+    out = mixing.mixed_documents(spark, both)
+    got = Counter((r.doc_id, r.source, len(words(r.text))) for r in out.collect())
+    assert got == +want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_key" in plan and not re.search(r"hashpartitioning\([^,]*coalesce", plan)  # texts are dealt once
+
+
 def test_mixed_documents_columns(spark, docs):
     out = mixing.mixed_documents(spark, docs)
     assert out.columns == docs.columns and out.subtract(docs).count() == 0
