@@ -1,14 +1,15 @@
 """Deterministic sharded WARC writer and reader.
 
-``plan_shards`` cuts the page_id order into shards of about ``shard_bytes`` payload
-bytes by a histogram of at most ``BINS`` id ranges, so that the shards are a
-function of the table alone. Every page goes once through the shuffle to its
-shard; the row that names its response (from a slim aggregate over digests) goes with it
-and sorts before it, so no payload is joined. A task writes its shard in
+``cut_points`` cuts the page_id order into shards of about ``shard_bytes`` payload bytes: exact running sums over
+(id, bytes) rows sorted by range, so that the cuts are a function of the table alone, however its ids are spread. The cuts,
+one id per shard (8 bytes for ``shard_bytes`` of payload), are written to the shared folder and looked up by the tasks. Every
+page goes once through the shuffle, to the task of its shard; the row that names its response (from a slim
+aggregate over digests) goes with it and sorts before it, so no payload is joined. A task writes its shard in
 page_id order as gzip members, starts a new file when the compressed size
 passes ``roll_bytes``, writes to temporary names, renames, and returns manifest rows;
 the manifest (written by Spark, with its commit) alone says which files count. A task that runs
-again writes equal bytes to equal names.
+again writes equal bytes to equal names; what failed attempts left is removed after the commit. Rows of one page_id
+(or of none) are not cut: they share a shard.
 
 Of records with equal payloads of at least ``min_revisit_bytes`` bytes the largest page_id
 is the response and the others are revisits of it.
@@ -27,18 +28,24 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfage.llm.common import commit_file, filesystem
+from shelfage.llm.common import commit_file, filesystem, giving_back
 from shelfage.session import scratch_path
 
-BINS = 1 << 14
+TASKS = 100_000         # that write or read files; with more shards or files a task takes several
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
 DATE = "2001-01-01T00:00:00Z"   # a fixed date keeps the archive a function of its input
+TEMPORARY = "_temporary"        # folder of files that are being written
 NO_ID = -(1 << 63)              # sort position of rows without an id
 
 MANIFEST = "path string, shard long, seq int, records long, bytes long, first_id long, last_id long"
@@ -46,29 +53,50 @@ RECORD = ("page_id long, payload_bytes long, payload_digest string, record_type
           "verified boolean, path string, offset long")
 
 
-def plan_shards(spark: SparkSession, pages: DataFrame, shard_bytes: int) -> DataFrame:
-    """Adds ``shard`` to the pages. A bin wider than a shard's bytes is a shard of its own."""
-    ends = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (ends[0] or 0), (ends[1] or 0)
-    width = (high - low) // BINS + 1
-    bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
+def _id():
+    return F.coalesce(F.col("page_id"), F.lit(NO_ID))
+
+
+def cut_points(spark: SparkSession, pages: DataFrame, shard_bytes: int) -> tuple[str, int]:
+    """The smallest id of each shard as a table in the shared folder, and the number of shards."""
     size = F.coalesce(F.octet_length("html"), F.lit(0)) + 256
-    hist = pages.groupBy(bin_of.alias("bin")).agg(F.sum(size).alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("bin")) - F.col("bytes")
-    # at most BINS + 1 rows whatever the input
-    cuts = hist.select("bin", F.floor(before / shard_bytes).cast("long").alias("shard"))
-    return pages.withColumn("bin", bin_of).join(F.broadcast(cuts), "bin").drop("bin")
+    slim, cuts = scratch_path(spark, "warc-sizes"), scratch_path(spark, "warc-cuts")
+    pages.groupBy(_id().alias("id")).agg(F.sum(size).cast("long").alias("bytes")).repartitionByRange("id") \
+        .withColumn("part", F.spark_partition_id()).write.parquet(slim)
+    ids = spark.read.parquet(slim)
+    # one row per range of ids
+    ranges = ids.groupBy("part").agg(F.min("id").alias("low"), F.sum("bytes").alias("all"))
+    base = (F.sum("all").over(Window.orderBy("low")) - F.col("all")).alias("base")
+    before = F.sum("bytes").over(Window.partitionBy("part").orderBy("id")) - F.col("bytes") + F.col("base")
+    ids.join(ranges.select("part", base), "part").select("id", F.floor(before / F.lit(shard_bytes)).alias("cut")) \
+        .groupBy("cut").agg(F.min("id").alias("first_id")).select("first_id").write.parquet(cuts)
+    return cuts, spark.read.parquet(cuts).count()
+
+
+@lru_cache(maxsize=1)
+def _first_ids(cuts: str) -> np.ndarray:
+    fs, root = filesystem(cuts)
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
+    return np.sort(np.concatenate([np.zeros(0, np.int64)] + [pq.read_table(f, filesystem=fs).column(0).to_numpy() for f in files]))
+
+
+def _shard_of(cuts: str):
+    """Column function: the number of the shard of an id."""
+    @F.pandas_udf("long")
+    def shard(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(_first_ids(cuts), ids.to_numpy(), side="right") - 1)
+    return shard
 
 
 def responses(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     """(page_id, refers_to) of the pages that revisit another one; slim rows, digests pre-aggregated before the shuffle."""
-    slim = pages.select("page_id", "shard", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"),
+    slim = pages.select("page_id", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"),
                         F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")).where(F.col("size") >= min_revisit_bytes)
     best = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")) \
         .where("n > 1").select(F.col("digest").alias("d"), "refers_to")
     out = slim.join(best, F.col("digest") == F.col("d"))
     return out.where(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))) \
-        .select("page_id", "shard", "refers_to", "digest")
+        .select("page_id", "refers_to", "digest")
 
 
 def _digest(payload: bytes) -> str:
@@ -123,7 +151,7 @@ def _writer(folder: str, roll_bytes: int):
                     seq = seq + 1 if sh == shard else 0
                     shard = sh
                 if out is None:
-                    temporary = f"{root}/_temporary-{uuid.uuid4().hex}"
+                    temporary = f"{root}/{TEMPORARY}/{uuid.uuid4().hex}"
                     out = [fs.open_output_stream(temporary), temporary, 0, 0, pid, pid]
                 data = record_bytes(pid, cols[3][i].as_py(), payload, refers)
                 out[0].write(data)
@@ -139,19 +167,23 @@ def write_archive(spark: SparkSession, pages: DataFrame, folder: str, min_revisi
                   shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the pages below ``folder`` and returns the committed manifest."""
     fs, root = filesystem(folder)
-    fs.create_dir(root, recursive=True)
-    pages = plan_shards(spark, pages.select("page_id", "url", "html"), shard_bytes)
-    rows = pages.select("shard", "page_id", F.lit(1).alias("tag"), "url", "html",
+    fs.create_dir(f"{root}/{TEMPORARY}", recursive=True)
+    pages = pages.select("page_id", "url", "html")
+    cuts, n_shards = cut_points(spark, pages, shard_bytes)
+    rows = pages.select("page_id", F.lit(1).alias("tag"), "url", "html",
                         F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("digest"))
     # several answers for one page_id (equal ids, different payloads) sort next to their payloads by digest
     answers = responses(pages, min_revisit_bytes).distinct().select(
-        "shard", "page_id", F.lit(0).alias("tag"), F.lit(None).cast("string").alias("url"),
+        "page_id", F.lit(0).alias("tag"), F.lit(None).cast("string").alias("url"),
         F.lit(None).cast("string").alias("html"), "refers_to", "digest")
     rows = rows.withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
-    dealt = rows.unionByName(answers).repartition("shard") \
+    tasks = max(1, min(n_shards, TASKS))
+    dealt = rows.unionByName(answers).withColumn("shard", _shard_of(cuts)(_id())) \
+        .repartitionById(tasks, F.floor(F.col("shard") * tasks / max(1, n_shards)).cast("int")) \
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "tag", "url")
     manifest = f"{folder.rstrip('/')}/manifest"
-    dealt.mapInArrow(_writer(folder, roll_bytes), MANIFEST).write.parquet(manifest)
+    dealt.mapInArrow(giving_back(_writer(folder, roll_bytes)), MANIFEST).write.parquet(manifest)
+    fs.delete_dir(f"{root}/{TEMPORARY}")
     return spark.read.parquet(manifest)
 
 
@@ -202,7 +234,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archive(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One row per record of the files that the manifest names; every digest is recomputed and checked."""
-    return manifest.select("path").repartition("path").mapInArrow(_reader, RECORD)
+    return manifest.select("path").repartitionByRange(max(1, min(manifest.count(), TASKS)), "path").mapInArrow(giving_back(_reader), RECORD)
 
 
 def roundtrip(spark: SparkSession, pages: DataFrame, **kw) -> DataFrame:

@@ -166,6 +166,35 @@ def test_warc_files_are_a_function_of_the_table(spark, tmp_path):
     assert files[0] == files[1] and len(files[0]) > 2
 
 
+def test_warc_shards_hold_equal_bytes_however_ids_are_spread(spark, tmp_path):
+    """A far id, ids in a row, and a skewed spread: shards near ``shard_bytes``, one task each, read back by as many tasks as files."""
+    html = F.repeat(F.lit("x"), 744)
+    pages = spark.range(1000).select(F.when(F.col("id") == 999, F.lit(1 << 62)).when(F.col("id") < 500, F.col("id"))
+                                     .otherwise(F.col("id") * F.col("id") * 1000).alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html"))
+    manifest = warc.write_archive(spark, pages, str(tmp_path / "a"), min_revisit_bytes=1 << 40, shard_bytes=100_000)
+    sizes = Counter()
+    for r in manifest.collect():
+        sizes[r.shard] += 1000 * r.records
+    assert sorted(sizes) == list(range(10)) and set(sizes.values()) == {100_000}
+    back = warc.read_archive(spark, manifest)
+    assert back.rdd.getNumPartitions() == manifest.count() == 10 and back.count() == 1000
+    assert not (tmp_path / "a" / warc.TEMPORARY).exists()
+
+
+def test_warc_repeated_ids_and_long_payloads(spark):
+    long = "é" * 3_000_000
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, None, "b"), (2, "u", "a"), (2, "v", "c"), (3, "w", long), (4, "w", long), (None, "n", "b"), (None, "n", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.roundtrip(spark, pages, shard_bytes=1000).collect())
+    want: Counter = Counter()
+    for i, _, h in rows:
+        data = (h or "").encode()
+        top = max((j for j, _, k in rows if j is not None and (k or "") == (h or "")), default=None)
+        first = top is None or i == top
+        want[(i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first else top)] += 1
+    assert got == want
+
+
 def test_mix_targets_and_reruns(spark, docs, rows):
     got = mixing.mix(spark, docs).collect()
     assert Counter(r["size"] for r in got) == Counter(len(words(s)) for _, s in rows)
