@@ -99,6 +99,43 @@ SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(edited) AS edited_sh
   CAST({_ALIKE.format(a='h0', b='h2')} AS DOUBLE) AS near_next, next_doc_id FROM h""".replace("\x20\x09-\x0D", r"\x20\x09-\x0D")
 
 
+_SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+# all pairs with a common shingle, counted; components by reachability
+_OP1 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_SPACE_WORDS.format(_LOWER.format('text'))} AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS sh FROM d),
+t AS (SELECT r, len(sh) AS n, unnest(sh) AS x FROM s),
+c AS (SELECT a.r AS a, b.r AS b, a.n AS na, b.n AS nb, count(*) AS common FROM t a JOIN t b ON a.x = b.x AND a.r <> b.r
+      WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT a, b FROM c WHERE 100 * common >= 80 * (na + nb - common)),
+g AS (SELECT r, r AS q FROM s UNION SELECT g.r, e.b FROM g JOIN e ON e.a = g.q),
+m AS (SELECT g.r, min(s.doc_id) AS component_id FROM g JOIN s ON s.r = g.q GROUP BY g.r)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (r)"""
+
+# base32: five hexadecimal digits are four characters
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS best, sha1(t) AS h FROM p)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM best AND best IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to FROM b"""
+
+# every window's words as one string, and the smallest document that starts it
+_OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPACE_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+o AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS s
+      FROM d WHERE len(w) >= 13),
+m AS (SELECT s, min(doc_id) AS least FROM o GROUP BY s),
+g AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 13)) AS j FROM o JOIN m USING (s) WHERE doc_id > least)),
+p AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS kept FROM p ANTI JOIN g USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
+
 def _op12() -> str:
     """Every vector against every centroid, three rounds spelled out."""
     def assigned(r: int) -> str:
@@ -178,7 +215,10 @@ hi AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
-            "op11_document_fingerprints": _OP11,
+        "op1_minhash_near_dedup": _OP1,
+        "op3_warc": _OP3,
+        "op9_substring_dedup": _OP9,
+        "op11_document_fingerprints": _OP11,
         "op12_centroid_clustering": _op12(),
         "op13_source_divergence": _OP13,
     }
