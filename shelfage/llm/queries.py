@@ -123,6 +123,22 @@ SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id IS DISTINCT FROM best AND best IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to FROM b"""
 
+# every 50-byte string (as hexadecimal digits, cut from chunks that overlap), and the smallest document that starts it
+_OP7 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, doc_id, b, substr(x, 2 * b + 1, 1122) AS y FROM (SELECT r, doc_id, x, unnest(range(0, len(x) // 2, 512)) AS b FROM d)),
+o AS (SELECT r, doc_id, b + unnest(range(0, l)) AS i, unnest(list_transform(range(0, l), lambda j: substr(y, 2 * j + 1, 100))) AS s
+      FROM (SELECT *, least(512, len(y) // 2 - 49) AS l FROM c) WHERE l > 0),
+m AS (SELECT s, min(doc_id) AS least FROM o GROUP BY s),
+h AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS fresh FROM o JOIN m USING (s) WHERE doc_id > m.least),
+u AS (SELECT r, min(i) AS a, max(i) + 50 AS z FROM (SELECT r, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS run FROM h) GROUP BY r, run),
+q AS (SELECT r, a, z, a AS upto, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM u
+      UNION ALL SELECT d.r, NULL, NULL, any_value(len(x)) // 2, coalesce(max(z), 0) FROM d LEFT JOIN u ON u.r = d.r GROUP BY d.r),
+k AS (SELECT q.r, string_agg(substr(x, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since) AS kept, coalesce(sum(z - a), 0) AS gone, count(a) AS spans
+      FROM q JOIN d ON d.r = q.r GROUP BY q.r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+  sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k ON k.r = d.r"""
+
 # every window's words as one string, and the smallest document that starts it
 _OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPACE_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -217,6 +233,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
         "op1_minhash_near_dedup": _OP1,
         "op3_warc": _OP3,
+        "op7_suffix_dedup": _OP7,
         "op9_substring_dedup": _OP9,
         "op11_document_fingerprints": _OP11,
         "op12_centroid_clustering": _op12(),
