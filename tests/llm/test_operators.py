@@ -479,3 +479,21 @@ def test_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert len(out) == kept.count() and corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_on_null_repeated_and_empty_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows and very long texts pass all stages; documents without a letter go; no rows give no rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, some in (("edges", docs.unionByName(spark.createDataFrame(EDGES, DOC).select(docs.columns))), ("empty", docs.limit(0))):
+        some.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "edges"))
+    got = out.collect()
+    ids = {r.doc_id for r in docs.select("doc_id").collect()} | {i for i, *_ in EDGES}
+    assert got and {r.doc_id for r in got} <= ids - {10**9, 10**9 + 1, 10**9 + 2}
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    nothing = corpus_pipeline.run(spark, str(tmp_path / "empty"))
+    assert nothing.columns == out.columns and nothing.collect() == []
