@@ -419,6 +419,33 @@ def test_exact_top_k(spark):
     assert topk.top_k(topk.scaled(both.limit(0)), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_top_k_on_vectors_of_other_lengths_and_clashing_columns(spark):
+    rows = [(20, [1.0, 2.0], "q"), (1, [1.0, 1.0], "a"), (2, [1.0, 1.0, 1.0], "a"), (3, [], "a"), (40, [], "a"), (60, [1.0, 0.0, 5.0], "a")]
+    got = topk.top_k(topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string"), 1), F.col("vec_id") % 20 == 0, k=3)
+    assert Counter(map(tuple, got.collect())) == Counter([(20, 1, 1, 3), (40, 1, 3, 0), (60, 1, 2, 6)])
+
+
+@pytest.mark.parametrize("spread, most_read, most_resolved", [(2.0, 0.5, 0.05), (0.0, 0.95, 0.2)])
+def test_top_k_stops_before_the_ends_of_its_lists(spark, spread, most_read, most_resolved):
+    """Vectors of uneven length let most queries stop early; even ones stop too, later. Both find the same as the whole product."""
+    rng = np.random.default_rng(5)
+    x = np.floor(40 * rng.standard_normal((3000, 16)) * np.exp(spread * rng.standard_normal((3000, 1)))).astype(int)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<long>")
+    args = (vectors, F.col("vec_id") % 20 == 0)
+    size = {"k": 5, "query_block": 64, "candidate_block": 512}
+    want = Counter()
+    for i in range(0, 3000, 20):
+        s = x @ x[i]
+        best = [j for j in np.lexsort((np.arange(3000), -s)) if j != i][:5]
+        want.update((i, r + 1, int(j), int(s[j])) for r, j in enumerate(best))
+    assert want == Counter(map(tuple, topk.top_k(*args, **size).collect()))
+    cost = topk.reading(*args, **size).collect()
+    places, read, resolved = (sum(r[c] for r in cost) for c in ("places", "read", "resolved"))
+    zeros = int((x[::20] == 0).sum())                     # lists of weight 0 are not read
+    assert len(cost) == 150 and places == 3000 * (16 * 150 - zeros)
+    assert read < most_read * places and resolved < most_resolved * 3000 * 150
+
+
 def test_benchmark_windows(spark, docs, rows):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     bench = bench.unionByName(spark.createDataFrame([(900, "the of"), (901, None), (902, "!!"), (903, "Qqq"), (904, "q"), (904, "q")], bench.schema))
