@@ -9,8 +9,9 @@ occurrences are located by stepping to the next sampled position, and their span
 document. Every document is in one shard, so nothing is shuffled and memory is bounded by a shard
 and by a block of the benchmark.
 
-The benchmark is read in blocks of about ``BLOCK_BYTES``, each prepared once and written to the shared folder;
-a task loads one block at a time.
+The benchmark's distinct rows are dealt into blocks of about ``BLOCK_BYTES``, whatever item they belong to; executors prepare each
+block once and write it to the shared folder. A task holds one block at a time; where there are several, each load
+serves ``SLICES_PER_LOAD`` shards. Words are compared by a 64-bit hash of their bytes.
 
 Defined cases: null or wordless texts have no words and no hits; a null item_id counts as an item named by the
 empty string; rows with equal item_id are one item; an empty benchmark or document table works;
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfage.llm.common import alnum_words, filesystem, giving_back, slices, text_buffer, token_bounds, word_hashes
+from shelfage.llm.common import alnum_words, commit_file, filesystem, giving_back, slices, text_buffer, token_bounds, word_hashes
 from shelfage.session import scratch_path
 
 WINDOW = 10
 SHARD_BYTES = (4 << 20) - 16
 BLOCK_BYTES = 8 << 20
 SAMPLE = 8
+SLICES_PER_LOAD = 8
 
 HITS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
 
@@ -72,24 +75,33 @@ def prepare(ids: list, texts: pa.Array, window: int) -> dict[str, np.ndarray]:
             "names": np.array(names, dtype=str)}
 
 
+def _write_block(folder: str, window: int):
+    """Prepares one block and writes it under a name of its own attempt, renamed when whole."""
+    def run(table: pa.Table) -> pa.Table:
+        texts = pa.concat_arrays(table.column("text").chunks).cast(pa.string())
+        buffer = io.BytesIO()
+        np.savez(buffer, **prepare(table.column("item_id").to_pylist(), texts, window))
+        fs, root = filesystem(folder)
+        name = f"block-{table.column('block')[0].as_py():08d}.npz"
+        attempt = f"{root.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
+        with fs.open_output_stream(attempt) as f:
+            f.write(buffer.getvalue())
+        commit_file(fs, attempt, f"{root.rstrip('/')}/{name}")
+        return pa.table({"path": [f"{folder.rstrip('/')}/{name}"]})
+    return run
+
+
 def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes: int) -> list[str]:
-    """Prepares the benchmark block by block; returns the files' paths in the shared folder."""
+    """Prepares the benchmark in blocks on the executors; returns the files' paths in the shared folder (one per ``block_bytes``)."""
     folder = scratch_path(spark, "benchmark")
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    benchmark = benchmark.select("item_id", "text")
+    benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.length("text") > 0)
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // block_bytes + 1
-    paths = []
-    for k in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # about block_bytes
-        if rows:
-            buffer = io.BytesIO()
-            np.savez(buffer, **prepare([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), window))
-            paths.append(f"{root}/block-{k:05d}.npz")
-            with fs.open_output_stream(paths[-1]) as f:
-                f.write(buffer.getvalue())
-    return [f"{folder.rstrip('/')}/{p.rpartition('/')[2]}" for p in paths]
+    # the rows of an item may lie in several blocks: its name then comes from each of them
+    blocks = benchmark.distinct().withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    return sorted(r["path"] for r in blocks.groupBy("block").applyInArrow(_write_block(folder, window), "path string").collect())
 
 
 # ---------------------------------------------------------------- the index of a shard
@@ -223,20 +235,31 @@ def _searched(batches: Iterator[pa.RecordBatch], paths: list[str], column: str)
                 loaded[path] = dict(np.load(io.BytesIO(f.read())))
         return loaded[path]
 
-    for batch in batches:
-        for piece in slices(batch, column, SHARD_BYTES):
-            words, before = _words(*text_buffer(piece.column(column)))
-            edge = np.zeros(len(words) + 1, np.int64)
-            items: list[set] = [set() for _ in range(piece.num_rows)]
-            for path in paths:
-                b = block(path)
+    def search(pieces: list[pa.RecordBatch]) -> Iterator[tuple]:
+        shards = [_words(*text_buffer(piece.column(column))) for piece in pieces]
+        edges = [np.zeros(len(words) + 1, np.int64) for words, _ in shards]
+        items: list[list[set]] = [[set() for _ in range(piece.num_rows)] for piece in pieces]
+        for path in paths:
+            b = block(path)
+            for (words, before), edge, some in zip(shards, edges, items):
                 start, length, which = find(words, before, b)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + length, -1)
                 doc = np.searchsorted(before, start, side="right") - 1
                 for d, w in np.unique(np.stack([doc, which], axis=1), axis=0).tolist():
-                    items[d].update(b["names"][b["items"][b["first"][w]: b["first"][w + 1]]].tolist())
-            yield piece, before, np.cumsum(edge[:-1]) > 0, items
+                    some[d].update(b["names"][b["items"][b["first"][w]: b["first"][w + 1]]].tolist())
+        for piece, (_, before), edge, some in zip(pieces, shards, edges, items):
+            yield piece, before, np.cumsum(edge[:-1]) > 0, some
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for piece in slices(batch, column, SHARD_BYTES):
+            held.append(piece)
+            if len(paths) < 2 or len(held) == SLICES_PER_LOAD:
+                yield from search(held)
+                held = []
+    if held:
+        yield from search(held)
 
 
 def _counts(hit: np.ndarray, before: np.ndarray) -> np.ndarray:

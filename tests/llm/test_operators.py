@@ -448,13 +448,14 @@ def test_top_k_stops_before_the_ends_of_its_lists(spark, spread, most_read, most
 
 def test_benchmark_windows(spark, docs, rows):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    bench = bench.unionByName(spark.createDataFrame([(900, "the of"), (901, None), (902, "!!"), (903, "Qqq"), (904, "q"), (904, "q")], bench.schema))
+    bench = bench.unionByName(spark.createDataFrame([(900, "the of"), (901, None), (902, "!!"), (903, "Qqq"), (904, "q"), (904, "q"),
+                                                       (None, "z z"), (905, "z " * 12), (905, "a " * 30), (906, "a " * 30)], bench.schema))
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     window: dict = {}
     for r in bench.collect():
         w = words(lower(r.text), pattern)
         for k in range(max(len(w) - 9, 1) if w else 0):
-            window.setdefault(tuple(w[k: k + 10]), set()).add(str(r.item_id))
+            window.setdefault(tuple(w[k: k + 10]), set()).add("" if r.item_id is None else str(r.item_id))
     want = Counter()
     for i, s in rows:
         w = words(lower(s), pattern)
@@ -468,6 +469,8 @@ def test_benchmark_windows(spark, docs, rows):
     for block in (1 << 20, 2000):
         got = decontaminate.scan(spark, docs, bench, block_bytes=block).drop("spans").collect()
         assert want == Counter(map(tuple, got))
+    clashing = bench.withColumn("block", F.lit("x")).withColumn("path", F.lit(1))
+    assert want == Counter(map(tuple, decontaminate.scan(spark, docs, clashing).drop("spans").collect()))
     assert decontaminate.clean(spark, docs, bench.limit(0)).count() == docs.count()
     assert decontaminate.scan(spark, docs.limit(0), bench).collect() == []
 
