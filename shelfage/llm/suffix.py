@@ -9,10 +9,10 @@ suffixes at anchors, and only among anchors with equal grams, wherever they are:
 2. for those anchors the slices send the text around them (34 bytes before, 50 from the anchor on, within the document), each distinct
    context once with its smallest doc_id. A bucket sorts the suffixes at its anchors (suffix array), takes the
    common prefixes of neighbours (LCP) and scans them with a stack, which yields the tree of common-prefix
-   intervals. An interval of depth r with occurrences whose left extensions agree on l bytes is a repeat of l + r bytes
-   with all its occurrences; where the left extensions differ, the interval splits by them. For each context the bucket answers
-   which of its 35 strings occur in a smaller document;
-3. the slices cover the bytes and digest what is left.
+   intervals. The bytes before the anchors of an interval are scanned the same way: members that agree on l bytes to the left
+   and r to the right, and on no more on either side, are a maximal repeat of l + r bytes with all its occurrences
+   (``maximal_groups``). From these groups the bucket answers for each context which of its 35 strings occur in a smaller document;
+3. the slices cover the bytes and digest what is left; ``repeat_groups`` puts out the groups with every place instead.
 
 Memory is bounded by a slice and a bucket; equal contexts of a slice travel once, so a passage that a third of
 the documents share costs an entry a slice.
@@ -86,10 +86,12 @@ class Slice:
         self.group = np.cumsum(new) - 1
         self.bucket, self.rest = chunks.bucketed(h[self.first], buckets)
 
-    def several(self) -> np.ndarray:
-        """Bit of each distinct hash: more than one doc_id of this slice has it."""
+    def several(self, within: bool = False) -> np.ndarray:
+        """Bit of each distinct hash: more than one doc_id (``within``: place) of this slice has it."""
         if not len(self.at):
             return np.zeros(0, bool)
+        if within:
+            return np.bincount(self.group) > 1
         ids = self.ids[self.doc]
         return np.minimum.reduceat(ids, self.first) != np.maximum.reduceat(ids, self.first)
 
@@ -138,13 +140,13 @@ def _row_rank(table: np.ndarray) -> np.ndarray:
     return h
 
 
-def _send_anchors(length: int, gram: int, buckets: int):
+def _send_anchors(length: int, gram: int, buckets: int, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, path in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
                 for number, _, piece in chunks.read_slices(path):
                     s = Slice(piece, length, gram, buckets)
-                    several = s.several()
+                    several = s.several(within)
                     yield chunks.messages([(file, path, number, bucket, 0, chunks.pack(s.rest[a:b], True), np.packbits(several[a:b]).tobytes(), None)
                                            for bucket, a, b in chunks.bucket_ranges(s.bucket)])
     return run
@@ -209,53 +211,64 @@ def interval_tree(lcp: list[int], least: int) -> Iterator[tuple[int, int, int, i
             stack.append((depth, left))
 
 
+def _common(x: bytes, y: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    lo = 0
+    while n - lo > 1:
+        mid = (lo + n) // 2
+        lo, n = (mid, n) if x[:mid] == y[:mid] else (lo, mid)
+    return lo
+
+
+def maximal_groups(rows: list[tuple[bytes, bytes, int]], length: int, gram: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Maximal repeats of at least ``length`` bytes around one anchor: (bytes before it, bytes from it on, members).
+
+    ``rows``: distinct contexts (bytes from the anchor on, bytes before it reversed, smallest doc_id). Members are all contexts that hold the
+    repeat; no byte more is common to all of them on either side, as far as contexts reach.
+    """
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])       # the suffix array
+    lcp = [0, *(_common(rows[a][0], rows[b][0]) for a, b in zip(order, order[1:]))]
+    for depth, _, first, last in interval_tree(lcp, gram):
+        need = max(length - depth, 0)
+        members = order[first: last + 1]
+        if len(members) == 2:
+            # a pair: one repeat, as far as both agree
+            back = _common(rows[members[0]][1], rows[members[1]][1])
+            if back >= need:
+                yield back, depth, members
+            continue
+        # left extensions: the same scan over the sorted bytes before the anchor
+        members.sort(key=lambda m: rows[m][1])
+        agree = [0, *(_common(rows[i][1], rows[k][1]) for i, k in zip(members, members[1:]))]
+        if need == 0 and min(agree[1:]) == 0:
+            yield 0, depth, members
+        for back, _, a, z in interval_tree(agree, max(need, 1)):
+            some = members[a: z + 1]
+            # members that agree on a byte more to the right are a group of a deeper interval
+            after = {rows[m][0][depth: depth + 1] for m in some}
+            if len(after) > 1 or b"" in after:
+                yield back, depth, some
+
+
 def repeat_masks(rows: list[tuple[bytes, bytes, int]], length: int, gram: int) -> list[int]:
-    """Contexts (bytes from the anchor on, bytes before it reversed, smallest doc_id) of one anchor, distinct.
+    """Of the contexts of one anchor, from their maximal groups.
 
     Bit j of a context's mask: the string that starts length - gram - j bytes before the anchor also occurs in a
     context with a smaller doc_id.
     """
-    order = sorted(range(len(rows)), key=lambda i: rows[i][0])       # the suffix array
-    lcp = [0]
-    for a, b in zip(order, order[1:]):
-        x, y = rows[a][0], rows[b][0]
-        n = min(len(x), len(y))
-        k = 0
-        if x[:n] == y[:n]:
-            k = n
-        else:
-            lo, hi = 0, n
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if x[:mid] == y[:mid] else (lo, mid - 1)
-            k = lo
-        lcp.append(k)
     masks = [0] * len(rows)
-    for depth, parent, first, last in interval_tree(lcp, gram):
-        # the strings that reach parent + 1 .. depth bytes beyond the anchor occur at the same suffixes
-        reach = range(max(parent + 1, gram), min(depth, length) + 1)
-        if not reach:
-            continue
-        members = order[first: last + 1]
-        longest = length - reach[0]
-        lead = rows[members[0]][1][:longest]
-        if len(lead) == longest and all(rows[m][1][:longest] == lead for m in members):
-            # not left-diverse: one repeat with all suffixes of the interval
+    for back, depth, members in maximal_groups(rows, length, gram):
+        # strings of ``length`` bytes within the repeat: gram + j bytes of them lie beyond the anchor
+        low, high = max(length - back, gram), min(depth, length)
+        if low <= high:
             least = min(rows[m][2] for m in members)
-            bits = sum(1 << (r - gram) for r in reach)
+            bits = (1 << (high - gram + 1)) - (1 << (low - gram))
             for m in members:
                 if rows[m][2] > least:
                     masks[m] |= bits
-            continue
-        members.sort(key=lambda m: rows[m][1])
-        for r in reach:
-            need = length - r
-            for _, same in groupby((m for m in members if len(rows[m][1]) >= need), key=lambda m: rows[m][1][:need]):
-                same = list(same)
-                least = min(rows[m][2] for m in same)
-                for m in same:
-                    if rows[m][2] > least:
-                        masks[m] |= 1 << (r - gram)
     return masks
 
 
@@ -303,6 +316,78 @@ def _trees(length: int, gram: int):
     return run
 
 
+def _context_groups(length: int, gram: int):
+    """The maximal groups of a bucket's anchors, sent to every slice that holds a member: context, bytes before and from the anchor on, group."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        width = 2 * length - gram + 2
+        mid = length - gram
+        size = [len(r["more"]) // width for r in rows]
+        context = np.concatenate([np.frombuffer(r["more"], np.uint8).reshape(-1, width) for r in rows])
+        ids = np.concatenate([chunks.unpack(r["ids"], "<i8") for r in rows])
+        every = np.concatenate([chunks.unpack(r["data"], "<u4", True) for r in rows])
+        holders: dict[int, dict[bytes, list[int]]] = {}          # anchor: contexts: places in ``context``
+        for k, (h, raw) in enumerate(zip(every.tolist(), context)):
+            holders.setdefault(h, {}).setdefault(raw.tobytes(), []).append(k)
+        found: dict[int, list[tuple]] = {}
+        for some in holders.values():
+            keys = list(some)
+            sides = [(raw[mid: mid + raw[-1]], raw[mid - raw[-2]: mid][::-1], int(ids[some[raw]].min())) for raw in keys]
+            # equal contexts are members together; alone they are a group as wide as the context
+            groups = [*maximal_groups(sides, length, gram),
+                      *((len(before), len(after), [m]) for m, (after, before, _) in enumerate(sides) if len(before) + len(after) >= length)]
+            for back, depth, members in groups:
+                after, before, _ = sides[members[0]]
+                text = before[:back][::-1] + after[:depth]
+                at, _ = anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), length, gram)
+                # a group is complete where its own strings have this anchor
+                if back in at:
+                    name = hashlib.sha256(text).digest()[:16]
+                    open_ = (back == mid) + 2 * (depth == length)
+                    for m in members:
+                        for k in some[keys[m]]:
+                            found.setdefault(k, []).append((back, depth, open_, name))
+        out, at = [], 0
+        for r, n in zip(rows, size):
+            mine = [(k, *g) for k in range(n) for g in found.get(at + k, ())]
+            at += n
+            if mine:
+                numbers = np.array([g[:4] for g in mine], "<i4")
+                out.append((r["file"], r["path"], r["slice"], r["bucket"], 2, numbers.tobytes(), b"".join(g[4] for g in mine), None))
+        return chunks.message_table(out)
+    return run
+
+
+OCCURRENCE = "group string, n_bytes int, doc_id long, start long, open_left boolean, open_right boolean"
+
+
+def _occurrences(length: int, gram: int, buckets: int):
+    """Every place of every group in the documents of a file, slice by slice."""
+    def run(table: pa.Table) -> pa.Table:
+        shared, groups = _by_slice(table, 1), _by_slice(table, 2)
+        path = table.column("path")[0].as_py()
+        out: list[tuple] = []
+        for number, _, piece in chunks.read_slices(path):
+            if number not in groups:
+                continue
+            s = Slice(piece, length, gram, buckets)
+            pick, context, lead, _ = s.contexts(s.marked(shared[number]), length, gram)
+            order = np.argsort(context, kind="stable")
+            edge = np.searchsorted(context[order], np.arange(len(lead) + 1))
+            begin = {bucket: a for bucket, a, _ in chunks.bucket_ranges(s.bucket[s.group[lead]])}
+            for r in groups[number]:
+                numbers = np.frombuffer(r["data"], "<i4").reshape(-1, 4)
+                for g, (k, back, depth, open_) in enumerate(numbers.tolist()):
+                    name = r["more"][16 * g: 16 * g + 16].hex()
+                    c = begin[r["bucket"]] + k
+                    for i in pick[order[edge[c]: edge[c + 1]]].tolist():
+                        doc = s.doc[i]
+                        out.append((name, back + depth, piece.column(0)[int(doc)].as_py(), int(s.at[i] - s.off[doc] - back), bool(open_ & 1), bool(open_ & 2)))
+        return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(
+            (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], names=[x.split()[0] for x in OCCURRENCE.split(", ")])
+    return run
+
+
 def _cover(length: int, gram: int, buckets: int):
     names = [x.split()[0] for x in RESULT.split(", ")]
     types = [pa.int64() if x.split()[1] == "long" else pa.string() for x in RESULT.split(", ")]
@@ -355,16 +440,38 @@ def _cover(length: int, gram: int, buckets: int):
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
-                   bucket_bytes: int = chunks.BUCKET_BYTES) -> DataFrame:
-    """Per document: bytes, removed bytes, removed runs, digest of the kept bytes."""
+def _shared_anchors(spark: SparkSession, docs: DataFrame, length: int, gram: int, bucket_bytes: int, within: bool = False) -> tuple[chunks.Store, DataFrame, DataFrame]:
+    """The store, the answers which anchors of a slice are shared, and the contexts of those."""
     store = chunks.Store(spark, docs, bucket_bytes)
     args = (length, gram, store.buckets)
     answers = scratch_path(spark, "shared-anchors")
-    store.tasks().mapInArrow(_send_anchors(*args), chunks.MESSAGE).groupBy("bucket").applyInArrow(_shared, chunks.MESSAGE).write.parquet(answers)
+    store.tasks().mapInArrow(_send_anchors(*args, within), chunks.MESSAGE).groupBy("bucket").applyInArrow(_shared, chunks.MESSAGE).write.parquet(answers)
     shared = spark.read.parquet(answers)
-    masks = shared.groupBy("file").applyInArrow(_send_contexts(*args), chunks.MESSAGE) \
-        .groupBy("bucket").applyInArrow(_trees(length, gram), chunks.MESSAGE)
+    return store, shared, shared.groupBy("file").applyInArrow(_send_contexts(*args), chunks.MESSAGE)
+
+
+def repeat_groups(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = chunks.BUCKET_BYTES) -> DataFrame:
+    """The maximal repeats of at least ``length`` bytes, one row for each place: group, bytes, doc_id, first byte.
+
+    A repeat is seen as far as the context of its anchor; ``open_left`` and ``open_right`` tell that it reaches that end and may go
+    on there (the next anchor's group overlaps it). Rows of a group are all places where its bytes occur, in one document or several;
+    equal places of rows with equal doc_id are one.
+    """
+    store, shared, contexts = _shared_anchors(spark, docs, length, gram, bucket_bytes, within=True)
+    groups = contexts.groupBy("bucket").applyInArrow(_context_groups(length, gram), chunks.MESSAGE)
+    places = shared.unionByName(groups).groupBy("file").applyInArrow(_occurrences(length, gram, store.buckets), OCCURRENCE)
+    found = places.groupBy("group", "n_bytes", "doc_id", "start").agg(F.bool_or("open_left").alias("open_left"), F.bool_or("open_right").alias("open_right"))
+    # a context that one place alone has is no repeat
+    several = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("group")
+    return found.join(several, "group", "left_semi")
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
+                   bucket_bytes: int = chunks.BUCKET_BYTES) -> DataFrame:
+    """Per document: bytes, removed bytes, removed runs, digest of the kept bytes."""
+    store, shared, contexts = _shared_anchors(spark, docs, length, gram, bucket_bytes)
+    args = (length, gram, store.buckets)
+    masks = contexts.groupBy("bucket").applyInArrow(_trees(length, gram), chunks.MESSAGE)
     none = [F.lit(None).cast(t).alias(n) for n, t in (("slice", "int"), ("bucket", "long"))]
     every = store.files.select("file", "path", *none, F.lit(0).alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in ("data", "more", "ids")])
     return every.unionByName(shared).unionByName(masks).groupBy("file").applyInArrow(_cover(*args), RESULT)

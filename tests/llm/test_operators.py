@@ -375,6 +375,42 @@ def test_repeated_bytes(spark, docs, rows):
     assert suffix.remove_repeats(spark, both.limit(0)).collect() == []
 
 
+def test_repeat_groups_hold_all_their_places(spark):
+    rng = random.Random(8)
+    passage = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (52, 60, 70, 90, 140)]
+    texts = [None, "", "x" * 300, "yx" * 60, passage[0], passage[0]]
+    for _ in range(60):
+        texts.append("".join(rng.choice(passage) if rng.random() < 0.5 else "".join(rng.choice("ij") for _ in range(rng.randint(0, 8)))
+                             for _ in range(rng.randint(1, 5))))
+    docs = spark.createDataFrame([(i // 2 if i > 60 else i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, group string")
+    found: dict = {}
+    for r in suffix.repeat_groups(spark, docs, bucket_bytes=2000).collect():
+        found.setdefault(r.group, []).append(r)
+    by_id: dict = {}
+    for d in docs.collect():
+        by_id.setdefault(d.doc_id, []).append(d.text or "")
+    assert len(found) > 20
+    inside = set()
+    for places in found.values():
+        n = places[0].n_bytes
+        text = {t[r.start: r.start + n] for r in places for t in by_id[r.doc_id]}
+        text = next(x for x in text if len(x) == n and all(any(t[r.start: r.start + n] == x for t in by_id[r.doc_id]) for r in places))
+        want = {(i, k) for i, some in by_id.items() for t in some for k in range(len(t) - n + 1) if t.startswith(text, k)}
+        assert n >= 50 and {(r.doc_id, r.start) for r in places} == want
+        sides = [(t[k - 1: k] if k else "", t[k + n: k + n + 1]) for i, k in want for t in by_id[i] if t.startswith(text, k)]
+        for side, is_open in enumerate((any(r.open_left for r in places), any(r.open_right for r in places))):
+            assert is_open or len({x[side] for x in sides}) > 1 or sides[0][side] == ""
+        inside.update(text[k: k + 50] for k in range(n - 49))
+    # every string of 50 bytes at two places lies in a group
+    at: dict = {}
+    for i, some in by_id.items():
+        for t in some:
+            for k in range(len(t) - 49):
+                at.setdefault(t[k: k + 50], set()).add((i, k))
+    assert inside == {x for x, places in at.items() if len(places) > 1}
+    assert suffix.repeat_groups(spark, docs.limit(0)).collect() == []
+
+
 def test_interval_tree():
     texts = sorted(["banana"[i:] for i in range(6)])
     lcp = [0] + [len([1 for k in range(min(len(a), len(b))) if a[: k + 1] == b[: k + 1]]) for a, b in zip(texts, texts[1:])]
