@@ -7,7 +7,8 @@ symbols get equal names in every task, without a table of names. Inside equal su
 parse is the same but for a few symbols at the ends, which depend on the neighbours. A window of 13 words is
 named by the words that may differ at its two ends (popped) and the high-level symbols between, which
 only depend on the window. Windows with a shared name are found by exchanging names in hash
-buckets (``chunks``), and verified by a second, independent fingerprint of their words.
+buckets (``chunks``). Every match is verified: inside a slice windows of one name are compared word by word
+(the words' bytes), between slices by a second, independent fingerprint of their words.
 
 Passes over the chunk store: 1. send every slice's distinct window names (four bytes each);
 the buckets answer which occur in several slices. 2. For those send fingerprint and smallest doc_id of
@@ -34,6 +35,7 @@ from shelfage.session import scratch_path
 
 WINDOW = 13
 ROUNDS = 2
+COMPARED_AT_ONCE = 32     # leading bytes of words that are compared for many words together
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans string"
 
@@ -113,6 +115,25 @@ def window_names(words: np.ndarray, head: np.ndarray, at: np.ndarray, window: in
     return mix(key ^ (range_hash(raw, b, at + window) + ((b - at).astype(U64) << U64(40))))
 
 
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the words ``x`` and ``y`` are equal pair by pair, byte for byte."""
+    for at in range(0, len(x), 1 << 18):
+        i, j = x[at: at + (1 << 18)], y[at: at + (1 << 18)]
+        size = ends[i] - starts[i]
+        if not np.array_equal(size, ends[j] - starts[j]):
+            return False
+        for k in range(COMPARED_AT_ONCE):
+            some = size > k
+            if not some.any():
+                break
+            if not np.array_equal(data[starts[i[some]] + k], data[starts[j[some]] + k]):
+                return False
+        for a, b in zip(i[size > COMPARED_AT_ONCE].tolist(), j[size > COMPARED_AT_ONCE].tolist()):
+            if not np.array_equal(data[starts[a]: ends[a]], data[starts[b]: ends[b]]):
+                return False
+    return True
+
+
 class Slice:
     """The windows of a slice: their places, documents and names, and the distinct names with the smallest doc_id of each."""
 
@@ -135,6 +156,11 @@ class Slice:
         sorted_ = names[order]
         new = np.ones(len(order), bool)
         new[1:] = sorted_[1:] != sorted_[:-1]
+        if not self._alike(order, np.flatnonzero(~new)):
+            # different windows share a name: told apart by their words
+            rank = self._text_rank()
+            order = order[np.lexsort((rank[order], sorted_))]
+            new[1:] |= rank[order][1:] != rank[order][:-1]
         self.first = np.flatnonzero(new)
         self.order = order
         self.entry = np.cumsum(new) - 1                       # of the windows in ``order``
@@ -142,6 +168,26 @@ class Slice:
         self.least = np.minimum.reduceat(self.doc, self.first) if len(order) else np.zeros(0, np.int64)
         self.bucket, self.rest = chunks.bucketed(sorted_[self.first], buckets)
 
+    def _alike(self, order: np.ndarray, again: np.ndarray) -> bool:
+        """Whether the windows at the places ``again`` of ``order`` have the same words as the windows before them there."""
+        a, b = self.at[order[again]], self.at[order[again - 1]]
+        # pairs of neighbours whose first words follow such a pair's need their last word compared only
+        first = np.ones(len(a), bool)
+        by = np.argsort(a, kind="stable")
+        first[by[1:]] = (a[by][1:] != a[by][:-1] + 1) | (b[by][1:] != b[by][:-1] + 1)
+        k = np.arange(self.window)
+        x = np.concatenate([(a[first][:, None] + k).ravel(), a[~first] + self.window - 1])
+        y = np.concatenate([(b[first][:, None] + k).ravel(), b[~first] + self.window - 1])
+        return same_words(self.data, self.starts, self.ends, x, y)
+
+    def _text_rank(self) -> np.ndarray:
+        """A number for each window, equal for windows of equal words."""
+        raw = self.data.tobytes()
+        texts = [b" ".join(raw[a:b] for a, b in zip(self.starts[k: k + self.window].tolist(), self.ends[k: k + self.window].tolist()))
+                 for k in self.at.tolist()]
+        place = {t: i for i, t in enumerate(sorted(set(texts)))}
+        return np.array([place[t] for t in texts], np.int64)
+
     def fingerprints(self, entries: np.ndarray) -> np.ndarray:
         at = self.at[self.order[self.first[entries]]]
         return mix(range_hash(prefix_hash(self.words, 1), at, at + self.window, 1))

@@ -437,6 +437,25 @@ def test_repeated_words(spark, docs, rows):
     assert recompress.remove_repeats(spark, docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("names", [1, 7, None])
+def test_windows_that_share_a_name_are_told_apart_by_their_words(monkeypatch, names):
+    """The names of a slice cut down to 1 or 7: the entries are still the different windows."""
+    if names:
+        whole = recompress.window_names
+        monkeypatch.setattr(recompress, "window_names", lambda *a, **k: whole(*a, **k) % np.uint64(names))
+    rng = random.Random(4)
+    long = ["w" * 40 + "a", "w" * 40 + "b", "w" * 32]
+    texts = [" ".join(rng.choice(["a", "b", "ab", *long]) for _ in range(rng.randint(0, 40))) for _ in range(20)] + ["b a " * 20] * 2 + [None]
+    piece = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    s = recompress.Slice(piece, 3, 4)
+    every = [x for t in texts for x in words(t)]
+    got: dict = {}
+    for k, entry, doc in zip(s.at[s.order].tolist(), s.entry.tolist(), s.doc.tolist()):
+        got.setdefault(entry, set()).add((tuple(every[k: k + 3]), int(s.least[entry]) <= doc))
+    assert all(len(x) == 1 for x in got.values())
+    assert len(got) == len({x for v in got.values() for x, _ in v})
+
+
 def test_exact_top_k(spark):
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     odd = spark.createDataFrame([(10**6, None, 0), (10**6 + 20, [1.0, None] + [0.5] * 62, 0), (10**6 + 40, [float("nan")] * 64, 0),
