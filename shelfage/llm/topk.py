@@ -32,6 +32,7 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
 DEPTHS = (0.02, 0.1, 0.25, 0.5, 0.625, 0.75, 0.875, 1.0)   # parts of a list read after each step
 RESOLVE = 0.05             # a query resolves a block when at most this part of its candidates is left
+FAR = 0.8                  # part of the pairs left above which a step is read without looking at the bounds
 QUERIES_AT_ONCE = 256      # queries whose bounds are held at a time
 BLOCKS_PER_TASK = 4        # candidate blocks that one task reads for a query block
 
@@ -90,7 +91,8 @@ def block_topk(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, f
     pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for at in range(0, len(q), QUERIES_AT_ONCE):
         active = np.arange(at, min(at + QUERIES_AT_ONCE, len(q)))
-        for step in range(start, len(DEPTHS)):
+        step = start
+        while len(active):
             depth = max(1, min(n, int(np.ceil(n * DEPTHS[step]))))
             if depth == n:
                 # the lists are read to their ends: both bounds are the score
@@ -108,8 +110,8 @@ def block_topk(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, f
             pairs.append((active[done][rows], cols))
             stopped[active[done]] = step
             active = active[~done]
-            if not len(active):
-                break
+            # far from stopping: the bounds are looked at again two steps on
+            step = min(step + (2 if left.mean() > FAR else 1), len(DEPTHS) - 1)
     rows, cols = (np.concatenate(p) for p in zip(*pairs))
     score = np.empty(len(rows))
     for at in range(0, len(rows), 1 << 16):  # resolve the final scores of the pairs that are left
