@@ -108,42 +108,48 @@ def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, window: int, blo
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; the end sorts before everything."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    rank = (np.unique(text, return_inverse=True)[1] + 1).astype(np.int32)
     h = 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:] if h < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], key[order][1:] != key[order][:-1]]))
-        rank = new
+        key = rank.astype(np.int64) * (n + 2)
+        key[: max(n - h, 0)] += rank[h:]
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+        del key
+        rank[order] = np.cumsum(new, dtype=np.int32)
         if rank[order[-1]] == n or h >= n:
             return order
         h *= 2
 
 
 class FMIndex:
+    """Places and counts take 4 bytes each: a text has fewer than 2**31 bytes, so fewer words."""
+
     def __init__(self, text: np.ndarray, symbols: int):
         """``text``: numbers from 0 to ``symbols``; an end marker is added (as -1, kept apart from the symbols)."""
         n = len(text) + 1
-        sa = np.concatenate([[n - 1], suffix_array(text)]) if len(text) else np.array([0])
-        bwt = np.concatenate([text, [0]])[sa - 1]
+        sa = np.concatenate([np.array([n - 1], np.int32), suffix_array(text)]) if len(text) else np.zeros(1, np.int32)
+        bwt = np.concatenate([text, [0]]).astype(np.int32)[sa - 1]
         self.end_row = int(np.flatnonzero(sa == 0)[0])       # its transform is the end marker
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))]) + 1
+        marked = sa % SAMPLE == 0
+        self.marked = marked
+        self.rank = np.cumsum(marked, dtype=np.int32) - 1
+        self.kept = sa[marked]
+        del sa
         self.bwt, self.n, self.symbols = bwt, n, symbols
         self.levels = max(1, int(symbols).bit_length())
         self.ones, self.zeros = [], []
         seq = np.delete(bwt, self.end_row)
         for level in range(self.levels - 1, -1, -1):
-            bit = (seq >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]))
-            self.zeros.append(len(seq) - int(bit.sum()))
-            seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
-        marked = sa % SAMPLE == 0
-        self.marked = marked
-        self.rank = np.cumsum(marked) - 1
-        self.kept = sa[marked]
+            bit = (seq >> level) & 1 == 1
+            ones = np.zeros(n, np.int32)
+            np.cumsum(bit, dtype=np.int32, out=ones[1:])
+            self.ones.append(ones)
+            self.zeros.append(n - 1 - int(ones[-1]))
+            seq = np.concatenate([seq[~bit], seq[bit]])
 
     def occ(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """How often ``symbol`` stands in the transform before ``row``, through the wavelet matrix."""

@@ -29,6 +29,9 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Rows travel to Python workers in Arrow batches of about this many bytes (``bounded_batches``).
+ARROW_BATCH_BYTES = 4 << 20
+
 _open = threading.local()     # ``scopes``: the paths made in each open ``intermediates`` block of the thread
 
 
@@ -45,6 +48,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session by bytes, unless the caller has set a bound.
+
+    Spark counts 10000 rows a batch; of long texts or sets that is tens of MB, which a task holds in the executor's direct
+    memory (while a buffer doubles, two of them, and its pools keep them) and once more in the Python worker. The
+    bound is one of the session, as a lazy result is planned only when it is used.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Directory shared by all executors: the session's checkpoint dir.
 

@@ -582,3 +582,45 @@ def test_pipeline_on_null_repeated_and_empty_rows(spark, tmp_path):
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
     nothing = corpus_pipeline.run(spark, str(tmp_path / "empty"))
     assert nothing.columns == out.columns and nothing.collect() == []
+
+
+def test_pipeline_bounds_batches_by_bytes(spark, tmp_path):
+    """Rows go to Python in batches of about ``ARROW_BATCH_BYTES`` in every stage; a bound of the caller stays."""
+    import corpus_pipeline
+    from shelfage.session import ARROW_BATCH_BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    row = F.col("id").cast("string")
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(row, F.repeat(F.lit(" word"), 500)).alias("text"),
+                                             F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(2500).cast("long").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "word " * 20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).coalesce(1)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs.limit(0), str(tmp_path))
+            got = docs.mapInArrow(sizes, "bytes long, n long").collect()
+            assert sum(r.n for r in got) == 6000 and max(r.bytes for r in got) < 1.1 * ARROW_BATCH_BYTES
+        spark.conf.set(key, "7777")
+        corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+        assert spark.conf.get(key) == "7777"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_fm_index_memory_of_a_shard():
+    """A shard of benchmark words only: ranks, positions and the sort of the suffixes take 4 bytes a place, keys 8."""
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(1, 4000, 200_000)
+    tracemalloc.start()
+    try:
+        decontaminate.FMIndex(text, 4000)
+        assert tracemalloc.get_traced_memory()[1] < 100 * len(text)
+    finally:
+        tracemalloc.stop()
